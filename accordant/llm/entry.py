@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe_codec, language_id, quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality_rules.query}
+    return {
+        "op1_language_id": language_id.query,
+        "op5_token_counts": token_counts.query,
+        "op7_bpe_codec": bpe_codec.query,
+        "op10_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
