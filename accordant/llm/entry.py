@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_id, quality_rules, token_counts
+import corpus_pipeline
+
+from . import bpe_codec, jaccard_forest, language_id, media_sequences, packing, preferences, quality_rules, sentence_spans, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_best_fit_packing": packing.query,
+        "op3_media_sequences": media_sequences.query,
+        "op4_token_files": token_files.query,
         "op5_token_counts": token_counts.query,
+        "op6_jaccard_forest": jaccard_forest.query,
         "op7_bpe_codec": bpe_codec.query,
+        "op8_preferences": preferences.query,
+        "op9_sentence_spans": sentence_spans.query,
         "op10_quality_rules": quality_rules.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.oracle_sql()}
+    return {
+        "op8_preferences": preferences.oracle_sql(),
+        "op9_sentence_spans": sentence_spans.oracle_sql(),
+        "op10_quality_rules": quality_rules.oracle_sql(),
+    }
