@@ -5,16 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .plans import records, statistics
+
+_PARTS = (statistics, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("support"))
+    return statistics.pairwise_tests(spark, sf_dir)
+
+
+def _catalogue() -> dict[str, tuple]:
+    return {name: x for part in _PARTS for name, x in part.catalogue().items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _catalogue().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _catalogue().items() if sql}
