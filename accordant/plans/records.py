@@ -213,8 +213,8 @@ def catalogue() -> dict[str, tuple]:
         "A34_J15_waterfall": (waterfall, sql("""SELECT coalesce(corpus, 'all') AS corpus, tier, count(*) AS n FROM (SELECT corpus, CASE WHEN bool_or(c AND channel = 'clause') THEN 'clause' WHEN bool_or(c AND channel = 'event_nominal') THEN 'event_nominal'
             WHEN bool_or(c AND channel = 'state') THEN 'state' WHEN bool_or(decision = 'review_only') THEN 'held' WHEN bool_or(carrier_word IS NOT NULL) THEN 'path' ELSE 'none' END AS tier
             FROM (SELECT *, decision = 'applied' AND predicted_label = 'positive' AS c FROM ledger WHERE gold_label = 'positive') GROUP BY corpus, sentence_id, pair_a, pair_b) GROUP BY GROUPING SETS ((corpus, tier), (tier))""")),
-        "J23_preceding_purchase": (preceding_purchase, """SELECT event_type, count(since) AS n, sum(at - since)::BIGINT AS micros FROM (SELECT event_type, at, last_value(CASE WHEN event_type = 'purchase' THEN at END IGNORE NULLS)
-            OVER (PARTITION BY user_id ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM (SELECT *, epoch_us(ts) AS at FROM events)) GROUP BY ALL"""),
+        "J23_preceding_purchase": (preceding_purchase, """SELECT event_type, count(since) AS n, sum(moment - since)::BIGINT AS micros FROM (SELECT event_type, moment, last_value(CASE WHEN event_type = 'purchase' THEN moment END IGNORE NULLS)
+            OVER (PARTITION BY user_id ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM (SELECT *, epoch_us(ts) AS moment FROM events)) GROUP BY ALL"""),
         "J19_overlap_groups": (overlaps, """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS s, shipped AS e FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE shipped > o_orderdate),
             b AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
             g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) - 1 AS grp FROM b)
