@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import records, statistics
+from .plans import records, resampling, statistics
 
-_PARTS = (statistics, records)
+_PARTS = (statistics, records, resampling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
