@@ -30,7 +30,8 @@ from . import common as C
 BUCKETS = 1 << 15
 DIMENSION = 16
 TRAIN_ROWS = 3000
-EPOCHS = 4
+#: Passes over the sample, and more where they would make fewer steps than STEPS.
+EPOCHS, STEPS = 4, 8000
 RATE = 2.0
 SIZES = (2, 3, 4)
 #: A prediction whose calibrated probability of being right is below this is rejected.
@@ -107,8 +108,9 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     fit, held = examples(range(n_fit)), examples(range(n_fit, len(texts)))
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
     weights = np.zeros((DIMENSION, len(languages)), dtype=np.float32)
-    step, steps = 0, max(1, EPOCHS * len(fit))
-    for _ in range(EPOCHS):
+    passes = max(EPOCHS, -(-STEPS // max(1, len(fit))))
+    step, steps = 0, max(1, passes * len(fit))
+    for _ in range(passes):
         for j in rng.permutation(len(fit)):
             idx, share, y = fit[j]
             rate = np.float32(RATE * (1 - step / steps))
