@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -113,26 +113,42 @@ def _signatures(docs: DataFrame, words: int, trees: int, prefix: int) -> DataFra
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node and root (the least node of its component) of the graph of edges (a, b). Rounds of least neighbour and
-    pointer jumping, each stored in the shared folder; the number of rounds grows as the logarithm of the longest path."""
-    spark = edges.sparkSession
-    edges, first = C.store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels, path = C.store(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-labels")
-    while True:
-        # The least root among the neighbours, then the root of that root.
-        near = edges.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
-        hop = labels.join(near, "a", "left").select("a", F.col("root").alias("was"), F.least("root", "near").alias("via"))
-        jump = hop.join(labels.toDF("via", "top"), "via", "left").select("a", "was", F.least("via", "top").alias("root"))
-        new, new_path = C.store(jump, f"{name}-labels")
-        moved = new.filter("root <> was").limit(1).count()
-        C.drop_stored(spark, path)
-        labels, path = new.select("a", "root"), new_path
-        if not moved:
-            C.drop_stored(spark, first)
-            return labels.toDF("node", "root")
+    """node and root, the least node of its component, of every node of a graph of edges (a, b).
 
+    By contraction: each node points to its least lesser neighbour, the pointers are followed once more, and the edges are
+    rewritten to what their ends point to; loops and repeated edges go. Nodes with an edge at least halve in each round, and the
+    edges with them, so the work is that of the first rounds; a hub's edges are summed up before the shuffle, or split by the join.
+    Every round is stored in the shared folder. At the end the rounds' pointers are followed from the last to the first."""
+    spark = edges.sparkSession
 
-def _compare(lo: int, hi: int, keys: list[str], block: list[int], weight: list[int], texts: list[str], words: int, threshold: float) -> list[tuple]:
+    def lesser(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+        return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+
+    left, path = C.store(lesser(edges, F.col("a"), F.col("b")), f"{name}-edges")
+    rounds: list[DataFrame] = []
+    while left.limit(1).count():
+        near = left.groupBy("a").agg(F.min("b").alias("p"))
+        twice = near.join(near.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+        points, _ = C.store(twice, f"{name}-points")
+        rounds.append(points)
+        both = left.join(points, "a").withColumnRenamed("p", "pa").join(points.toDF("b", "p"), "b", "left")
+        left, new = C.store(lesser(both, F.col("pa"), F.coalesce("p", "b")), f"{name}-edges")
+        C.drop_stored(spark, path)
+        path = new
+    if not rounds:
+        return left.toDF("node", "root")
+    # A pointer's target that has a pointer of its own in the same round or a later one goes on to that one's root.
+    roots = rounds[-1]
+    for points in reversed(rounds[:-1]):
+        on = points.join(roots.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+        roots = on.unionByName(roots.join(points.select("a"), "a", "left_anti"))
+    roots, _ = C.store(roots, f"{name}-roots")
+    # Roots point to themselves.
+    tops = roots.select("p").distinct().select(F.col("p").alias("node"), F.col("p").alias("root"))
+    return roots.toDF("node", "root").unionByName(tops)
+
+
+def _compare(cross: bool, keys: list[str], block: list[int], weight: list[int], texts: list[str], words: int, threshold: float) -> list[tuple]:
     """A row for each text of a task: links by documents and by texts, and the least text that it is tied to."""
     h, cut = shingles(texts, words)
     size = np.diff(cut)
@@ -158,7 +174,7 @@ def _compare(lo: int, hi: int, keys: list[str], block: list[int], weight: list[i
         both = np.add.reduceat(flags[number[cut[i + 1] :]], cut[i + 1 : -1] - cut[i + 1], dtype=np.int64)
         flags[own] = 0
         near = both >= threshold * (size[i] + size[i + 1 :] - both) - 1e-9
-        if lo != hi:
+        if cross:
             near &= block_[i + 1 :] != block_[i]
         for j in (np.flatnonzero(near) + i + 1).tolist():
             a, b = top(i), top(j)
@@ -173,7 +189,7 @@ def _compare(lo: int, hi: int, keys: list[str], block: list[int], weight: list[i
 
 
 def _verify(members: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Runs _compare on each task's texts; the rows of a task come together and are held one task at a time."""
+    """Runs _compare on each task's texts; the rows of a task come together and are held one task at a time. whole: the task is all of its group."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, task = [], None
@@ -181,9 +197,9 @@ def _verify(members: DataFrame, words: int, threshold: float) -> DataFrame:
         def done() -> pa.RecordBatch:
             unique = {r[4]: r for r in held}  # equal rows of one document
             rows = [unique[k] for k in sorted(unique)]
-            out = _compare(task[1], task[2], [r[4] for r in rows], [r[3] for r in rows], [r[5] for r in rows], [r[6] for r in rows], words, threshold)
+            out = _compare(task[1] != task[2], [r[4] for r in rows], [r[3] for r in rows], [r[5] for r in rows], [r[6] for r in rows], words, threshold)
             cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["tkey", "links", "partners", "tied"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([rows[0][7] == 1] * len(rows))], names=["tkey", "links", "partners", "tied", "whole"])
 
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -196,8 +212,8 @@ def _verify(members: DataFrame, words: int, threshold: float) -> DataFrame:
             yield done()
 
     order = ["root", "lo", "hi"]
-    dealt = members.select(*order, "block", "tkey", "n", "text").repartition(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "tkey string, links long, partners long, tied string")
+    dealt = members.select(*order, "block", "tkey", "n", "text", "blocks").repartition(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "tkey string, links long, partners long, tied string, whole boolean")
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -211,7 +227,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     reached = texts.select("tkey", F.explode("nodes").alias("node"))
     shared = reached.groupBy("node").agg(F.min("tkey").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     stars = C.join_on_unique(reached, shared, ["node"], "m", texts.count() * trees, "inner")
-    groups, _ = C.store(components(stars.filter("tkey <> least").select(F.col("tkey").alias("a"), F.col("least").alias("b")), "candidates"), "groups")
+    groups = components(stars.filter("tkey <> least").select(F.col("tkey").alias("a"), F.col("least").alias("b")), "candidates")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     members = C.join_on_unique(groups, sizes, ["root"], "members", texts.count(), "inner")
     members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -224,8 +240,10 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     tasks = paired.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     checked, _ = C.store(_verify(tasks, words, threshold), "links")
     linked = checked.groupBy("tkey").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
-    tied, _ = C.store(components(checked.filter("tkey <> tied").select(F.col("tkey").alias("a"), F.col("tied").alias("b")), "links"), "classes")
-    known = texts.join(linked, "tkey", "left").join(tied.toDF("tkey", "root"), "tkey", "left")
+    # A group of one task has its classes; those of more are joined over their tasks.
+    parts = components(checked.filter("NOT whole AND tkey <> tied").select(F.col("tkey").alias("a"), F.col("tied").alias("b")), "links")
+    tied = checked.filter("whole").select("tkey", F.col("tied").alias("root")).unionByName(parts.toDF("tkey", "root"))
+    known = texts.join(linked, "tkey", "left").join(tied, "tkey", "left")
     known = known.select("tkey", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "tkey").alias("root"))
     known, _ = C.store(known, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("texts"))
