@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
-BLOCK = 512
+BLOCK = 256
 SEED = 20
 
 _IS_WORD = np.array([chr(b).isascii() and chr(b).isalnum() or b >= 0x80 for b in range(256)])
