@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import records, resampling, statistics
+from .plans import paths, records, resampling, statistics
 
-_PARTS = (statistics, records, resampling)
+_PARTS = (statistics, records, resampling, paths)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
