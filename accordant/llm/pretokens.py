@@ -7,34 +7,39 @@ and the end, as a run of whitespace is one match there; nor at a special string.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-_WHOLE = re.compile(r"\s \s|\s \Z|<\|")
+#: Whitespace of any of the libraries, and where a text may not be cut.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+_WHOLE = rf"{_SPACE} (?:{_SPACE}|\z)|<\|"
 
 
 class Units:
     """Of some texts: the distinct units, and for each text the run index[offset[i]:offset[i + 1]] of their numbers."""
 
     def __init__(self, texts: list[str | None]):
-        whole = [bool(x) and _WHOLE.search(x) is not None for x in texts]
-        parts = pc.split_pattern(pa.array(["" if w or x is None else x for x, w in zip(texts, whole)], pa.large_string()), " ")
+        plain = pa.array(["" if x is None else x for x in texts], pa.large_string())
+        whole = pc.match_substring_regex(plain, _WHOLE).to_pylist()
+        if any(whole):
+            plain = pa.array(["" if w or x is None else x for x, w in zip(texts, whole)], pa.large_string())
+        parts = pc.split_pattern(plain, " ")
         self.offset = np.asarray(parts.offsets).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         index = np.array(coded.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
-        inner = [" " + x for x in coded.dictionary.to_pylist()]
+        both = [" " + x for x in coded.dictionary.to_pylist()]
         first: dict[str, int] = {}
         heads = [x if w else (x or "").partition(" ")[0] for x, w in zip(texts, whole)]
         if len(heads):
-            index[self.offset[:-1]] = [len(inner) + first.setdefault(x, len(first)) for x in heads]
+            index[self.offset[:-1]] = [len(both) + first.setdefault(x, len(first)) for x in heads]
+        both += first
         # A dictionary entry that only began texts is not used; it is left out so that it isn't encoded.
-        used, self.index = np.unique(index, return_inverse=True)
-        both = inner + list(first)
-        self.distinct = [both[i] for i in used]
+        used = np.zeros(len(both), dtype=bool)
+        used[index] = True
+        self.index = (np.cumsum(used) - 1)[index]
+        self.distinct = [both[i] for i in np.flatnonzero(used)]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of the values of each text's units."""
