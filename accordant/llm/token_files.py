@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block
 
 
 class Encoder:
-    """The tokenizers library behind a cache of pre-tokens."""
+    """The tokenizers library behind caches of pre-tokens and of units, each of up to CACHE entries and a batch's."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,29 +53,30 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.pattern = compiled(public_tokenizers.PATTERN)
-        self.cache: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids of pre-tokens and of units, 32-bit each
+        self.known: dict[str, bytes] = {}
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the units, end to end, and how many each has."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        found = [None if "<|" in x and any(s in x for s in self.special) else self.pattern.findall(x) for x in units]
-        new = list({w for ws in found if ws for w in ws if w not in cache})
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.words) > CACHE:
+            self.words.clear()
+        known, words = self.known, self.words
+        fresh = [x for x in units if x not in known]
+        found = [None if "<|" in x and any(s in x for s in self.special) else self.pattern.findall(x) for x in fresh]
+        new = list({w for ws in found if ws for w in ws if w not in words})
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
-            cache.update((w, e.ids) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        ids: list[int] = []
-        n = np.zeros(len(units), dtype=np.int64)
-        for i, ws in enumerate(found):
-            before = len(ids)
-            if ws is None:
-                ids += self.library.encode(units[i], add_special_tokens=False).ids
-            else:
-                for w in ws:
-                    ids += cache[w]
-            n[i] = len(ids) - before
-        return np.array(ids, dtype=np.int32), n
+            words.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+        for x, ws in zip(fresh, found):
+            known[x] = array("i", self.library.encode(x, add_special_tokens=False).ids).tobytes() if ws is None else b"".join([words[w] for w in ws])
+        each = [known[x] for x in units]
+        for x in fresh:
+            if len(x) > 64:  # long units hardly come again
+                del known[x]
+        n = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        return np.frombuffer(b"".join(each), dtype=np.int32), n
 
     def texts(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with its end, end to end, and how many each has."""
@@ -113,7 +115,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end: int = END, block:
 
         for b in it:
             doc_ids, texts = b.column(0).to_pylist(), C.texts_of(b)
-            for lo, hi in C.chunks([len(x or "") for x in texts], 2 << 20):
+            for lo, hi in C.chunks([len(x or "") for x in texts], 4 << 20):
                 ids, n = own.texts(texts[lo:hi], end)
                 at = 0
                 for doc, k in zip(doc_ids[lo:hi], n.tolist()):
