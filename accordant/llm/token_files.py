@@ -203,8 +203,6 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "block", "head"],
                 )
 
-    rows = blocks.mapInArrow(batches, ROWS)
-
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
         crc = 0
@@ -214,8 +212,9 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame({"doc_id": head["doc_id"].astype("Int64"), "start": head["start"], "n_tokens": [pdf["n_tokens"].sum()], "ids_crc32": [crc]})
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    pieces = rows.filter("head >= 0").groupBy("part", "head").applyInPandas(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.filter("head < 0").select(names).unionByName(pieces)
+    # Each block is decoded once, by the branch that it belongs to.
+    pieces = blocks.filter("head >= 0").mapInArrow(batches, ROWS).groupBy("part", "head").applyInPandas(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.filter("head < 0").mapInArrow(batches, ROWS).select(names).unionByName(pieces)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
