@@ -31,6 +31,8 @@ _TOP, _BOTTOM = U(1 << 48), U(1 << 32)
 _CONTEXT_BITS = 16
 _STEP = 24  # what an occurrence adds to an id's order-0 frequency
 _LIMIT = 3  # highest confidence
+#: Bounds of the totals of outcomes and of frequencies. Together they leave room for both steps of an id within a range of 2^32.
+_MOST, _MOST_IDS = 1 << 10, 1 << 21
 
 
 def lanes_of(n: int) -> int:
@@ -77,14 +79,15 @@ class Model:
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         """All lanes at once. Where several lanes share a context, the last lane's id stays."""
         self.outcomes += 4 * np.bincount(self.state * 3 + outcome, minlength=self.outcomes.size).reshape(self.outcomes.shape)
-        heavy = self.outcomes.sum(axis=1) > 1 << 20
-        if heavy.any():
+        heavy = self.outcomes.sum(axis=1) > _MOST
+        while heavy.any():
             self.outcomes[heavy] = (self.outcomes[heavy] + 1) >> 1
+            heavy = self.outcomes.sum(axis=1) > _MOST
         new = ids << 2
         for table, at, seen, guess in ((self.table2, self.slot, self.seen2, self.guess2), (self.table1, self.last1, self.seen1, self.guess1)):
             table[at] = np.where(ids == guess, new | np.minimum((seen & 3) + 1, _LIMIT), new)
         np.add.at(self.frequency, ids[outcome == 2], _STEP)
-        if self.before[-1] > 1 << 23:
+        if self.before[-1] > _MOST_IDS - (_STEP << 13):
             self.frequency = (self.frequency + 1) >> 1
         self._sum()
         self.last2, self.last1 = self.last1, ids
@@ -140,12 +143,6 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     out_at, out_word = [], []
     every = np.arange(lanes)
 
-    def code(at: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        coder.narrow(at, coder.range[at] // total.astype(U), start, size)
-        for lane, word in coder.shifts(at):
-            out_at.append(lane)
-            out_word.append(word)
-
     for s in range(steps):
         m = int(taking[s])
         if m < lanes and len(model.last1) > m:
@@ -153,11 +150,15 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         own = ids[starts[:m] + s]
         model.predict()
         outcome = model.outcome(own)
-        code(every[:m], *model.share(outcome))
+        start, size, total = model.share(outcome)
+        coder.narrow(slice(m), coder.range[:m] // total.astype(U), start, size)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
             missed = own[rest]
-            code(rest, model.before[missed], model.frequency[missed], np.full(len(rest), model.before[-1]))
+            coder.narrow(rest, coder.range[rest] // U(int(model.before[-1])), model.before[missed], model.frequency[missed])
+        for lane, word in coder.shifts(every[:m]):
+            out_at.append(lane)
+            out_word.append(word)
         model.learn(own, outcome)
     # Two words end a lane: a number within its range whose further words are 0.
     end = coder.low + (_BOTTOM - U(1))
@@ -204,29 +205,25 @@ def _decode(ids: np.ndarray, n: int, lanes: int, vocabulary: int, count: np.ndar
     for _ in range(4):
         pull(every)
 
-    def narrow(lane: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        coder.narrow(lane, unit, start, size)
-        for moved, _ in coder.shifts(lane):
-            pull(moved)
-
     for s in range(steps):
         m = int(taking[s])
         if m < lanes and len(model.last1) > m:
             model.last1, model.last2 = model.last1[:m], model.last2[:m]
         model.predict()
-        lane = every[:m]
         cuts = model.bounds.take(model.state, axis=0)
         unit = coder.range[:m] // cuts[:, 3].astype(U)
         target = np.minimum(((value[:m] - coder.low[:m]) // unit).astype(np.int64), cuts[:, 3] - 1)
         outcome = (target >= cuts[:, 1]).astype(np.int64) + (target >= cuts[:, 2])
-        narrow(lane, unit, *model.share(outcome)[:2])
+        coder.narrow(slice(m), unit, *model.share(outcome)[:2])
         own = np.where(outcome == 0, model.guess2, model.guess1)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
             unit = coder.range[rest] // U(int(model.before[-1]))
             target = np.minimum(((value[rest] - coder.low[rest]) // unit).astype(np.int64), int(model.before[-1]) - 1)
             found = np.searchsorted(model.before, target, side="right") - 1
-            narrow(rest, unit, model.before[found], model.frequency[found])
+            coder.narrow(rest, unit, model.before[found], model.frequency[found])
             own[rest] = found.astype(np.int32)
+        for moved, _ in coder.shifts(every[:m]):
+            pull(moved)
         ids[starts[:m] + s] = own
         model.learn(own, outcome)
