@@ -35,7 +35,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 BLOCK = 1 << 19
 LONG = 1 << 21
-CACHE = 400_000
+#: Most entries of the caches of pre-tokens and of units.
+CACHE, UNITS = 900_000, 300_000
 
 #: head: of a document cut over blocks, the first of them; else -1.
 BLOCKS = "part int, block long, first long, n long, head long, doc_ids array<long>, lengths array<long>, data binary"
@@ -43,7 +44,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block
 
 
 class Encoder:
-    """The tokenizers library behind caches of pre-tokens and of units, each of up to CACHE entries and a batch's."""
+    """The tokenizers library behind caches of pre-tokens and of units, of up to CACHE and UNITS entries and a batch's."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +59,7 @@ class Encoder:
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the units, end to end, and how many each has."""
-        if len(self.known) > CACHE:
+        if len(self.known) > UNITS:
             self.known.clear()
         if len(self.words) > CACHE:
             self.words.clear()
