@@ -77,9 +77,12 @@ def test_stage_keeps_one_of_each_class(spark, odd, documents, texts):
 
 
 def test_components(spark):
-    path = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("a", "b"), ("c", "b")]
-    got_ = {r.node: r.root for r in J.components(spark.createDataFrame(path, "a string, b string"), "test").collect()}
-    assert set(got_.values()) == {"000", "a"} and len(got_) == 44
+    path = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("a", "b"), ("c", "b"), ("a", "a"), ("b", "a")]
+    rows = J.components(spark.createDataFrame(path, "a string, b string"), "test").collect()
+    assert len(rows) == len({r.node for r in rows}) == 44
+    roots = {r.node: r.root for r in rows}
+    assert len({roots[f"{i:03}"] for i in range(41)}) == 1 and roots["000"].isdigit()
+    assert roots["a"] == roots["b"] == roots["c"] and roots["a"] in "abc"
     assert J.components(spark.createDataFrame([], "a string, b string"), "test").count() == 0
 
 
