@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +118,92 @@ def document_icc(df: DataFrame, cluster: str, value: str) -> DataFrame:
     out = s.select(F.col("k").alias("clusters"), icc.alias("icc"))
     # The residual variance of a logit is pi squared over 3.
     return out.withColumn("sigma", F.sqrt(F.col("icc") / F.nullif(1 - F.col("icc"), F.lit(0.0)) * (F.lit(np.pi) ** 2 / 3)))
+
+
+def auc_lift_bootstrap(scored: DataFrame, document: str, partition: str, base: str, other: str, label: str, n: int, seed: int) -> DataFrame:
+    """replicate and value, the gain in AUC of the score other over base, in n resamples of documents within partitions; nothing
+    is refitted. scored is summed up to a row a document, pair of scores and label before the driver sees it."""
+    from .resample import replicates
+
+    rows = scored.groupBy(partition, document, base, other, label).agg(F.count(F.lit(1)).alias("n")).orderBy(partition, document, base, other, label).toPandas()
+    owner = rows.groupby([partition, document], sort=True).ngroup().to_numpy()
+    first = rows.assign(owner=owner).drop_duplicates("owner").sort_values("owner").reset_index(drop=True)
+    clusters = [np.asarray(v) for v in first.groupby(partition).indices.values()]
+    y, n_rows = rows[label].to_numpy(np.float64), rows["n"].to_numpy(np.float64)
+    places = {s: np.unique(rows[s].to_numpy(), return_inverse=True) for s in (base, other)}
+
+    def area(s: str, w: np.ndarray) -> float:
+        values, at = places[s]
+        p, q = np.bincount(at, w * y, len(values)), np.bincount(at, w * (1 - y), len(values))
+        total = p.sum() * q.sum()
+        return float((p * (np.cumsum(q) - q / 2)).sum() / total) if total else float("nan")
+
+    def draw(i: int) -> dict[str, float]:
+        rng = np.random.default_rng([seed, i])
+        times = np.zeros(len(first))
+        for c in clusters:
+            times[c] = np.bincount(rng.integers(0, len(c), len(c)), minlength=len(c))
+        w = times[owner] * n_rows
+        return {"value": area(other, w) - area(base, w)}
+
+    return replicates(scored.sparkSession, n, draw, "value double")
+
+
+def additive_null(cells: DataFrame, stratum: list[str], partition: str, n: int, seed: int, sigma: float = 0.0, c: float = 1.0) -> DataFrame:
+    """replicate and value, the mean gap between partitions under a model in which partition and stratum add up on the logit scale:
+    fitted to the cells, then drawn from, n times; with sigma each cell's logit moves by a normal draw of that deviation first."""
+    from .resample import _cells, mean_gap, replicates
+
+    rows = cells.orderBy(*stratum, partition).toPandas().reset_index(drop=True)
+    names = rows[stratum].astype(str).agg("\x1f".join, axis=1)
+    x = np.concatenate([pd.get_dummies(names).to_numpy(np.float64), pd.get_dummies(rows[partition].astype(str)).to_numpy(np.float64)], axis=1) if len(rows) else np.zeros((0, 0))
+    support, positive = rows["support"].to_numpy(np.float64), rows["gold_positive"].to_numpy(np.float64)
+    twice, y, w = np.concatenate([x, x]), np.repeat([1.0, 0.0], len(rows)), np.concatenate([positive, support - positive])
+    beta = ridge_logit(twice, y, w, c) if len(rows) else np.zeros(1)
+    logit = np.column_stack([x, np.ones(len(rows))]) @ beta if len(rows) else np.zeros(0)
+    gap, size = mean_gap(_cells(rows, stratum)), support.astype(np.int64)
+
+    def draw(i: int) -> dict[str, float]:
+        rng = np.random.default_rng([seed, i])
+        moved = logit + (rng.normal(0, sigma, len(logit)) if sigma else 0.0)
+        return {"value": gap(rng.binomial(size, 1 / (1 + np.exp(-moved))), support)}
+
+    return replicates(cells.sparkSession, n, draw, "value double")
+
+
+def words_of(text: Column, stop: list[str]) -> Column:
+    """Distinct lower-cased words of two letters or more, without stop words."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0))
+    return F.array_except(found, F.array(*map(F.lit, stop)).cast("array<string>"))
+
+
+def vocabulary(df: DataFrame, words: str, min_documents: int = 10, most: int = 800) -> DataFrame:
+    """word, documents and place of the most frequent words that enough rows have; ties by word. Counted over all rows."""
+    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
+    top = counts.orderBy(F.desc("documents"), "word").limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "word")) - 1)  # at most `most` rows
+
+
+def text_model(df: DataFrame, words: str, label: str, fold: str, vocab: DataFrame, columns: list[str], c: float = 1.0) -> DataFrame:
+    """fold, label and p: held-out probabilities of a ridge logit over the words of vocab and one-hot columns, with Spark's distributed
+    optimiser, so that rows never gather. Words and categories of the training folds alone don't differ here: vocab is given."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
+
+    terms = [r["word"] for r in vocab.orderBy("place").collect()]  # bounded by the vocabulary
+    rows = CountVectorizerModel.from_vocabulary(terms, inputCol=words, outputCol="_words").setBinary(True).transform(df) if terms else df
+    parts = ["_words"] if terms else []
+    for x in columns:
+        rows = rows.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("na")))
+        rows = StringIndexer(inputCol=x, outputCol=f"_i_{x}", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+        rows = OneHotEncoder(inputCol=f"_i_{x}", outputCol=f"_o_{x}", dropLast=False).fit(rows).transform(rows)
+        parts.append(f"_o_{x}")
+    rows = VectorAssembler(inputCols=parts, outputCol="_features").transform(rows).select(fold, label, "_features").persist()
+    out = None
+    for r in sorted(x[0] for x in rows.select(fold).distinct().collect()):  # a handful of folds
+        train = rows.filter(F.col(fold) != r)
+        n = train.count()
+        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False).fit(train)
+        held = fitted.transform(rows.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
+        out = held if out is None else out.unionByName(held)
+    return out

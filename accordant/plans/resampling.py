@@ -9,7 +9,7 @@ from ..operators import models as M
 from ..operators import resample as R
 from ..operators.cells import cell_counts
 from ..functions import keys as K
-from .fixtures import ledger, sql
+from .fixtures import ledger, read, sql
 
 STRATUM = ["evidence_class", "predicate_lemma"]
 SEED = 20260908
@@ -67,6 +67,47 @@ def within_auc(spark: SparkSession, sf: str) -> DataFrame:
     return M.auc(rows, [], "score", "y", "w").withColumn("auc", F.round("auc", 6))
 
 
+def lift_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The gain in held-out AUC that the corpus brings to the cues, over resamples of documents."""
+    key = ["fold", *CUES]
+    base = M.out_of_fold(_rows(spark, sf), CUES, "y").select(*key, F.round("p", 9).alias("base")).distinct()
+    other = M.out_of_fold(_rows(spark, sf), [*CUES, "corpus"], "y").select(*key, "corpus", F.round("p", 9).alias("other")).distinct()
+    rows = _rows(spark, sf).join(base, key).join(other, [*key, "corpus"])
+    return R.interval(M.auc_lift_bootstrap(rows, "document", "corpus", "base", "other", "y", 200, SEED))
+
+
+def additive_null(spark: SparkSession, sf: str) -> DataFrame:
+    return R.interval(M.additive_null(_cells(spark, sf, [*STRATUM, "corpus"]), STRATUM, "corpus", 500, SEED))
+
+
+def clustered_null(spark: SparkSession, sf: str) -> DataFrame:
+    return R.interval(M.additive_null(_cells(spark, sf, [*STRATUM, "corpus"]), STRATUM, "corpus", 500, SEED, sigma=0.5))
+
+
+STOP = ["the", "of", "and", "to", "is", "it", "in"]
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "source", M.words_of(F.col("text"), STOP).alias("words"))
+    return docs.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").filter("quality IS NOT NULL")
+
+
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return M.vocabulary(_texts(spark, sf), "words").select("word", "documents")
+
+
+def text_control(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out AUC of quality from the words of a document, without and with its source."""
+    rows = _texts(spark, sf).withColumn("fold", M.folds_by_hash(["doc_id"]))
+    vocab = M.vocabulary(rows, "words")
+    out = None
+    for name, columns in (("words", []), ("words_source", ["source"])):
+        held = M.text_model(rows, "words", "quality", "fold", vocab, columns).withColumns({"p": F.round("p", 6), "n": F.lit(1)})
+        part = M.auc(held, ["fold"], "p", "quality", "n").withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("auc", F.round("auc", 4))
+
+
 def icc(spark: SparkSession, sf: str) -> DataFrame:
     rows = ledger(spark, sf).withColumns({"y": (F.col("gold_label") == "positive").cast("double"), "document": K.document_id(F.col("sentence_id"), F.col("corpus"))})
     return M.document_icc(rows, "document", "y").withColumns({"icc": F.round("icc", 6), "sigma": F.round("sigma", 5)})
@@ -85,6 +126,12 @@ def catalogue() -> dict[str, tuple]:
         "T11_gap_bootstrap": (gap_bootstrap, None),
         "T18_T20_model_comparison": (model_comparison, None),
         "T22_balanced_folds": (balanced_folds, None),
+        "T24_lift_bootstrap": (lift_bootstrap, None),
+        "T10_additive_null": (additive_null, None),
+        "T13_clustered_null": (clustered_null, None),
+        "T25_vocabulary": (vocabulary, r"""SELECT word, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}][\p{L}\p{N}_\p{M}]+')) AS word FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+            WHERE word NOT IN ('the', 'of', 'and', 'to', 'is', 'it', 'in') GROUP BY word HAVING count(*) >= 10 ORDER BY documents DESC, word LIMIT 800"""),
+        "T25_T26_text_control": (text_control, None),
         "T23_weighted_auc": (weighted_auc, sql(auc.format(g="corpus,", k="corpus", o="GROUP BY corpus", x="""SELECT corpus, pair_a + 7 * pair_b AS score, sum(CASE WHEN gold_label = 'positive' THEN seq % 3 + 1 ELSE 0 END) AS p,
             sum(CASE WHEN gold_label = 'positive' THEN 0 ELSE seq % 3 + 1 END) AS n FROM ledger WHERE gold_label <> 'unlabeled' GROUP BY ALL"""))),
         "T23_plain_auc": (within_auc, sql(auc.format(g="", k="1", o="", x="""SELECT pair_b AS score, count(*) FILTER (gold_label = 'positive') AS p, count(*) FILTER (gold_label <> 'positive') AS n FROM ledger WHERE gold_label <> 'unlabeled' GROUP BY ALL"""))),
