@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _COLUMNS = {
     "corpus": "concat('corpus', cast(l_suppkey % 5 as string))",
     "sentence_id": "concat('corpus', cast(l_suppkey % 5 as string), '.d', cast(l_orderkey % 60 as string), '.s', cast(l_orderkey as string))",
-    "seq": "cast(l_orderkey as bigint) * 100 + l_linenumber",
+    "seq": "(cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000 + (l_partkey * 1009 + l_suppkey * 31) % 1000000",
     "pair_a": "cast(l_partkey % 7 as int)",
     "pair_b": "cast(l_suppkey % 5 as int)",
     "gold_label": "case when l_tax > 0.075 then 'unlabeled' when l_discount > 0.01 * (3 + l_suppkey % 5) then 'positive' else 'negative' end",

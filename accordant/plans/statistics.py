@@ -81,7 +81,7 @@ def _tests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairwise_tests(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(_tests(spark, sf), "cpr_delta_abs").withColumns({"p_value": F.round("p_value", 5), "q_value": F.round("q_value", 4)}).drop("cpr_1", "cpr_2")
+    return _round(_tests(spark, sf), "cpr_delta_abs", "q_value", digits=9).drop("cpr_1", "cpr_2")
 
 
 def family_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +282,7 @@ def catalogue() -> dict[str, tuple]:
             FROM (SELECT *, row_number() OVER (PARTITION BY corpus, predicate_lemma, label ORDER BY seq) AS rank FROM (SELECT *, CASE WHEN gold_label = 'positive' THEN 'positive' ELSE 'negative' END AS label FROM ledger))
             JOIN (SELECT corpus, predicate_lemma, CASE WHEN gold_positive >= gold_negative THEN 'positive' ELSE 'negative' END AS major FROM cells WHERE gold_positive > 0 AND gold_negative > 0) USING (corpus, predicate_lemma)
             WHERE rank <= 5 GROUP BY ALL""", _cells("corpus, predicate_lemma", drop=False))),
-        "J8_T3_T4_pairwise_tests": (pairwise_tests, sql("SELECT * REPLACE (round(cpr_delta_abs, 6) AS cpr_delta_abs, round(p_value, 5) AS p_value, round(q_value, 4) AS q_value) FROM tests", *tests)),
+        "J8_T3_T4_pairwise_tests": (pairwise_tests, sql("SELECT * REPLACE (round(cpr_delta_abs, 9) AS cpr_delta_abs, round(q_value, 9) AS q_value) FROM tests", *tests)),
         "A35_family_breakdown": (family_breakdown, sql("SELECT dimension, count(*) AS tests, count(*) FILTER (q_value < 0.05) AS significant FROM tests GROUP BY ALL", *tests)),
         "A37_primary_family": (primary_family, sql(f"""SELECT count(*) AS tests, count(*) FILTER (q_value < 0.05) AS significant, {r('avg(cpr_delta_abs)')} AS mean_abs_delta,
             {r('count(*) FILTER (q_value < 0.05)::DOUBLE / count(*)')} AS significant_share FROM tests WHERE dimension = 'pattern'""", *tests)),
