@@ -232,6 +232,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     )
     reached = texts.select("tkey", F.explode("nodes").alias("node"))
     shared = reached.groupBy("node").agg(F.min("tkey").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared, _ = C.store(shared, "shared-nodes")  # both branches of the join read it
     stars = C.join_on_unique(reached, shared, ["node"], "m", texts.count() * trees, "inner")
     groups = components(stars.filter("tkey <> least").select(F.col("tkey").alias("a"), F.col("least").alias("b")), "candidates")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
