@@ -184,9 +184,9 @@ def vocabulary(df: DataFrame, words: str, min_documents: int = 10, most: int = 8
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "word")) - 1)  # at most `most` rows
 
 
-def text_model(df: DataFrame, words: str, label: str, fold: str, vocab: DataFrame, columns: list[str], c: float = 1.0) -> DataFrame:
+def text_model(df: DataFrame, words: str, label: str, fold: str, vocab: DataFrame, columns: list[str], c: float = 1.0, steps: int = 25) -> DataFrame:
     """fold, label and p: held-out probabilities of a ridge logit over the words of vocab and one-hot columns, with Spark's distributed
-    optimiser, so that rows never gather. Words and categories of the training folds alone don't differ here: vocab is given."""
+    optimiser (at most steps of it), so that rows never gather. Words and categories of the training folds alone don't differ here: vocab is given."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
 
@@ -203,7 +203,7 @@ def text_model(df: DataFrame, words: str, label: str, fold: str, vocab: DataFram
     for r in sorted(x[0] for x in rows.select(fold).distinct().collect()):  # a handful of folds
         train = rows.filter(F.col(fold) != r)
         n = train.count()
-        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False).fit(train)
+        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=steps).fit(train)
         held = fitted.transform(rows.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
         out = held if out is None else out.unionByName(held)
     return out
