@@ -113,45 +113,38 @@ def _signatures(docs: DataFrame, words: int, trees: int, prefix: int) -> DataFra
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node and root of every node of a graph of edges (a, b); root is a node of its component, the same for all of it.
+    """node and root, the least node of its component, of every node of a graph of edges (a, b).
 
-    By contraction: each node points to the least of its neighbours that come before it, the pointers are followed once more, and
-    the edges are rewritten to what their ends point to; loops and repeated edges go. The order is by a hash with the round's number,
-    so that no numbering makes long chains: the nodes with an edge, and with them the work, shrink by a steady share a round.
-    A hub's edges are summed up before the shuffle, or split by the join. Every round is stored in the shared folder. At the
-    end the rounds' pointers are followed from the last to the first."""
+    By contraction: each node points to its least lesser neighbour, the pointers are followed once more, and the edges are
+    rewritten to what their ends point to; loops and repeated edges go. Nodes are digests, whose order has nothing to do with the
+    edges, so that chains of falling neighbours are short and the nodes with an edge shrink by a steady share a round. (Nodes
+    numbered along a path would lose only two a round.) A hub's edges are summed up before the shuffle, or split by the join.
+    Every round is stored in the shared folder. At the end the rounds' pointers are followed from the last to the first."""
     spark = edges.sparkSession
 
-    def at(x: Column, turn: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(turn), x).alias("h"), x.alias("x"))
+    def lesser(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+        return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
 
-    def ordered(rows: DataFrame, a: Column, b: Column, turn: int) -> DataFrame:
-        """Edges with their later end as a."""
-        ends = rows.filter(a != b).select(F.greatest(at(a, turn), at(b, turn)).alias("s"), F.least(at(a, turn), at(b, turn)).alias("t"))
-        return ends.select(F.col("s.x").alias("a"), F.col("t.x").alias("b")).distinct()
-
-    left, path = C.store(ordered(edges, F.col("a"), F.col("b"), 0), f"{name}-edges")
+    left, path = C.store(lesser(edges, F.col("a"), F.col("b")), f"{name}-edges")
     rounds: list[DataFrame] = []
     while left.limit(1).count():
-        turn = len(rounds)
-        near = left.groupBy("a").agg(F.min(at(F.col("b"), turn)).alias("m")).select("a", F.col("m.x").alias("p"))
+        near = left.groupBy("a").agg(F.min("b").alias("p"))
         twice = near.join(near.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
         points, _ = C.store(twice, f"{name}-points")
         rounds.append(points)
         both = left.join(points, "a").withColumnRenamed("p", "pa").join(points.toDF("b", "p"), "b", "left")
-        left, new = C.store(ordered(both, F.col("pa"), F.coalesce("p", "b"), turn + 1), f"{name}-edges")
+        left, new = C.store(lesser(both, F.col("pa"), F.coalesce("p", "b")), f"{name}-edges")
         C.drop_stored(spark, path)
         path = new
     if not rounds:
         return left.toDF("node", "root")
-    # From a pointer's target the later rounds' pointers go on.
+    # From a pointer's target the later rounds' pointers go on. Each step is stored, as it reads the one before it twice.
     roots = rounds[-1]
     for points in reversed(rounds[:-1]):
         on = points.join(roots.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        roots = on.unionByName(roots.join(points.select("a"), "a", "left_anti"))
-    roots, _ = C.store(roots, f"{name}-roots")
-    tops = roots.select("p").distinct().join(roots.select(F.col("a").alias("p")), "p", "left_anti")  # a root that never pointed
-    return roots.toDF("node", "root").unionByName(tops.select(F.col("p").alias("node"), F.col("p").alias("root")))
+        roots, _ = C.store(on.unionByName(roots.join(points.select("a"), "a", "left_anti")), f"{name}-roots")
+    tops = roots.select("p").distinct().select(F.col("p").alias("node"), F.col("p").alias("root"))  # they never pointed
+    return roots.toDF("node", "root").unionByName(tops)
 
 
 def _compare(cross: bool, keys: list[str], block: list[int], weight: list[int], texts: list[str], words: int, threshold: float) -> list[tuple]:
