@@ -7,6 +7,10 @@ sentences that a repeat covers are removed. A text that loses some becomes its o
 text stays as it is. A passage of RUN whole sentences in two documents is found wherever it begins. A text of fewer
 sentences is one run.
 
+The query is held against SQL, which knows this one length. The pipeline's stage also hashes the shorter runs of SHORTER, which
+need more words, and removes what a repeat of any length covers: a passage of few long sentences, or one whose ends have grown
+together with their surroundings. A sentence that was changed within is equal to none and stays.
+
 Repeats within a document are found where it is read. Between documents only hashes and places are shuffled, summed up
 before the shuffle, so that a passage in a third of all documents costs a row a task; the occurrences come back by a
 broadcast of the at most 1000 spans with over a thousandth of all occurrences, and by a shuffle join for the others.
@@ -33,6 +37,8 @@ from . import common as C
 
 RUN = 3
 MIN_WORDS = 8
+#: Further lengths of runs, each with its least number of words.
+SHORTER = ((2, 20), (1, 25))
 _SPACE = "\x09\x0a\x0b\x0c\x0d "
 _CUT = re.compile(r"(?<=[.!?])[\x09-\x0D ]+|\n")
 _NO_ID = -(1 << 63)
@@ -42,60 +48,69 @@ def sentences(text: str) -> list[str]:
     return [s for part in _CUT.split(text) if (s := part.strip(_SPACE))]
 
 
-def spans_of(text: str, run: int, min_words: int) -> list[tuple[int, bytes]]:
-    """Place and hash of every run of sentences with enough words."""
+def spans_of(text: str, run: int, min_words: int, shorter: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, bytes]]:
+    """Place, length and hash of every run of sentences with enough words."""
     parts = sentences(text)
     if not parts:
         return []
-    run = min(run, len(parts))
+    lengths = {min(run, len(parts)): min_words}
+    for r, least in shorter:
+        if r <= len(parts):
+            lengths[r] = min(least, lengths.get(r, least))
     words = np.concatenate([[0], np.cumsum([len(p.encode().split()) for p in parts])])
-    enough = np.flatnonzero(words[run:] - words[:-run] >= min_words).tolist()
     digest = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in parts]
-    return [(i, hashlib.blake2b(b"".join(digest[i : i + run]), digest_size=16).digest()) for i in enough]
+    out = []
+    for r, least in lengths.items():
+        enough = np.flatnonzero(words[r:] - words[:-r] >= least).tolist()
+        out += [(i, r, hashlib.blake2b(b"".join(digest[i : i + r]), digest_size=16).digest()) for i in enough]
+    return out
 
 
-def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """doc, copy, place and hash of each span; own: it stands earlier in its document."""
+def _spans(docs: DataFrame, run: int, min_words: int, shorter: tuple[tuple[int, int], ...]) -> DataFrame:
+    """doc, copy, at (place and length, in 32 bits each) and hash of each span; own: it stands earlier in its document."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows, place, span, own = [], [], [], []
-            for i, text in enumerate(C.texts_of(b)):
-                seen: set[bytes] = set()
-                for p, h in spans_of(text or "", run, min_words):
-                    rows.append(i)
-                    place.append(p)
-                    span.append(h)
-                    own.append(h in seen)
-                    seen.add(h)
-            take = pa.array(rows, pa.int64())
-            halves = np.frombuffer(b"".join(span), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(place, pa.int32()), pa.array(own, pa.bool_()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                names=["doc", "copy", "place", "own", "h1", "h2"],
-            )
-
-    return docs.select("doc", "copy", "text").mapInArrow(batches, "doc long, copy long, place int, own boolean, h1 long, h2 long")
-
-
-def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, copy and places, where the repeated spans of a text begin, of documents with doc, copy and text."""
-    spans, _ = C.store(_spans(docs, run, min_words), "spans")
+            texts = C.texts_of(b)
+            for lo, hi in C.chunks([len(x or "") for x in texts]):  # spans outweigh their texts, so few texts at a time
+                rows, at, span, own = [], [], [], []
+                for i in range(lo, hi):
+                    seen: set[bytes] = set()
+                    for p, r, h in spans_of(texts[i] or "", run, min_words, shorter):
+                        rows.append(i)
+                        at.append(p << 32 | r)
+                        span.append(h)
+                        own.append(h in seen)
+                        seen.add(h)
+                take = pa.array(rows, pa.int64())
+                halves = np.frombuffer(b"".join(span), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int64()), pa.array(own, pa.bool_()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                    names=["doc", "copy", "at", "own", "h1", "h2"],
+                )
+
+    return docs.select("doc", "copy", "text").mapInArrow(batches, "doc long, copy long, at long, own boolean, h1 long, h2 long")
+
+
+def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, shorter: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """doc, copy and places, where the repeated spans of a text begin, with their lengths, of documents with doc, copy and text."""
+    spans, _ = C.store(_spans(docs, run, min_words, shorter), "spans")
     firsts = spans.filter("NOT own")
     shared = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared, _ = C.store(shared, "shared-spans")
     key = ["h1", "h2"]
     later = C.join_on_unique(firsts, shared, key, "n", spans.count(), "inner").filter("doc <> first")
-    found = later.select("doc", "copy", "place").unionByName(spans.filter("own").select("doc", "copy", "place"))
-    return found.groupBy("doc", "copy").agg(F.collect_set("place").alias("places"))
+    where = ["doc", "copy", "at"]
+    found = later.select(where).unionByName(spans.filter("own").select(where))
+    return found.groupBy("doc", "copy").agg(F.collect_set("at").alias("places"))
 
 
-def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, shorter: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """df with its column text cut by the repeated spans, and n_sentences and n_removed."""
     names = {"n_sentences", "n_removed", "_doc", "_copy", "_places"}
     df = df.drop(*[c for c in df.columns if c.lower() in names])
     keyed = df.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_copy", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), run, min_words)
+    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), run, min_words, shorter)
     both = keyed.join(places.toDF("_doc", "_copy", "_places"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
 
     def batch(b: pa.RecordBatch) -> list:
@@ -103,8 +118,8 @@ def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
         for text, starts in zip(C.texts_of(b), b.column(b.schema.get_field_index("_places")).to_pylist()):
             parts = sentences(text or "")
             out = np.zeros(len(parts), dtype=bool)
-            for p in starts or ():
-                out[p : p + run] = True
+            for s in starts or ():
+                out[s >> 32 : (s >> 32) + (s & 0xFFFFFFFF)] = True
             texts.append("\n".join([p for p, gone in zip(parts, out.tolist()) if not gone]) if out.any() else text)
             count.append(len(parts))
             removed.append(int(out.sum()))
@@ -121,7 +136,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left go; n_chars is that of the new text."""
     columns = docs.columns
-    out = without_repeats(docs).filter("n_removed < n_sentences OR n_sentences = 0")
+    out = without_repeats(docs, shorter=SHORTER).filter("n_removed < n_sentences OR n_sentences = 0")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(columns)

@@ -47,3 +47,21 @@ def test_stage(spark, odd, documents):
     assert kept.columns == documents.columns
     rows = {r.doc_id: r for r in S.stage(spark, odd, "").collect() if r.doc_id is not None}
     assert set(rows) == {1, 3, 4, 5, 6, 7} and rows[6].n_chars == len(rows[6].text)
+
+
+def test_stage_finds_passages_of_one_and_two_long_sentences(spark):
+    one = "It was " + " ".join(f"long{i}" for i in range(45)) + "."
+    two = ["A first part of " + " ".join(f"word{i}" for i in range(16)) + ".", "Then a second with " + " ".join(f"more{i}" for i in range(29)) + "."]
+    assert len(" ".join(two).split()) == 53
+    rows = [
+        (1, "Some start of its own. Six words begin this passage. " + one + " And another end."),
+        (2, "Nothing of this is elsewhere.\na | b | Six words begin this passage. " + one + " Here ends the second text."),
+        (3, "The third is about other things. " + " ".join(two) + " It goes on alone."),
+        (4, "Unrelated is the fourth one.\n" + " ".join(two) + "\nAnd closes by itself."),
+        (5, "A pair of short ones. Is left alone here. Fifth end."),
+        (6, "Sixth start. A pair of short ones. Is left alone here."),
+    ]
+    got = {r.doc_id: r.text for r in S.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert {i: got[i] for i in (1, 3, 5, 6)} == {r[0]: r[1] for r in rows if r[0] in (1, 3, 5, 6)}
+    assert got[2] == "Nothing of this is elsewhere.\na | b | Six words begin this passage.\nHere ends the second text."
+    assert got[4] == "Unrelated is the fourth one.\nAnd closes by itself."
