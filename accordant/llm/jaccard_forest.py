@@ -215,8 +215,9 @@ def _verify(members: DataFrame, words: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "tkey string, links long, partners long, tied string, whole boolean")
 
 
-def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document."""
+def _linked(docs: DataFrame, words: int, threshold: float, trees: int, depth: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of every document; and of every text with words its key, least doc_id (rep), number of documents, links and root,
+    which is one for all texts of a class. Both are stored."""
     docs = docs.select("doc_id", "text")
     prefix = prefix_length(threshold, trees, depth, recall)
     signed, _ = C.store(_signatures(docs, words, trees, prefix), "signatures")
@@ -246,8 +247,14 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     known = texts.join(linked, "tkey", "left").join(tied, "tkey", "left")
     known = known.select("tkey", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "tkey").alias("root"))
     known, _ = C.store(known, "known")
+    return signed, known
+
+
+def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every document."""
+    signed, known = _linked(docs, words, threshold, trees, depth, recall, block)
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("texts"))
-    least = C.join_on_unique(known, least, ["root"], "texts", texts.count()).select("tkey", "n", "links", "class_id")
+    least = C.join_on_unique(known, least, ["root"], "texts", known.count()).select("tkey", "n", "links", "class_id")
     ids = signed.withColumn("worded", F.size("nodes") > 0).select("doc_id", "worded", F.when(F.col("worded"), F.col("tkey")).alias("tkey"))
     alone = ids.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     found = C.join_on_unique(ids.filter("worded"), least, ["tkey"], "n", signed.count())
@@ -259,7 +266,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class, one row of it; documents without an id stay."""
-    keep = classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one document, that is a doc_id with one text, of each class: that of least doc_id (none comes last), of these that of the
+    least text key, and one row of it. A doc_id with texts of several classes stays once for each that it stands for."""
+    signed, known = _linked(docs, WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK)
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "tkey"))
+    chosen = known.groupBy("root").agg(least.alias("k")).select(F.col("k.rep").alias("_doc"), F.col("k.tkey").alias("_tkey"))
+    wordless = signed.filter(F.size("nodes") == 0).select("doc_id", F.coalesce("tkey", F.lit(""))).distinct()
+    chosen = chosen.unionByName(wordless.toDF("_doc", "_tkey"))
+    columns = docs.columns
+    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_tkey", F.coalesce(F.md5("text"), F.lit("")))
+    named = keyed.join(chosen, ["_doc", "_tkey"], "left_semi").dropDuplicates(["_doc", "_tkey"])
+    # Rows without an id may be many of one text: they become one before they are shuffled.
+    nameless = keyed.filter("_doc IS NULL").dropDuplicates(["_tkey"]).join(chosen.filter("_doc IS NULL").select("_tkey"), "_tkey", "left_semi")
+    return named.select(columns).unionByName(nameless.select(columns))

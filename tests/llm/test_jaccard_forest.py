@@ -94,3 +94,29 @@ def test_signatures_do_not_depend_on_batches(spark, documents):
     two = {r.doc_id: r.nodes for r in J._signatures(documents.limit(30).repartition(7), 5, 4, 3).collect()}
     assert one == two and all(len(set(map(tuple, [one[k]]))) == 1 for k in one)
     assert J._signatures(documents.filter(F.lit(False)), 5, 4, 3).count() == 0
+
+
+def test_stage_keeps_each_text_of_a_repeated_id(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two", "three", "four"))
+    rows = [
+        (1, one, "a"),
+        (2, one + " more", "near copy of 1"),
+        (2, two, "b"),
+        (2, two, "copy"),
+        (3, three, "c"),
+        (3, three + " more", "near copy, the same id"),
+        (None, one, "copy of 1"),
+        (None, four, "d"),
+        (None, four + " more", "near copy of d"),
+        (None, four, "copy of d"),
+        (None, None, "e"),
+        (None, "", "f"),
+        (4, "", "g"),
+        (4, None, "h"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    kept = J.stage(spark, df, "").collect()
+    assert [(r.doc_id, r.text) for r in kept if r.doc_id in (1, 2)] in ([(1, one), (2, two)], [(2, two), (1, one)])
+    assert sum(r.doc_id == 3 for r in kept) == 1 and {r.text for r in kept if r.doc_id == 4} == {"", None}
+    nameless = [r.text for r in kept if r.doc_id is None]
+    assert len(nameless) == 3 and {None, ""} < set(nameless) and (set(nameless) - {None, ""}) < {four, four + " more"}
