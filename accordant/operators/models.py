@@ -67,22 +67,29 @@ def _one_hot(train: pd.DataFrame, test: pd.DataFrame, columns: list[str], min_fr
     return (np.stack(m, axis=1) if m else np.zeros((len(f), 0)) for m, f in ((left, train), (right, test)))
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, fold: str = "fold", min_frequency: int = 10, c: float = 1.0) -> DataFrame:
-    """fold, the columns, label (0 or 1), n and p: the held-out probability of each combination. Each fold is fitted by a task of its own."""
-    counts = df.select(fold, *(F.coalesce(F.col(x).cast("string"), F.lit("na")).alias(x) for x in columns), F.col(label).cast("int").alias(label)).groupBy(fold, *columns, label).agg(F.count(F.lit(1)).alias("n"))
+def out_of_fold(df: DataFrame, columns: list[str], label: str, fold: str = "fold", min_frequency: int = 10, c: float = 1.0, carry: tuple[str, ...] = (), rate: str | None = None) -> DataFrame:
+    """fold, the columns, label (0 or 1), n and p: the held-out probability of each combination. Each fold is fitted by a task of its own.
+    Columns to carry tell combinations apart and are no features; rate is one of all of them whose share of positives in the training folds is
+    a feature (for a value that they lack, the share of all)."""
+    kept = [*columns, *(x for x in carry if x not in columns)]
+    counts = df.select(fold, *(F.coalesce(F.col(x).cast("string"), F.lit("na")).alias(x) for x in kept), F.col(label).cast("int").alias(label)).groupBy(fold, *kept, label).agg(F.count(F.lit(1)).alias("n"))
     folds = df.select(F.col(fold).alias("_held")).distinct()
     paired = counts.crossJoin(F.broadcast(folds))  # a row a combination and fold; folds are a handful
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([fold, *columns, label]).reset_index(drop=True)
+        pdf = pdf.sort_values([fold, *kept, label]).reset_index(drop=True)
         out = pdf[fold] == pdf["_held"]
         train, test = pdf[~out], pdf[out]
         a, b = _one_hot(train, test, columns, min_frequency)
+        if rate and len(train):
+            n, positive = (v.groupby(train[rate]).sum() for v in (train["n"], train["n"] * train[label]))
+            share, overall = positive / n, positive.sum() / n.sum()
+            a, b = (np.column_stack([m, f[rate].map(share).fillna(overall).to_numpy(np.float64)]) for m, f in ((a, train), (b, test)))
         beta = ridge_logit(a, train[label].to_numpy(np.float64), train["n"].to_numpy(np.float64), c) if len(train) else np.zeros(1)
         p = 1 / (1 + np.exp(-np.clip(np.column_stack([b, np.ones(len(b))]) @ beta, -700, 700)))
-        return test.assign(p=p)[[fold, *columns, label, "n", "p"]]
+        return test.assign(p=p)[[fold, *kept, label, "n", "p"]]
 
-    schema = ", ".join([f"{fold} int", *(f"{x} string" for x in columns), f"{label} int", "n long", "p double"])
+    schema = ", ".join([f"{fold} int", *(f"{x} string" for x in kept), f"{label} int", "n long", "p double"])
     return paired.groupBy("_held").applyInPandas(fit, schema)
 
 
@@ -101,10 +108,18 @@ def log_loss(df: DataFrame, by: list[str], p: str, label: str, weight: str) -> D
     return df.groupBy(*by).agg((F.sum(loss * F.col(weight)) / F.sum(weight)).alias("log_loss"))
 
 
-def fold_summary(df: DataFrame, value: str) -> DataFrame:
-    """Mean over folds, its standard error and normal interval."""
-    mean, se = F.avg(value), F.stddev_samp(value) / F.sqrt(F.count(value))
-    return df.agg(mean.alias("mean"), se.alias("se"), (mean - 1.96 * se).alias("low"), (mean + 1.96 * se).alias("high"))
+def within_auc(df: DataFrame, by: list[str], partition: str, score: str, label: str, weight: str) -> DataFrame:
+    """The areas within each partition, averaged by its weight; partitions of one class alone don't count."""
+    sizes = df.groupBy(*by, partition).agg(F.sum(weight).alias("_w"))
+    each = auc(df, [*by, partition], score, label, weight).join(sizes, [*by, partition]).filter("auc IS NOT NULL")
+    return each.groupBy(*by).agg((F.sum(F.col("auc") * F.col("_w")) / F.sum("_w")).alias("auc_within"))
+
+
+def fold_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over folds, its standard error (0 for a single fold) and normal interval, and the number of folds that have a value."""
+    mean, n = F.avg(value), F.count(value)
+    se = F.when(n > 1, F.stddev_samp(value) / F.sqrt(n)).when(n == 1, F.lit(0.0))
+    return df.groupBy(*by).agg(mean.alias("mean"), se.alias("se"), (mean - 1.96 * se).alias("low"), (mean + 1.96 * se).alias("high"), n.alias("folds"))
 
 
 def document_icc(df: DataFrame, cluster: str, value: str) -> DataFrame:
@@ -121,8 +136,9 @@ def document_icc(df: DataFrame, cluster: str, value: str) -> DataFrame:
 
 
 def auc_lift_bootstrap(scored: DataFrame, document: str, partition: str, base: str, other: str, label: str, n: int, seed: int) -> DataFrame:
-    """replicate and value, the gain in AUC of the score other over base, in n resamples of documents within partitions; nothing
-    is refitted. scored is summed up to a row a document, pair of scores and label before the driver sees it."""
+    """replicate, scope and value, the gain in AUC of the score other over base, in n resamples of documents within partitions; nothing
+    is refitted. The scope is raw (all rows), within (the gains within partitions, averaged by their rows), or a partition after `in `;
+    where a resample has one class alone there is no row. scored is summed up to a row a document, pair of scores and label before the driver sees it."""
     from .resample import replicates
 
     rows = scored.groupBy(partition, document, base, other, label).agg(F.count(F.lit(1)).alias("n")).orderBy(partition, document, base, other, label).toPandas()
@@ -131,10 +147,12 @@ def auc_lift_bootstrap(scored: DataFrame, document: str, partition: str, base: s
     clusters = [np.asarray(v) for v in first.groupby(partition).indices.values()]
     y, n_rows = rows[label].to_numpy(np.float64), rows["n"].to_numpy(np.float64)
     places = {s: np.unique(rows[s].to_numpy(), return_inverse=True) for s in (base, other)}
+    names = sorted(rows[partition].unique())
+    parts = [np.flatnonzero((rows[partition] == v).to_numpy()) for v in names]
 
-    def area(s: str, w: np.ndarray) -> float:
+    def area(s: str, w: np.ndarray, some: np.ndarray | slice = slice(None)) -> float:
         values, at = places[s]
-        p, q = np.bincount(at, w * y, len(values)), np.bincount(at, w * (1 - y), len(values))
+        p, q = np.bincount(at[some], (w * y)[some], len(values)), np.bincount(at[some], (w * (1 - y))[some], len(values))
         total = p.sum() * q.sum()
         return float((p * (np.cumsum(q) - q / 2)).sum() / total) if total else float("nan")
 
@@ -144,9 +162,15 @@ def auc_lift_bootstrap(scored: DataFrame, document: str, partition: str, base: s
         for c in clusters:
             times[c] = np.bincount(rng.integers(0, len(c), len(c)), minlength=len(c))
         w = times[owner] * n_rows
-        return {"value": area(other, w) - area(base, w)}
+        gains = np.array([area(other, w, r) - area(base, w, r) for r in parts])
+        weights = np.where(np.isnan(gains), 0.0, [w[r].sum() for r in parts])
+        within = float(np.nansum(gains * weights) / weights.sum()) if weights.sum() else float("nan")
+        return {"raw": area(other, w) - area(base, w), "within": within} | {f"part{k}": float(g) for k, g in enumerate(gains)}
 
-    return replicates(scored.sparkSession, n, draw, "value double")
+    columns = {"raw": "raw", "within": "within"} | {f"part{k}": f"in {v}" for k, v in enumerate(names)}
+    drawn = replicates(scored.sparkSession, n, draw, ", ".join(f"{x} double" for x in columns))
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("scope"), F.col(x).alias("value")) for x, v in columns.items())))
+    return drawn.select("replicate", pairs.alias("s")).select("replicate", "s.scope", "s.value").filter("value IS NOT NULL AND NOT isnan(value)")
 
 
 def additive_null(cells: DataFrame, stratum: list[str], partition: str, n: int, seed: int, sigma: float = 0.0, c: float = 1.0) -> DataFrame:
@@ -178,32 +202,35 @@ def words_of(text: Column, stop: list[str]) -> Column:
 
 
 def vocabulary(df: DataFrame, words: str, min_documents: int = 10, most: int = 800) -> DataFrame:
-    """word, documents and place of the most frequent words that enough rows have; ties by word. Counted over all rows."""
+    """word, documents and place of the most frequent words that enough rows have; ties by word. Counted over the rows given."""
     counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
     top = counts.orderBy(F.desc("documents"), "word").limit(most)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "word")) - 1)  # at most `most` rows
 
 
-def text_model(df: DataFrame, words: str, label: str, fold: str, vocab: DataFrame, columns: list[str], c: float = 1.0, steps: int = 25) -> DataFrame:
-    """fold, label and p: held-out probabilities of a ridge logit over the words of vocab and one-hot columns, with Spark's distributed
-    optimiser (at most steps of it), so that rows never gather. Words and categories of the training folds alone don't differ here: vocab is given."""
+def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[str], c: float = 1.0, steps: int = 25, min_documents: int = 10, most: int = 800) -> DataFrame:
+    """fold, label and p: held-out probabilities of a ridge logit over words and one-hot columns, with Spark's distributed optimiser
+    (at most steps of it), so that rows never gather. Each fold's vocabulary is counted over its training folds alone; a category that
+    these lack has no weight."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
 
-    terms = [r["word"] for r in vocab.orderBy("place").collect()]  # bounded by the vocabulary
-    rows = CountVectorizerModel.from_vocabulary(terms, inputCol=words, outputCol="_words").setBinary(True).transform(df) if terms else df
-    parts = ["_words"] if terms else []
+    rows, parts = df, []
     for x in columns:
         rows = rows.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("na")))
         rows = StringIndexer(inputCol=x, outputCol=f"_i_{x}", stringOrderType="alphabetAsc").fit(rows).transform(rows)
         rows = OneHotEncoder(inputCol=f"_i_{x}", outputCol=f"_o_{x}", dropLast=False).fit(rows).transform(rows)
         parts.append(f"_o_{x}")
-    rows = VectorAssembler(inputCols=parts, outputCol="_features").transform(rows).select(fold, label, "_features").persist()
+    rows = rows.select(fold, label, words, *parts).persist()
     out = None
     for r in sorted(x[0] for x in rows.select(fold).distinct().collect()):  # a handful of folds
-        train = rows.filter(F.col(fold) != r)
+        terms = [x["word"] for x in vocabulary(rows.filter(F.col(fold) != r), words, min_documents, most).orderBy("place").collect()]  # bounded by most
+        seen = CountVectorizerModel.from_vocabulary(terms, inputCol=words, outputCol="_words").setBinary(True).transform(rows) if terms else rows
+        seen = VectorAssembler(inputCols=["_words"] * bool(terms) + parts, outputCol="_features").transform(seen).select(fold, label, "_features")
+        train = seen.filter(F.col(fold) != r).persist()
         n = train.count()
         fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=steps).fit(train)
-        held = fitted.transform(rows.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
+        train.unpersist()
+        held = fitted.transform(seen.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
         out = held if out is None else out.unionByName(held)
     return out

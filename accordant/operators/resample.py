@@ -117,8 +117,9 @@ def null_summary(null: DataFrame, observed: float, plus_one: bool = True) -> Dat
     )
 
 
-def interval(values: DataFrame, share: float = 0.95) -> DataFrame:
-    """The percentile interval of replicates."""
+def interval(values: DataFrame, share: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """The percentile interval of replicates, of each group and with their number if by names columns."""
     tail = (1 - share) / 2
     at = lambda q: F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY value)")
-    return values.agg(F.avg("value").alias("mean"), at(round(tail, 6)).alias("low"), at(round(1 - tail, 6)).alias("high"))
+    out = [F.avg("value").alias("mean"), at(round(tail, 6)).alias("low"), at(round(1 - tail, 6)).alias("high")]
+    return values.groupBy(*by).agg(*out, *([F.count("value").alias("replicates")] if by else []))

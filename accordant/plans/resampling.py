@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +49,26 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out AUC and log loss of the cues alone and with the corpus, by fold."""
-    out = None
-    for name, columns in (("cues", CUES), ("cues_corpus", [*CUES, "corpus"]), ("corpus", ["corpus"])):
-        held = M.out_of_fold(_rows(spark, sf), columns, "y")
-        part = M.auc(held, ["fold"], "p", "y", "n").join(M.log_loss(held, ["fold"], "p", "y", "n"), "fold").withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumns({"auc": F.round("auc", 6), "log_loss": F.round("log_loss", 6)})
+    """Held-out AUC, log loss and AUC within corpora of the cues alone, with the corpus, with the corpus's base rate, and of the corpus
+    alone; and the paired gains over the cues. Means over the folds, with standard errors and normal intervals."""
+    metrics = ["auc", "log_loss", "auc_within"]
+    models = (("cues", CUES, None), ("cues_corpus", [*CUES, "corpus"], None), ("cues_rate", CUES, "corpus"), ("corpus", ["corpus"], None))
+    rows, parts = _rows(spark, sf).persist(), []
+    for name, columns, rate in models:
+        fitted = M.out_of_fold(rows, columns, "y", carry=("corpus",), rate=rate)
+        parts.append(fitted.select(F.lit(name).alias("model"), "fold", "corpus", "y", "n", F.round("p", 9).alias("p")))
+    held, key = reduce(lambda a, b: a.unionByName(b), parts).persist(), ["model", "fold"]  # read by each metric, fitted once
+    found = M.auc(held, key, "p", "y", "n").join(M.log_loss(held, key, "p", "y", "n"), key).join(M.within_auc(held, key, "corpus", "p", "y", "n"), key, "left")
+    found = found.filter("auc IS NOT NULL").select(*key, *metrics)
+    each = spark.createDataFrame(found.collect(), found.schema).unpivot(key, metrics, "metric", "value")  # a row a model and fold
+    held.unpersist()
+    rows.unpersist()
+    base = each.filter("model = 'cues'").select("fold", "metric", F.col("value").alias("base"))
+    gain = F.when(F.col("metric") == "log_loss", F.col("base") - F.col("value")).otherwise(F.col("value") - F.col("base"))
+    paired = each.filter("model IN ('cues_corpus', 'cues_rate')").join(base, ["fold", "metric"])
+    paired = paired.select(F.concat("model", F.lit(" gain")).alias("model"), "fold", "metric", gain.alias("value"))
+    out = M.fold_summary(each.unionByName(paired), "value", ("model", "metric"))
+    return out.withColumns({x: F.round(x, 6) for x in ("mean", "se", "low", "high")})
 
 
 def weighted_auc(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,12 +83,12 @@ def within_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lift_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """The gain in held-out AUC that the corpus brings to the cues, over resamples of documents."""
+    """The gain in held-out AUC that the corpus brings to the cues, over resamples of documents: raw, within corpora, and in each."""
     key = ["fold", *CUES]
     base = M.out_of_fold(_rows(spark, sf), CUES, "y").select(*key, F.round("p", 9).alias("base")).distinct()
     other = M.out_of_fold(_rows(spark, sf), [*CUES, "corpus"], "y").select(*key, "corpus", F.round("p", 9).alias("other")).distinct()
     rows = _rows(spark, sf).join(base, key).join(other, [*key, "corpus"])
-    return R.interval(M.auc_lift_bootstrap(rows, "document", "corpus", "base", "other", "y", 200, SEED))
+    return R.interval(M.auc_lift_bootstrap(rows, "document", "corpus", "base", "other", "y", 200, SEED), by=("scope",))
 
 
 def additive_null(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +114,9 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def text_control(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out AUC of quality from the words of a document, without and with its source."""
     rows = _texts(spark, sf).withColumn("fold", M.folds_by_hash(["doc_id"]))
-    vocab = M.vocabulary(rows, "words")
     out = None
     for name, columns in (("words", []), ("words_source", ["source"])):
-        held = M.text_model(rows, "words", "quality", "fold", vocab, columns).withColumns({"p": F.round("p", 6), "n": F.lit(1)})
+        held = M.text_model(rows, "words", "quality", "fold", columns).withColumns({"p": F.round("p", 6), "n": F.lit(1)})
         part = M.auc(held, ["fold"], "p", "quality", "n").withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("auc", F.round("auc", 4))

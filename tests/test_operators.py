@@ -113,6 +113,43 @@ def test_auc_counts_ties_half(spark):
     assert got == {"g": pytest.approx((1.5 + 4) / 6), "h": None}
 
 
+def test_out_of_fold_with_a_base_rate(spark):
+    rows = [(f, c, "a", int(i < k)) for f in range(2) for c, k in (("x", 18), ("y", 4)) for i in range(20)]
+    df = spark.createDataFrame([*rows, (1, "z", "a", 1)], "fold int, corpus string, cue string, y int")
+    plain = {(r.fold, r.corpus): r.p for r in models.out_of_fold(df, ["cue"], "y", carry=("corpus",)).collect()}
+    rate = {(r.fold, r.corpus): r.p for r in models.out_of_fold(df, ["cue"], "y", carry=("corpus",), rate="corpus").collect()}
+    assert plain[0, "x"] == plain[0, "y"] and rate[0, "x"] > rate[0, "y"]
+    # A corpus that the training fold lacks has the share of all, here midway between the others.
+    assert rate[1, "y"] < rate[1, "z"] < rate[1, "x"] and len(plain) == len(rate) == 5
+
+
+def test_within_auc_and_fold_summary(spark):
+    df = spark.createDataFrame([("g", "x", 0.9, 1, 1), ("g", "x", 0.1, 0, 1), ("g", "y", 0.2, 1, 2), ("g", "y", 0.3, 0, 2), ("g", "z", 0.5, 1, 9)], "g string, c string, s double, y int, w long")
+    assert models.within_auc(df, ["g"], "c", "s", "y", "w").first().auc_within == pytest.approx(2 / 6)
+    folds = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 2.0)], "m string, v double")
+    got = {r.m: tuple(r)[1:] for r in models.fold_summary(folds, "v", ("m",)).collect()}
+    assert got["a"] == pytest.approx((2.0, 1.0, 0.04, 3.96, 2)) and got["b"] == pytest.approx((2.0, 0.0, 2.0, 2.0, 1))
+
+
+def test_lift_within_and_by_partition(spark):
+    # In x the other score sorts all, base none; in y both sort all; z has one class.
+    rows = [("x", "d1", 0.5, 0.9, 1), ("x", "d1", 0.5, 0.1, 0), ("y", "d2", 0.9, 0.9, 1), ("y", "d2", 0.1, 0.1, 0), ("z", "d3", 0.9, 0.9, 1)]
+    df = spark.createDataFrame(rows, "c string, d string, a double, b double, y int")
+    got = {}
+    for r in models.auc_lift_bootstrap(df, "d", "c", "a", "b", "y", 7, 1).collect():
+        got.setdefault(r.scope, []).append(r.value)
+    assert {k: (len(v), set(v)) for k, v in got.items() if k != "raw"} == {"within": (7, {0.25}), "in x": (7, {0.5}), "in y": (7, {0.0})}
+    assert len(got["raw"]) == 7 and got["raw"][0] == pytest.approx(1 - 5.5 / 6)
+
+
+def test_text_model_counts_words_over_the_training_folds(spark):
+    # leak stands in the held-out fold alone; counted over all rows it would displace a word of the training folds.
+    rows = [(0, ["good"] if i % 2 else ["bad"], i % 2) for i in range(20)] + [(1, ["leak", "good"] if i % 2 else ["leak", "bad"], i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "fold int, words array<string>, y int")
+    held = models.text_model(df, "words", "y", "fold", [], most=2).filter("fold = 1").collect()
+    assert len(held) == 20 and all((r.p > 0.6) == (r.y == 1) for r in held) and len({round(r.p, 6) for r in held}) == 2
+
+
 def test_balanced_folds(spark):
     df = spark.createDataFrame([(d,) for d, n in (("a", 5), ("b", 3), ("c", 2), ("d", 1)) for _ in range(n)], "d string")
     assert {r.d: r.fold for r in models.folds_by_size(df, "d", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
