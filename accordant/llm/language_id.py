@@ -4,23 +4,27 @@ Features are the byte n-grams (2 to 4) of the lower-cased text in which every AS
 a space; each is hashed to one of BUCKETS embeddings. A text is the average of its embeddings; a linear softmax gives
 the languages. Embeddings and weights are trained together by stochastic gradient descent in numpy on at most
 TRAIN_ROWS documents (the bound of the sample; the eligible rows of least hash) and on short word runs cut from them,
-so that short texts are met in training too. Three tenths of the sample are set aside: on them a temperature is fitted, and with
-it the probability below which a prediction is rejected.
+so that short texts are met in training too. Three tenths of the sample are set aside. On them a temperature is fitted, and then
+the rejection: the calibrated probability that all but REJECTED of the set-aside examples give to their true language. A prediction
+below it is less sure than texts of the known languages are, and is rejected.
 
 For prediction the embeddings fold into one table of logits a bucket, in fixed point, so that sums are exact and equal
 texts get equal scores. Prediction reads the text alone and runs over every whole text in one pass without a shuffle.
 
-A null text, or one without a letter, gets `und` with score 0 and is rejected. Without eligible rows every text gets
-`und`. Repeated rows each get their result; columns of the computed names are replaced.
+A null text, or one without a letter (Unicode's category L; numerals are none), gets `und` with score 0 and is rejected, an empty one
+too. Without eligible rows every text gets `und`. Of languages with equal probability the first by name is given. A text of any
+length is read whole; a text longer than a batch of features stands in one alone. Repeated rows each get their result, equal texts
+equal ones; rows without an id are predicted but never learnt from. An empty table gives an empty table. Columns of the computed names
+(lang_pred, score, accepted) are replaced, others pass through.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +38,11 @@ TRAIN_ROWS = 3000
 EPOCHS, STEPS = 4, 8000
 RATE = 2.0
 SIZES = (2, 3, 4)
-#: A prediction whose calibrated probability of being right is below this is rejected.
-LEAST_CONFIDENCE = 0.5
+#: Share of the set-aside examples whose true language may have a probability below the fitted rejection.
+REJECTED = 0.005
 FIXED = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
@@ -50,6 +54,7 @@ class Model:
     languages: list[str]
     logits: np.ndarray  # (BUCKETS, languages), fixed point
     temperature: float
+    least: float  # a prediction of a lower probability is rejected
 
 
 def grams(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -87,9 +92,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
+def descend(texts: list[str], labels: list[str], languages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Embeddings and weights by stochastic gradient descent, and the examples set aside (all, if there are too few to set any aside)."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
     n_fit = max(1, len(texts) * 7 // 10)
 
@@ -121,13 +126,20 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             back = weights @ p
             weights -= rate * 0.1 * np.outer(mean, p)
             table[idx] -= rate * share[:, None] * back
+    return table, weights, held or fit
+
+
+def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
+    languages = sorted(set(labels))
+    table, weights, held = descend(texts, labels, languages, seed)
     logits = table @ weights
-    # The temperature of least log loss on what was set aside (on the fitted rows if nothing was).
-    raw = np.array([share @ logits[idx] for idx, share, _ in held or fit] or [np.zeros(len(languages))])
-    truth = np.array([y for *_, y in held or fit] or [0])
+    raw = np.array([share @ logits[idx] for idx, share, _ in held] or [np.zeros(len(languages))])
+    truth = np.array([y for *_, y in held] or [0])
+    # The temperature of least log loss on what was set aside.
+    right = lambda t: _softmax(raw / t)[np.arange(len(truth)), truth]
     grid = 2.0 ** np.arange(-5, 3, 0.25)
-    loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    return Model(languages, np.rint(logits.astype(np.float64) * FIXED).astype(np.int64), float(grid[int(np.argmin(loss))]))
+    temperature = float(min(grid, key=lambda t: -np.log(np.maximum(right(t), 1e-12)).mean()))
+    return Model(languages, np.rint(logits.astype(np.float64) * FIXED).astype(np.int64), temperature, float(np.quantile(right(temperature), REJECTED, method="lower")))
 
 
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -151,7 +163,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
         for j in range(a, b):
             lang[known[j]] = model.languages[best[j - a]]
         score[known[a:b]] = p[np.arange(b - a), best]
-    return lang, score, (score >= LEAST_CONFIDENCE) & np.array([x != "und" for x in lang], dtype=bool)
+    return lang, score, (score >= (model.least if model else 0)) & np.array([x != "und" for x in lang], dtype=bool)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -160,14 +172,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(df: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from at most rows labelled rows outside the held-out fold: those of least hash of their id. The texts of no others are read."""
+    """A model from at most rows labelled rows outside the held-out fold: those of least hash of their id, of one id those of least
+    hash of their text. Rows are thinned by the hash of their id before any is sorted, so that hardly more than these are moved."""
     ready = df.filter(~held_out() & F.col("lang").isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit(17)))
-    least = ready.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
-    if least is None:
-        return None
-    got = ready.filter(F.col("_h") <= least).filter(F.col("text").rlike(r"\p{L}")).select("_h", "text", "lang").collect()
-    got = sorted(got, key=lambda r: (r[0], r[1], r[2]))[:rows]
-    return train([r[1] for r in got], [r[2] for r in got]) if got else None
+    order = ["_h", F.xxhash64("text"), "lang"]
+
+    def least(some: DataFrame) -> list:
+        return some.filter(F.col("text").rlike(r"\p{L}")).select("text", "lang", *order[:1]).orderBy(*order).limit(rows).collect()
+
+    share = 4 * rows / max(1, ready.select("_h").count())
+    got = least(ready.filter(F.col("_h") < int((share - 0.5) * 2**64))) if share < 1 else least(ready)
+    if share < 1 and len(got) < rows:  # few ids, or few texts with a letter, below the cut
+        got = least(ready)
+    return train([r.text for r in got], [r.lang for r in got]) if got else None
 
 
 def identify(df: DataFrame, model: Model | None) -> DataFrame:

@@ -44,3 +44,66 @@ def test_training_is_bounded_and_repeats(documents):
 def test_stage_keeps_clean_documents(spark, documents):
     kept = L.stage(spark, documents, "")
     assert kept.columns == documents.columns and kept.count() >= 0.97 * documents.count()
+
+
+def test_prediction_is_the_softmax_of_the_mean_embedding(documents):
+    rows = documents.filter("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(90).collect()
+    texts, labels = [r.text for r in rows], [r.lang for r in rows]
+    languages = sorted(set(labels))
+    table, weights, _ = L.descend(texts, labels, languages, 11)
+    model = L.train(texts, labels)
+
+    def mean(text):
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (" " + text.lower() + " ").encode())
+        found = []
+        for n in (2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                g = raw[i : i + n]
+                if 32 in g[1:-1] or (g[0] == 32 and g[-1] == 32):
+                    continue
+                h = n
+                for b in g:
+                    h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 15
+                found.append(table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 17].astype(float))
+        return np.mean(found, axis=0)
+
+    asked = [*texts[:40], "one", "é", "Straße? 12 ½", texts[0] * 300]
+    lang, score, accepted = L.predict(model, asked)
+    for text, a, b, ok in zip(asked, lang, score, accepted):
+        z = mean(text) @ weights / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(p.max() - b) < 1e-3 and (a == languages[int(p.argmax())] or np.sort(p)[-2] > p.max() - 1e-3)
+        assert ok == (b >= model.least)
+
+
+def test_numerals_are_no_letters(documents):
+    model = L.fit(documents, 200)
+    lang, score, accepted = L.predict(model, ["½ ²", "12 ٣", "", None, "ª"])
+    assert lang[:4] == ["und"] * 4 and lang[4] != "und" and not score[:4].any() and not accepted[:4].any()
+
+
+def test_rejection_is_fitted(documents):
+    model = L.fit(documents, 300)
+    assert 0 < model.least < 1
+    junk = ["zqx " * 3, "\u4e00\u4e8c\u4e09 \u56db", "\u0436\u0449 \u044b"]
+    plain = [r.text for r in documents.filter("lang IS NOT NULL AND n_chars > 300").limit(60).collect()]
+    _, a, _ = L.predict(model, junk)
+    _, b, kept = L.predict(model, plain)
+    assert a.mean() < b.mean() and kept.mean() >= 0.98
+
+
+def test_one_id_with_many_texts_is_bounded(spark):
+    rows = spark.range(5000).selectExpr("CAST(3 AS long) AS doc_id", "concat('text number ', chr(97 + id % 26), id) AS text", "'en' AS lang")
+    seen = []
+    train, L.train = L.train, lambda texts, labels: seen.append(len(texts))
+    try:
+        L.fit(rows, 300)
+    finally:
+        L.train = train
+    assert seen == [300]
+
+
+def test_clashing_names(spark, odd):
+    out = L.identify(odd.withColumn("Lang_Pred", F.lit(1)).withColumn("score", F.lit("x")), None)
+    assert out.columns == [*odd.columns, "lang_pred", "score", "accepted"] and out.count() == odd.count()
