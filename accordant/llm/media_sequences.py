@@ -9,8 +9,14 @@ Payloads never move: what the join shuffles is a payload's features, computed wh
 digests. A digest may stand in a third of all references: those that have over a thousandth of them (at most 1000) go by
 a broadcast, the others by a shuffle join.
 
-A null text or HTML gives an empty payload or sequence. A reference whose digest isn't stored keeps its place with
-null features. Equal payloads have equal values, whatever their row. Other columns of the input are not read.
+An element left open ends where the element around it ends: so do captions, and skipped elements (scripts, styles, templates); a
+skipped element that nothing around it ends is read as if its tag weren't there. A figure within a figure ends the outer one's
+captioning. A figure with several captions has the last; a caption without media is text.
+
+A null text or HTML gives an empty payload or sequence, an empty table empty ones. Texts and pages of any length are read whole. A
+reference whose digest isn't stored keeps its place with null features. Equal payloads have equal values, whatever their row; repeated
+rows of a page, and pages of one key with different HTML, keep their own sequences. `interleave` replaces a column _row of its
+input; other columns pass through or, where a function names what it reads, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from . import common as C
 WIDTH = 64
 SCHEME = "media:sha256/"
 _SKIPPED = {"script", "style", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _MEDIA = {"img", "audio", "video", "source", "embed"}
 _BREAKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "ul", "ol", "article", "section", "nav", "header", "footer", "figure", "figcaption", "blockquote", "pre", "title"}
 
@@ -44,13 +51,18 @@ ITEM = T.StructType([
 
 
 class _Parser(HTMLParser):
-    """Items in document order. A figure's caption goes to its media, wherever in the figure it stands; without one the alternative text is the caption."""
+    """Items in document order. A figure's caption goes to its media, wherever in the figure it stands; without one the alternative text is the caption.
 
-    def __init__(self) -> None:
+    Open elements stand on a stack; the end of one ends those within it. shown: the numbers (by start tags) of skipped elements that are read after all."""
+
+    def __init__(self, shown: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
-        self.skip = 0
+        self.open: list[tuple[str, int]] = []
+        self.depth: dict[str, int] = {}
+        self.tags = self.skip = 0
+        self.shown = shown
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
         self.title: str | None = None
@@ -61,8 +73,20 @@ class _Parser(HTMLParser):
         if text:
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "src": None, "caption": None})
 
+    def close_caption(self) -> None:
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figure is not None:
+            self.title = text or self.title
+        elif text:
+            self.run.append(text)
+            self.flush()
+
     def close_figure(self) -> None:
         """Gives the figure's caption to its media; without media it is text."""
+        self.close_caption()
         for i in self.figure or ():
             self.items[i]["caption"] = self.title or self.items[i]["caption"]
         if not self.figure and self.title:
@@ -72,37 +96,51 @@ class _Parser(HTMLParser):
         self.figure = self.title = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SKIPPED:
+        self.tags += 1
+        if tag not in _VOID:
+            self.open.append((tag, self.tags))
+            self.depth[tag] = self.depth.get(tag, 0) + 1
+        if tag in _SKIPPED and self.tags not in self.shown:
             self.skip += 1
+        if self.skip:
+            return
         if tag in _BREAKS and self.caption is None:
             self.flush()
         if tag == "figure":
             self.close_figure()
             self.figure = []
         if tag == "figcaption":
+            self.close_caption()
             self.caption = []
         at = dict(attrs)
-        if tag in _MEDIA and at.get("src") and not self.skip:
+        if tag in _MEDIA and at.get("src"):
             self.flush()
             if self.figure is not None:
                 self.figure.append(len(self.items))
             self.items.append({"position": len(self.items), "kind": "media", "text": None, "src": at["src"], "caption": at.get("alt") or at.get("title")})
 
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag in _SKIPPED:  # elsewhere the stroke means nothing
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIPPED and self.skip:
-            self.skip -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            if self.figure is not None:
-                self.title = text
-            elif text:
-                self.run.append(text)
-                self.flush()
-        if tag == "figure" and self.figure is not None:
-            self.close_figure()
-        if tag in _BREAKS and self.caption is None:
-            self.flush()
+        if not self.depth.get(tag):
+            return
+        while True:
+            name, number = self.open.pop()
+            self.depth[name] -= 1
+            if name in _SKIPPED and number not in self.shown:
+                self.skip -= 1
+            elif not self.skip:
+                if name == "figcaption":
+                    self.close_caption()
+                if name == "figure" and self.figure is not None:
+                    self.close_figure()
+                if name in _BREAKS and self.caption is None:
+                    self.flush()
+            if name == tag:
+                return
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -110,12 +148,18 @@ class _Parser(HTMLParser):
 
 
 def parse(html: str | None) -> list[dict]:
-    parser = _Parser()
-    parser.feed(html or "")
-    parser.close()
-    parser.close_figure()
-    parser.flush()
-    return parser.items
+    shown: frozenset[int] = frozenset()
+    while True:
+        parser = _Parser(shown)
+        parser.feed(html or "")
+        parser.close()
+        # At the end only skipped elements that nothing ended are still open; scripts and styles hold no elements.
+        left = frozenset(k for name, k in parser.open if name in _SKIPPED - {"script", "style"}) - shown
+        if not left:
+            parser.close_figure()
+            parser.flush()
+            return parser.items
+        shown |= left
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -202,28 +246,49 @@ def features(store: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in names[2:]))
 
 
-def resolve(pages: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """A row for each media reference of the sequences (key, items): its position, caption, digest and the features of its payload."""
-    refs = pages.select(key, F.explode("items").alias("item")).filter("item.kind = 'media'")
-    refs = refs.select(key, "item.position", "item.caption", F.when(F.col("item.src").startswith(SCHEME), F.substring("item.src", len(SCHEME) + 1, 64)).alias("digest"))
+NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def resolve(pages: DataFrame, key: list[str], media: DataFrame) -> DataFrame:
+    """A row for each media reference of the sequences (key, items): its position, caption, digest and the features of its payload. Rows
+    that agree in key, position, caption and digest are one, with their number n_rows."""
+    refs = pages.select(*key, F.explode("items").alias("item")).filter("item.kind = 'media'")
+    digest = F.when(F.col("item.src").startswith(SCHEME), F.substring("item.src", len(SCHEME) + 1, 64))
+    refs = refs.groupBy(*key, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), digest.alias("digest")).agg(F.count(F.lit(1)).alias("n_rows"))
     total = media.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return C.join_on_unique(refs, media, ["digest"], "n", total)
 
 
 def interleave(pages: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """The sequences with their media resolved in place: items gain digest and feature; order, captions and unresolved references stay."""
-    found = resolve(pages, key, media).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("digest", "payload_bytes", "feature")))).alias("_media"))
-    joined = pages.join(found, key, "left")
-    return joined.withColumn("items", F.transform("items", lambda x: x.withField("media", F.try_element_at("_media", x["position"])))).drop("_media")
+    """The sequences with their media resolved in place: items gain media, a struct of digest and features; order, captions and
+    unresolved references stay. pages (key, items) is read several times, so it should be stored."""
+    # A struct equals another where both have null, so pages without a key find their media too.
+    row = pages.withColumn("_row", F.struct(F.col(key).alias("key"), F.xxhash64(F.to_json(F.struct("items"))).alias("hash")))
+    found = resolve(row, ["_row"], media)
+    entry = F.struct("position", F.struct("digest", *NAMES))
+    # Equal hashes of different sequences would give two entries of a position, so the map keeps the first of each.
+    entries = F.array_sort(F.collect_list(entry))
+    found = found.groupBy("_row").agg(F.max("n_rows").alias("n_rows"), F.map_from_entries(F.filter(entries, lambda x, i: (i == 0) | (F.element_at(entries, F.greatest(i, F.lit(1)))["position"] != x["position"]))).alias("_media"))
+    joined = C.join_on_unique(row, found, ["_row"], "n_rows", pages.count())
+    return joined.withColumn("items", F.transform("items", lambda x: x.withField("media", F.try_element_at("_media", x["position"])))).drop("_media", "_row", "n_rows")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's page has text, the whole payload as a captioned figure, more text, and the payload's last row as a second medium
+    without a caption; both come back through the page's interleaved sequence."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     made = docs.withColumn("payload", payload_of(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
-    store = stored_media(made, "digest", "payload")
+    made = made.withColumn("tail", F.expr(f"substring(payload, -{WIDTH}, {WIDTH})")).withColumn("tail_digest", F.sha2("tail", 256))
+    both = F.explode(F.array(F.struct("digest", "payload"), F.struct(F.col("tail_digest").alias("digest"), F.col("tail").alias("payload")))).alias("m")
+    store = stored_media(made.select(both).select("m.digest", "m.payload"), "digest", "payload")
     media, _ = C.store(features(store), "media-features")
     n_bytes = F.octet_length(F.coalesce("text", F.lit("")))
-    html = F.concat(F.lit("<article><h1>Document</h1><figure><figcaption>"), n_bytes.cast("string"), F.lit(f' bytes</figcaption><img src="{SCHEME}'), "digest", F.lit('"></figure></article>'))
-    pages = made.select(F.struct("doc_id", n_bytes.cast("long").alias("n_bytes")).alias("page"), html.alias("html"))
-    found = resolve(sequences(pages, "page"), "page", media)
-    return found.select("page.doc_id", "page.n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "position", "caption")
+    image = lambda digest: F.concat(F.lit(f'<img src="{SCHEME}'), digest, F.lit('">'))
+    parts = [F.lit("<article><h1>Document</h1><p>Its whole text follows.</p><figure><figcaption>"), n_bytes.cast("string"), F.lit(" bytes</figcaption>"), image(F.col("digest")), F.lit("</figure><p>And its last row:</p>"), image(F.col("tail_digest")), F.lit("<p>So it ends.</p></article>")]
+    pages = made.select(F.struct("doc_id", n_bytes.cast("long").alias("n_bytes")).alias("page"), F.concat(*parts).alias("html"))
+    pages, _ = C.store(sequences(pages, "page"), "sequences")
+    items = interleave(pages, "page", media)
+    seen = items.withColumn("shown", F.filter("items", lambda x: x["kind"] == "media")).withColumn("whole", F.col("shown")[0])
+    outline = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"], x["media"]["digest"]))), "|")
+    picked = [F.col(f"whole.media.{c}").alias(c) if c != "tail_crc32" else F.col("shown")[1]["media"][c].alias(c) for c in NAMES]
+    return seen.select("page.doc_id", "page.n_bytes", *picked, F.col("whole.position").alias("position"), F.col("whole.caption").alias("caption"), outline.alias("sequence"))

@@ -23,7 +23,53 @@ def test_query_is_lossless(spark, sf, texts):
         stored = M.to_media(payload)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(raw), len(payload), zlib.crc32(payload[-64:]), len(stored))
         assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
-        assert r.feature == M.feature(M.from_media(stored)) and r.caption == f"{len(raw)} bytes" and r.position == 1
+        assert r.feature == M.feature(M.from_media(stored)) and r.caption == f"{len(raw)} bytes" and r.position == 2
+        tail = hashlib.sha256(payload[-64:]).hexdigest()
+        assert r.sequence == f"0:text:Document|1:text:Its whole text follows.|2:media:{len(raw)} bytes|3:text:And its last row:|4:media:{tail}|5:text:So it ends."
+
+
+def test_feature_by_hand():
+    payload = bytes([0, 255] * 32 + [16] * 64)
+    # 64 columns; means: column sums 16 and 271 in turn, 143.5 on average; 32 samples of 0, 32 of 255, 64 of 16.
+    histogram = [250, 500] + [0] * 13 + [250]
+    assert M.feature(M.from_media(M.to_media(payload))) == f"2|{(255 * 32 + 16 * 64) * 1000 // 128}|{','.join(map(str, histogram))}|{'55' * 8}"
+
+
+def items(html):
+    return [(i["kind"], i["text"] or i["src"], i["caption"]) for i in M.parse(html)]
+
+
+def test_open_elements_end_with_their_parents():
+    assert items("<figure><img src=x><figcaption>cap</figure><p>rest</p>") == [("media", "x", "cap"), ("text", "rest", None)]
+    assert items("<figure><img src=x><figcaption>cap") == [("media", "x", "cap")]
+    assert items("<div>a<template>b</div><p>c</p>") == [("text", "a", None), ("text", "c", None)]
+    assert items("a<noscript><img src=x><p>rest</p>") == [("text", "a", None), ("media", "x", None), ("text", "rest", None)]
+    assert items("a<template>b</template>c<noscript>d") == [("text", "ac", None), ("text", "d", None)] or items("a<template>b</template>c<noscript>d") == [("text", "acd", None)]
+    assert items("<figure><figcaption>one<figure><img src=y></figure>z") == [("text", "one", None), ("media", "y", None), ("text", "z", None)]
+    assert items("<p>x</div></p></b>y") == [("text", "x", None), ("text", "y", None)]
+    deep = items("<div>" * 50_000 + "end")
+    assert deep == [("text", "end", None)]
+
+
+def test_repeated_pages_and_clashing_names(spark, odd):
+    store = M.features(M.stored_media(odd.withColumn("payload", M.payload_of(F.col("text"))).withColumn("digest", F.sha2("payload", 256)), "digest", "payload"))
+    digest = store.first().digest
+    html = f'a<img src="{M.SCHEME}{digest}" alt="c"><img src="{M.SCHEME}{digest}" alt="d">b'
+    rows = [(1, html), (1, html), (1, f'<img src="{M.SCHEME}{digest}">'), (None, html), (None, None)]
+    pages = M.sequences(spark.createDataFrame(rows, "page_id long, html string"), "page_id").withColumn("_row", F.lit("x")).withColumn("n", F.lit(1)).withColumn("digest", F.lit(2))
+    out = M.interleave(pages, "page_id", store)
+    got = out.collect()
+    assert len(got) == 5 and set(out.columns) == {"page_id", "items", "n", "digest"}
+    whole = [[(x.kind, x.caption, x.media and x.media.digest) for x in r["items"]] for r in got if len(r["items"]) == 4]
+    assert whole == [[("text", None, None), ("media", "c", digest), ("media", "d", digest), ("text", None, None)]] * 3
+
+
+def test_query_on_odd_rows(spark, odd, none, tmp_path):
+    odd.withColumn("payload", F.lit("x")).withColumn("digest", F.lit(1)).write.parquet(f"{tmp_path}/a/documents.parquet")
+    rows = M.query(spark, f"{tmp_path}/a").collect()
+    assert len(rows) == odd.count() and sum(r.n_bytes == 0 and r.payload_bytes == 64 for r in rows) == 3
+    none.write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert M.query(spark, f"{tmp_path}/b").count() == 0
 
 
 def test_pages_and_odd_rows(spark, sf, odd, none):
