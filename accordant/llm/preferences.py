@@ -5,16 +5,17 @@ role and text, is rendered once as the prompt. What is left of each side is its
 (start, end; characters of the completion) that assistants wrote, which a loss would count. The template renders a
 turn as `<|role|>`, a line end, its text and a line end; the span of a turn is its text and the line end after.
 
-The first turn at which the sides differ comes from a join on (pair, place) of the turns and a minimum, summed up
-before the shuffle, so no side is collected for it; each conversation is then gathered into the one row that its
-rendering is. Turns are placed by their turn number (null first), then role and text; repeated rows of a turn are one turn. A null role
-renders as an empty one, a null text as an empty one. Where one side is missing its completion is null and the other
-side is all completion. Everything is DataFrame expressions.
+A pair is one row of the result, so its turns are gathered by one shuffle of the texts: repeated rows of a turn go before it, and
+the prefix, the renderings and the masks are expressions over the sorted arrays. Turns are placed by their turn number (null
+first), then role and text; repeated rows of a turn are one turn, and several turns of one number stand one after the other. A null role
+renders as an empty one, a null text as an empty one. Where one side is missing its completion is null and the other side is all
+completion; equal sides are all prompt. Texts are kept whole whatever their length; a pair must fit in a row. An empty table gives an
+empty table. Only pair_id, side, turn, role and text are read of the input. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -28,17 +29,23 @@ def rendered(role: Column, text: Column) -> Column:
 
 def preferences(turns: DataFrame) -> DataFrame:
     """pair_id, n_prefix, prompt, and of each side the completion, its number of turns and its mask, of turns with pair_id, side (chosen or rejected), turn, role and text."""
+    return formatted(turns.groupBy("pair_id").agg(*(F.sort_array(F.collect_set(F.when(F.col("side") == s, _turn()))).alias(s) for s in SIDES)))
+
+
+def _turn() -> Column:
     empty = F.lit("")
-    rows = turns.select("pair_id", "side", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")).distinct()
-    order = Window.partitionBy("pair_id", "side").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(order) - 1)
-    # At each place: do both sides have the same turn? One row a (pair, place), so a plain aggregation does the join.
-    at = rows.groupBy("pair_id", "place").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("role", "text")).alias("a"), F.max(F.struct("role", "text")).alias("b"))
-    differs = (F.col("n") < 2) | (F.col("a") != F.col("b"))
-    prefix = at.groupBy("pair_id").agg(F.coalesce(F.min(F.when(differs, F.col("place"))), F.count(F.lit(1)).cast("int")).alias("n_prefix"))
-    placed = rows.join(prefix, "pair_id").withColumn("line", rendered(F.col("role"), F.col("text")))
-    is_prompt = F.col("place") < F.col("n_prefix")
-    one = F.struct("place", "line", "role")
+    return F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+
+
+def formatted(sides: DataFrame) -> DataFrame:
+    """What preferences gives, of pairs whose sides are sorted arrays of turns (turn, role, text)."""
+    plain = [F.transform(s, lambda x: F.struct(x["role"].alias("role"), rendered(x["role"], x["text"]).alias("line"))).alias(s) for s in SIDES]
+    lines = sides.select("pair_id", *plain)
+    # The first place at which the sides' turns differ; a shorter side differs from its end on.
+    least = F.least(*(F.size(s) for s in SIDES))
+    same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["line"] == b["line"]), F.lit(False)))
+    first = F.array_position(same, False).cast("int")
+    cut = lines.withColumn("n_prefix", F.when(first > 0, first - 1).otherwise(least))
 
     def text(items: Column) -> Column:
         return F.array_join(F.transform(items, lambda x: x["line"]), "")
@@ -55,31 +62,33 @@ def preferences(turns: DataFrame) -> DataFrame:
 
         return F.aggregate(items, start, step, lambda acc: acc["spans"])
 
-    def gathered(side: str, prompt: bool) -> Column:
-        return F.array_sort(F.collect_list(F.when((F.col("side") == side) & (is_prompt if prompt else ~is_prompt), one)))
-
-    pairs = placed.groupBy("pair_id").agg(
-        F.min("n_prefix").alias("n_prefix"),
-        gathered("chosen", True).alias("p"),
-        *(gathered(s, False).alias(f"_{s}") for s in SIDES),
-        *(F.max(F.col("side") == s).alias(f"has_{s}") for s in SIDES),
-    )
-    out = [F.col("pair_id"), F.col("n_prefix"), text(F.col("p")).alias("prompt")]
+    out = [F.col("pair_id"), F.col("n_prefix"), text(F.slice("chosen", F.lit(1), F.col("n_prefix"))).alias("prompt")]
     for s in SIDES:
-        has, items = F.col(f"has_{s}"), F.col(f"_{s}")
+        has, items = F.size(s) > 0, F.slice(s, F.col("n_prefix") + 1, F.size(s))
         out += [
             F.when(has, text(items)).alias(f"{s}_completion"),
             F.when(has, F.size(items)).alias(f"{s}_turns"),
             F.when(has, mask(items)).alias(f"{s}_mask"),
         ]
-    return pairs.select(out)
+    return cut.select(out)
+
+
+def variants(turns: DataFrame) -> DataFrame:
+    """Pairs made of whole conversations, for `formatted`: as they are (chosen), and up to their last assistant turn, which is cut to the
+    first half of its characters (rejected). A conversation without an assistant turn stays whole on both sides."""
+    whole = turns.groupBy(F.col("conv_id").alias("pair_id")).agg(F.sort_array(F.collect_set(_turn())).alias("chosen"))
+    spoken = F.filter("chosen", lambda x: (x["role"] == "assistant") & x["turn"].isNotNull())
+    last = F.array_max(F.transform(spoken, lambda x: x["turn"]))
+    half = lambda x: F.substr(x["text"], F.lit(1), F.floor(F.char_length(x["text"]) / 2).cast("int"))
+    kept = F.filter("chosen", lambda x: F.coalesce(x["turn"] <= last, F.lit(True)))
+    cut = F.transform(kept, lambda x: x.withField("text", F.when((x["turn"] == last) & (x["role"] == "assistant"), half(x)).otherwise(x["text"])))
+    return whole.withColumn("rejected", F.sort_array(F.array_distinct(cut)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair; those without an id have no pair and are left out."""
+    """Each conversation (chosen) and its variant with a cut last answer (rejected) are a pair; turns without a conversation's id have no pair and are left out."""
     turns = C.table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL")
-    side = F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, "chosen").otherwise("rejected")
-    pairs = preferences(turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    pairs = formatted(variants(turns))
     flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return pairs.select("pair_id", "n_prefix", "prompt", *(c for s in SIDES for c in (f"{s}_completion", f"{s}_turns", flat(F.col(f"{s}_mask")).alias(f"{s}_mask"))))
 
@@ -95,8 +104,10 @@ def oracle_sql() -> str:
         for s in SIDES
     )
     return f"""
-    WITH t AS (SELECT DISTINCT floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
-            turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+    WITH l AS (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL)
+    , t AS (SELECT DISTINCT conv_id AS pair_id, 'chosen' AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM l
+            UNION SELECT conv_id, 'rejected', turn, coalesce(role, ''), coalesce(CASE WHEN turn = last AND role = 'assistant' THEN left(text, length(text) // 2) ELSE text END, '')
+            FROM l WHERE coalesce(turn <= last, true))
     , r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS place, '<|' || role || '|>' || chr(10) || text || chr(10) AS line FROM t)
     , j AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role = b.role AND a.text = b.text AS same
             FROM (FROM r WHERE side = 'chosen') a FULL JOIN (FROM r WHERE side = 'rejected') b ON a.pair_id = b.pair_id AND a.place = b.place)
