@@ -80,9 +80,8 @@ def chunks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 # ---- hashing of words in numpy -------------------------------------------------------------
 
-#: Odd multiplier of the polynomial over bytes, and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multipliers of polynomials over bytes.
+_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,12 +103,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit hashes of raw[start:end] for all spans at once, from one prefix sum."""
     n = len(raw)
     sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * _powers_of(_BASE, n), out=sums[1:])
-    inverse = _powers_of(_INVERSE, n + 1)
+    np.cumsum((raw.astype(U64) + U64(1)) * _powers_of(base, n), out=sums[1:])
+    inverse = _powers_of(pow(base, -1, 1 << 64), n + 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

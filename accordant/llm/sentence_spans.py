@@ -1,30 +1,26 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end after `.`, `!` or `?` before white space, and at line ends. Every run of RUN consecutive sentences with
-at least MIN_WORDS words is hashed (128 bits), and the hashes of all documents are joined. A span belongs to the
-document of least doc_id that has it, and there to its first place; every other occurrence is a repeat, and the
-sentences that a repeat covers are removed. A text that loses some becomes its other sentences, a line each; any other
-text stays as it is. A passage of RUN whole sentences in two documents is found wherever it begins. A text of fewer
-sentences is one run.
-
-The query is held against SQL, which knows this one length. The pipeline's stage also hashes the shorter runs of SHORTER, which
-need more words, and removes what a repeat of any length covers: a passage of few long sentences, or one whose ends have grown
-together with their surroundings. A sentence that was changed within is equal to none and stays.
+Sentences end after `.`, `!`, `?` or, so that the cut ends of a passage cost a clause rather than a long sentence, `,`, `;` or
+`:` before white space, and at line ends. Every sentence begins a run and ends one: the fewest consecutive sentences, at most
+RUN, that have MIN_WORDS words or more. Every run is hashed (128 bits), and the hashes of all documents are joined. A span belongs
+to the document of least doc_id that has it, and there to its first place; every other occurrence is a repeat, and the
+sentences that a repeat covers are removed, with the white space after them. What stays keeps its bytes. A longer run
+that repeats is covered by those within it, so one length a place is enough; a list of more than RUN sentences of a word or two
+makes no run.
 
 Repeats within a document are found where it is read. Between documents only hashes and places are shuffled, summed up
 before the shuffle, so that a passage in a third of all documents costs a row a task; the occurrences come back by a
 broadcast of the at most 1000 spans with over a thousandth of all occurrences, and by a shuffle join for the others.
 The texts move once, to meet their removals.
 
-A null text stays null and has no sentences. Rows of one doc_id count as one document in the test, so they don't cut
-each other, and rows without an id as one that comes first. Other columns pass through; columns of the computed names
-are replaced.
+A null text stays null and has no sentences; an empty one, or one of white space, stays as it is and has none. A text of any length
+is cut whole, a batch at a time. Of equal rows of one doc_id, and of rows without an id, none cuts another: rows of one doc_id count
+as one document in the test, and rows without an id as one that comes first. An empty table gives an empty table. Other columns pass
+through; columns of the computed names (n_sentences, n_removed, _doc, _copy, _places) are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,66 +31,106 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-RUN = 3
-MIN_WORDS = 8
-#: Further lengths of runs, each with its least number of words.
-SHORTER = ((2, 20), (1, 25))
-_SPACE = "\x09\x0a\x0b\x0c\x0d "
-_CUT = re.compile(r"(?<=[.!?])[\x09-\x0D ]+|\n")
+RUN = 6
+MIN_WORDS = 16
+_ENDS = b".!?,;:"
 _NO_ID = -(1 << 63)
-
-
-def sentences(text: str) -> list[str]:
-    return [s for part in _CUT.split(text) if (s := part.strip(_SPACE))]
-
-
-def spans_of(text: str, run: int, min_words: int, shorter: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, bytes]]:
-    """Place, length and hash of every run of sentences with enough words."""
-    parts = sentences(text)
-    if not parts:
-        return []
-    lengths = {min(run, len(parts)): min_words}
-    for r, least in shorter:
-        if r <= len(parts):
-            lengths[r] = min(least, lengths.get(r, least))
-    words = np.concatenate([[0], np.cumsum([len(p.encode().split()) for p in parts])])
-    digest = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in parts]
-    out = []
-    for r, least in lengths.items():
-        enough = np.flatnonzero(words[r:] - words[:-r] >= least).tolist()
-        out += [(i, r, hashlib.blake2b(b"".join(digest[i : i + r]), digest_size=16).digest()) for i in enough]
+_SPACE, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STOP[list(_ENDS)] = True
+
+
+class Sentences:
+    """The sentences of some texts (as bytes), in order: start and end in the joined bytes, the text each is of, and its words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
+        step = np.diff(_SPACE[raw].astype(np.int8), prepend=np.int8(1 if len(raw) and _SPACE[raw[0]] else 0), append=np.int8(0))
+        # Runs of white space [lo, hi), the line ends that join the texts among them.
+        lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        if len(lo) < len(hi):
+            lo = np.concatenate([[0], lo])
+        lines = np.concatenate([[0], np.cumsum(raw == 10)])
+        cut = lines[hi] > lines[lo]
+        cut |= (lo > 0) & _STOP[raw[np.maximum(lo, 1) - 1]]
+        cut[:1] |= lo[:1] == 0
+        begin, end = np.concatenate([[0], hi[cut]]), np.concatenate([lo[cut], [len(raw)]])
+        real = end > begin
+        self.start, self.end = begin[real], end[real]
+        self.doc = np.searchsorted(self.bounds, self.start, side="right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        # A word begins with the text or after white space.
+        word = ~_SPACE[raw]
+        word[1:] &= _SPACE[raw[:-1]]
+        count = np.concatenate([[0], np.cumsum(word)])
+        self.words = count[self.end] - count[self.start]
+
+    def runs(self, most: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First sentence and length of every run: of each sentence the fewest sentences from it on, and up to it, with enough words."""
+        n = len(self.start)
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        every = np.arange(n)
+        on = np.searchsorted(total, total[:-1] + min_words)
+        back = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+        low, high = self.first[self.doc], self.first[self.doc + 1]
+        a, b = (on <= high) & (on - every <= most), (back >= low) & (every + 1 - back <= most)
+        both = np.unique(np.concatenate([every[a] * (most + 1) + on[a] - every[a], back[b] * (most + 1) + every[b] + 1 - back[b]]))
+        return both // (most + 1), both % (most + 1)
+
+    def hashes(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Two 64-bit hashes of each run."""
+        out = np.zeros((2, len(at)), dtype=C.U64)
+        for row, base in zip(out, (C._BASE, C.SECOND_BASE)):
+            own = C.span_hashes(self.raw, self.start, self.end, base)
+            for k in range(int(length.max()) if len(length) else 0):
+                more = length > k
+                row[more] = C.mix(row[more] * C.U64(base) + own[at[more] + k])
+        return out
+
+    def without(self, doc: int, gone: np.ndarray) -> bytes:
+        """A text's bytes but for those sentences (flags by place), each with the white space up to the next sentence or the end."""
+        a, b = self.bounds[doc], self.bounds[doc + 1] - 1
+        start = self.start[self.first[doc] : self.first[doc + 1]]
+        edge = np.concatenate([start, [b]])
+        raw = self.raw[a:b]
+        keep = np.ones(b - a, dtype=bool)
+        for i in np.flatnonzero(gone):
+            keep[edge[i] - a : edge[i + 1] - a] = False
+        return raw[keep].tobytes()
+
+
+def _again(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (by places) equal an earlier one of their text."""
+    order = np.lexsort((h[1], h[0], doc))
+    same = (np.diff(doc[order]) == 0) & (np.diff(h[0][order]) == 0) & (np.diff(h[1][order]) == 0)
+    out = np.zeros(len(doc), dtype=bool)
+    out[order[1:][same]] = True
     return out
 
 
-def _spans(docs: DataFrame, run: int, min_words: int, shorter: tuple[tuple[int, int], ...]) -> DataFrame:
+def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     """doc, copy, at (place and length, in 32 bits each) and hash of each span; own: it stands earlier in its document."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = C.texts_of(b)
-            for lo, hi in C.chunks([len(x or "") for x in texts]):  # spans outweigh their texts, so few texts at a time
-                rows, at, span, own = [], [], [], []
-                for i in range(lo, hi):
-                    seen: set[bytes] = set()
-                    for p, r, h in spans_of(texts[i] or "", run, min_words, shorter):
-                        rows.append(i)
-                        at.append(p << 32 | r)
-                        span.append(h)
-                        own.append(h in seen)
-                        seen.add(h)
-                take = pa.array(rows, pa.int64())
-                halves = np.frombuffer(b"".join(span), dtype=np.int64).reshape(-1, 2)
+            texts = [x or b"" for x in C.bytes_of(b)]
+            for lo, hi in C.chunks([len(x) for x in texts]):  # spans outweigh their texts, so few texts at a time
+                cut = Sentences(texts[lo:hi])
+                at, length = cut.runs(run, min_words)
+                h, doc = cut.hashes(at, length), cut.doc[at]
+                take = pa.array(doc + lo, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int64()), pa.array(own, pa.bool_()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array((at - cut.first[doc]) << 32 | length, pa.int64()), pa.array(_again(doc, h), pa.bool_()), *(pa.array(x.view(np.int64)) for x in h)],
                     names=["doc", "copy", "at", "own", "h1", "h2"],
                 )
 
     return docs.select("doc", "copy", "text").mapInArrow(batches, "doc long, copy long, at long, own boolean, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, shorter: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, copy and places, where the repeated spans of a text begin, with their lengths, of documents with doc, copy and text."""
-    spans, _ = C.store(_spans(docs, run, min_words, shorter), "spans")
+    spans, _ = C.store(_spans(docs, run, min_words), "spans")
     firsts = spans.filter("NOT own")
     shared = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared, _ = C.store(shared, "shared-spans")
@@ -105,25 +141,28 @@ def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, shorter
     return found.groupBy("doc", "copy").agg(F.collect_set("at").alias("places"))
 
 
-def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, shorter: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """df with its column text cut by the repeated spans, and n_sentences and n_removed."""
     names = {"n_sentences", "n_removed", "_doc", "_copy", "_places"}
     df = df.drop(*[c for c in df.columns if c.lower() in names])
     keyed = df.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_copy", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), run, min_words, shorter)
+    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), run, min_words)
     both = keyed.join(places.toDF("_doc", "_copy", "_places"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
 
     def batch(b: pa.RecordBatch) -> list:
+        raw, places = C.bytes_of(b), b.column(b.schema.get_field_index("_places"))
         texts, count, removed = [], [], []
-        for text, starts in zip(C.texts_of(b), b.column(b.schema.get_field_index("_places")).to_pylist()):
-            parts = sentences(text or "")
-            out = np.zeros(len(parts), dtype=bool)
-            for s in starts or ():
-                out[s >> 32 : (s >> 32) + (s & 0xFFFFFFFF)] = True
-            texts.append("\n".join([p for p, gone in zip(parts, out.tolist()) if not gone]) if out.any() else text)
-            count.append(len(parts))
-            removed.append(int(out.sum()))
-        return [pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64())]
+        for lo, hi in C.chunks([len(x or b"") for x in raw]):
+            cut = Sentences([x or b"" for x in raw[lo:hi]])
+            count += np.diff(cut.first).tolist()
+            for i in range(lo, hi):
+                found = places[i].as_py()
+                gone = np.zeros(count[i], dtype=bool)
+                for s in found or ():
+                    gone[s >> 32 : (s >> 32) + (s & 0xFFFFFFFF)] = True
+                texts.append(cut.without(i - lo, gone) if found else raw[i])
+                removed.append(int(gone.sum()))
+        return [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64())]
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
     return C.with_columns(both, batch, fields).drop("_places")
@@ -136,23 +175,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left go; n_chars is that of the new text."""
     columns = docs.columns
-    out = without_repeats(docs, shorter=SHORTER).filter("n_removed < n_sentences OR n_sentences = 0")
+    out = without_repeats(docs).filter("n_removed < n_sentences OR n_sentences = 0")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(columns)
 
 
 def oracle_sql() -> str:
-    """The same by list slices and windows over the spans' texts."""
-    space = r"[\x09-\x0D ]"
+    """The same by rows of sentences and windows over the texts of the runs. doc_id is unique in its table."""
+    space, stop = r"[\x09-\x0D ]", f"[{_ENDS.decode()}]"
     return rf"""
-    WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]){space}+', '\1' || chr(10), 'g'), chr(10)),
-            lambda x: regexp_replace(x, '^{space}+|{space}+$', '', 'g')), lambda x: len(x) > 0) AS parts FROM documents)
-    , p AS (SELECT doc_id, parts, least({RUN}, len(parts)) AS r, unnest(range(1, len(parts) - least({RUN}, len(parts)) + 2)) AS i FROM s WHERE len(parts) > 0)
-    , g AS (SELECT doc_id, i, r, parts[i:i + r - 1] AS g FROM p)
-    , k AS (SELECT doc_id, i, r, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g
-            WHERE list_sum(list_transform(g, lambda x: len(regexp_extract_all(x, '[^\x09-\x0D ]+')))) >= {MIN_WORDS})
-    , c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + r)) AS j FROM k WHERE again) GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda j: NOT list_contains(gone, j)),
-            lambda j: parts[j]), chr(10)), '') END AS text, len(parts)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed
-    FROM s LEFT JOIN c USING (doc_id)"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s:.*?(?:{stop}{space}+|\n{space}*)|.+)') AS pieces FROM documents)
+    , u AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM d)
+    , t AS (SELECT *, regexp_replace(piece, '^{space}+|{space}+$', '', 'g') AS s, len(regexp_extract_all(piece, '[^\x09-\x0D ]+')) AS w FROM u)
+    , n AS (SELECT doc_id, k, piece, s, CASE WHEN w > 0 THEN sum((w > 0)::INT) OVER o END AS i, sum(w) OVER o AS upto, sum(w) OVER o - w AS before FROM t
+            WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING))
+    , x AS (SELECT doc_id, i, s, upto, before FROM n WHERE i IS NOT NULL)
+    , r AS (SELECT doc_id, i AS a, j AS b FROM (SELECT p.doc_id, p.i, min(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i AND p.i + {RUN - 1} AND q.upto - p.before >= {MIN_WORDS} GROUP BY ALL)
+            UNION SELECT doc_id, j, i FROM (SELECT p.doc_id, p.i, max(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i - {RUN - 1} AND p.i AND p.upto - q.before >= {MIN_WORDS} GROUP BY ALL))
+    , l AS (SELECT doc_id, list(s ORDER BY i) AS parts FROM x GROUP BY doc_id)
+    , g AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY parts[a:b] ORDER BY doc_id, a) > 1 AS again FROM r JOIN l USING (doc_id))
+    , c AS (SELECT DISTINCT doc_id, unnest(range(a::BIGINT, b::BIGINT + 1)) AS i FROM g WHERE again)
+    , z AS (SELECT n.doc_id, count(n.i)::BIGINT AS n_sentences, count(c.i)::BIGINT AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN piece END, '' ORDER BY k) AS text
+            FROM n LEFT JOIN c ON n.doc_id = c.doc_id AND n.i = c.i GROUP BY n.doc_id)
+    SELECT doc_id, CASE WHEN n_removed > 0 THEN coalesce(z.text, '') ELSE d.text END AS text, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed
+    FROM documents d LEFT JOIN z USING (doc_id)"""
