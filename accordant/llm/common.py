@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,13 @@ def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+def byte_chunks(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """A batch's texts as bytes, null as empty, in runs of about limit bytes, each with the place of its first row. Only one run is held."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).fill_null(b"")
+    for lo, hi in chunks(pc.binary_length(column).to_pylist(), limit):
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+
+
 def chunks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of neighbours of about limit bytes together; a longer one stands alone."""
     start = total = 0

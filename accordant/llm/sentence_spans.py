@@ -33,6 +33,8 @@ from . import common as C
 
 RUN = 6
 MIN_WORDS = 16
+#: Bytes of texts cut at a time; the arrays over them outweigh them many times.
+CHUNK = 1 << 18
 _ENDS = b".!?,;:"
 _NO_ID = -(1 << 63)
 _SPACE, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -114,9 +116,8 @@ def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = [x or b"" for x in C.bytes_of(b)]
-            for lo, hi in C.chunks([len(x) for x in texts]):  # spans outweigh their texts, so few texts at a time
-                cut = Sentences(texts[lo:hi])
+            for lo, texts in C.byte_chunks(b, CHUNK):
+                cut = Sentences(texts)
                 at, length = cut.runs(run, min_words)
                 h, doc = cut.hashes(at, length), cut.doc[at]
                 take = pa.array(doc + lo, pa.int64())
@@ -150,17 +151,17 @@ def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
     both = keyed.join(places.toDF("_doc", "_copy", "_places"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
 
     def batch(b: pa.RecordBatch) -> list:
-        raw, places = C.bytes_of(b), b.column(b.schema.get_field_index("_places"))
+        places, known = b.column(b.schema.get_field_index("_places")), b.column(b.schema.get_field_index("text")).is_valid().to_pylist()
         texts, count, removed = [], [], []
-        for lo, hi in C.chunks([len(x or b"") for x in raw]):
-            cut = Sentences([x or b"" for x in raw[lo:hi]])
+        for lo, raw in C.byte_chunks(b, CHUNK):
+            cut = Sentences(raw)
             count += np.diff(cut.first).tolist()
-            for i in range(lo, hi):
-                found = places[i].as_py()
-                gone = np.zeros(count[i], dtype=bool)
+            for i, text in enumerate(raw):
+                found = places[lo + i].as_py()
+                gone = np.zeros(count[lo + i], dtype=bool)
                 for s in found or ():
                     gone[s >> 32 : (s >> 32) + (s & 0xFFFFFFFF)] = True
-                texts.append(cut.without(i - lo, gone) if found else raw[i])
+                texts.append((cut.without(i, gone) if found else text) if known[lo + i] else None)
                 removed.append(int(gone.sum()))
         return [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64())]
 
