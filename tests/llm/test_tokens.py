@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -33,13 +34,38 @@ def test_units_give_the_library_s_counts(texts):
 @settings(max_examples=60, deadline=None)
 def test_codec_gives_the_library_s_ids(texts):
     units = Units(texts)
-    ids, n, raw = codec.encode(units.distinct)
+    flat, n = codec.encode(units.distinct)
+    ids, raw = np.split(flat, np.cumsum(n)[:-1]), codec.decode(flat, n)
     for i, t in enumerate(texts):
         run = units.index[units.offset[i] : units.offset[i + 1]]
-        assert ",".join(filter(None, [ids[k] for k in run])) == ",".join(map(str, ranked.encode_ordinary(t)))
+        assert [x for k in run for x in ids[k].tolist()] == ranked.encode_ordinary(t)
         assert b"".join(raw[k] for k in run) == t.encode() and n[run].sum() == len(ranked.encode_ordinary(t))
 
 
+def one_word(raw):
+    return tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=B.ranks_of(RANKS), special_tokens={})._core_bpe.encode_single_piece(raw)
+
+
+@given(st.lists(st.binary(max_size=400) | st.text(st.sampled_from("aeinrst"), max_size=600).map(str.encode) | st.lists(st.sampled_from([b"the", b"ing", b"a", b"     ", b"==", b"tion"]), max_size=120).map(b"".join), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_long_words_are_joined_at_their_seams(words):
+    got = codec.contract([w for w in words if w])
+    assert got == [codec.merged([w])[0] for w in words if w]
+    assert [x for w, x in zip(filter(None, words), got) if w not in codec.ranks] == [one_word(w) for w in words if w and w not in codec.ranks]
+
+
+def test_words_of_a_hundred_thousand_bytes(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlucmfwyp"), 100_000)), "a" * 100_000, "=" * 99_999, "é漢" * 20_000]
+    began = time.time()
+    rows = B.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), RANKS).collect()
+    assert time.time() - began < 120
+    for r in rows:
+        ids = ranked.encode_ordinary(r.text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
 def test_counts_of_whole_texts(spark, sf, texts):
     for r in N.query(spark, sf).collect():
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
