@@ -4,14 +4,17 @@ A text's words are the runs of ASCII letters, digits and non-ASCII bytes of its
 runs of WORDS words (a shorter text is one shingle). Two texts are linked when their shingle sets have a Jaccard
 similarity of THRESHOLD or more.
 
-1. Each text gets a signature of minima of random functions of its shingles, TREES x DEPTH of them. A tree is the trie of
-   the signatures' stretches of DEPTH values. The matched prefix starts at DEPTH and is shortened, level by level,
-   until a pair at the threshold meets in some tree with a probability of RECALL or more; at the prefix so found
-   texts meet in the trie's nodes. (Any longer prefix falls short of the recall, any shorter one only adds candidates.)
+1. Each text gets a signature: the minima of TREES x DEPTH random functions of its shingles, 16 bits of each as a label. A
+   tree is the trie of the signatures' stretches of DEPTH labels, kept sorted by these. The recall of matched prefixes is
+   measured on planted pairs: in the pass that makes the signatures, about PLANTED texts get sets changed at random down to the
+   threshold, and each pair says how long a prefix it shares in some tree. Beginning with whole stretches, the matched prefix is
+   shortened, label by label, until the share of planted pairs that meet is RECALL or more; the trie nodes at that depth hold
+   what is compared.
 2. Equal texts go on as one, with their number. In each node every text is tied to the node's least text: a star, so a
    node of any size makes a row a text. The stars' connected components are the candidate groups; every pair that met
    in a node is within one.
-3. Within a group every pair is compared by whole shingle sets. A group over BLOCK texts is dealt into blocks by
+3. Within a group every pair whose sizes allow the threshold is compared by whole shingle sets, as the number of links is exact: two
+   members of a node may be linked though neither is to the node's least text. A group over BLOCK texts is dealt into blocks by
    hash and each pair of blocks is a task of its own; what leaves a task is a row a text (links, and the least text it
    is tied to), never the pairs. So all links within a group are found, also those that the forest alone would have missed.
 4. Classes are the connected components of the links.
@@ -21,7 +24,8 @@ included) with a similarity at or over the threshold; n_copies, those with the s
 
 Texts without words (null, empty) link to nothing; each is a class of its own with n_copies 1. Rows of one doc_id with
 different texts are different documents; equal rows are copies. Rows without an id take part, and have class_id null
-where all of their class have none. Of input columns only doc_id and text are read.
+where all of their class have none. A text of any length is read whole. An empty table gives an empty table. Of input columns only
+doc_id and text are read; the stage returns all, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,26 +41,25 @@ from . import common as C
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 24
+TREES = 32
 DEPTH = 8
-RECALL = 0.9999
+RECALL = 0.9998
+#: About how many texts get planted pairs, and how many each.
+PLANTED, COPIES = 2048, 2
 BLOCK = 256
 SEED = 20
+_NO_ID = -(1 << 63)
 
 _IS_WORD = np.array([chr(b).isascii() and chr(b).isalnum() or b >= 0x80 for b in range(256)])
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest matched prefix, shortened from depth, by which a pair at the threshold meets with a probability of recall."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    return shingles_of([(x or "").lower().encode("utf-8", "replace") for x in texts], words)
 
 
-def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingle sets of the texts, end to end, and where each begins."""
-    found = C.Words([(x or "").lower().encode("utf-8", "replace") for x in texts], _IS_WORD)
+def shingles_of(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingle sets of lower-cased texts, end to end, and where each begins."""
+    found = C.Words(texts, _IS_WORD)
     at, h = found.grams(words)
     doc = found.doc[at]
     short = np.flatnonzero((found.count > 0) & (found.count < words))
@@ -74,42 +77,80 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     return h, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def nodes(h: np.ndarray, cut: np.ndarray, trees: int, prefix: int) -> np.ndarray:
-    """The trie node that each text with shingles reaches in each tree, as a 64-bit hash of tree and prefix values."""
+def signatures(h: np.ndarray, cut: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Of each text with shingles its labels, (texts, trees, depth) numbers of 16 bits."""
     real = np.flatnonzero(np.diff(cut))
     starts = cut[:-1][real]
     rng = np.random.default_rng(SEED)
-    scale = rng.integers(1, 1 << 32, trees * prefix, dtype=np.uint32) | np.uint32(1)
-    shift = rng.integers(0, 1 << 32, trees * prefix, dtype=np.uint32)
+    scale = rng.integers(1, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
+    shift = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
     low = (h >> C.U64(32)).astype(np.uint32)
-    out = np.zeros((len(real), trees), dtype=C.U64)
-    if not len(real):
-        return out
-    for t in range(trees):
-        key = np.full(len(real), t + 1, dtype=C.U64)
-        for k in range(prefix):
-            i = t * prefix + k
-            least = np.minimum.reduceat((low ^ shift[i]) * scale[i], starts)
-            key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + least.astype(C.U64))
-        out[:, t] = key
-    return out
-
-
-def _signatures(docs: DataFrame, words: int, trees: int, prefix: int) -> DataFrame:
-    """doc_id, the text's key and the nodes it reaches; a text without words has none."""
+    out = np.zeros((len(real), trees * depth), dtype=np.uint16)
+    if len(real):
+        changed = np.empty_like(low)
+        for i in range(trees * depth):
+            np.bitwise_xor(low, shift[i], out=changed)
+            changed *= scale[i]
+            least = np.minimum.reduceat(changed, starts)
+            out[:, i] = (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+    return out.reshape(len(real), trees, depth)
+
+
+def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest prefix that each pair of signatures shares in some tree."""
+    return np.logical_and.accumulate(a == b, axis=2).sum(axis=2).max(axis=1)
+
+
+def planted(own: np.ndarray, threshold: float, copies: int, seed: int) -> list[np.ndarray]:
+    """A shingle set changed at random down to the threshold: as many shingles replaced as it allows, or, in a small set, taken away."""
+    rng = np.random.default_rng(seed)
+    n = len(own)
+    most = int(n * (1 - threshold) / (1 + threshold) + 1e-9)
+    gone = most or int(n * (1 - threshold) + 1e-9)
+    if not gone:
+        return []
+    return [np.concatenate([rng.permutation(own)[gone:], rng.integers(0, 1 << 64, most, dtype=C.U64)]) for _ in range(copies)]
+
+
+def _signatures(docs: DataFrame, words: int, threshold: float, trees: int, depth: int, every: int) -> DataFrame:
+    """doc_id, the text's key and its signature (the labels of each tree, end to end, as bytes that sort as they do), null for a text without
+    words; met: of one in `every` rows by hash, the longest prefix that each planted pair shares."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = C.texts_of(b)
-            lists = []
-            for lo, hi in C.chunks([len(x or "") for x in texts]):
-                h, cut = shingles(texts[lo:hi], words)
-                found = iter(nodes(h, cut, trees, prefix).astype(np.int64, copy=False).view(np.int64))
-                lists += [next(found) if cut[i + 1] > cut[i] else [] for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "tkey", "nodes"])
+            asked = b.column(3).to_pylist()
+            for lo, texts in C.byte_chunks(b, 1 << 20):
+                h, cut = shingles_of([x.decode("utf-8").lower().encode("utf-8") for x in texts], words)
+                rows = signatures(h, cut, trees, depth)
+                real = np.flatnonzero(np.diff(cut)).tolist()
+                signed, met = [None] * len(texts), [None] * len(texts)
+                for i, row in zip(real, rows.astype(">u2")):
+                    signed[i] = row.tobytes()
+                for at, i in enumerate(real):
+                    if asked[lo + i]:
+                        sets = planted(h[cut[i] : cut[i + 1]], threshold, COPIES, int(h[cut[i]] & C.U64(0xFFFFFFFF)))
+                        if sets:
+                            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                            changed = signatures(np.concatenate(sets), ends, trees, depth)
+                            met[i] = shared_prefix(changed, rows[at][None]).tolist()
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(signed, pa.binary()), pa.array(met, pa.list_(pa.int32()))], names=["doc_id", "tkey", "signature", "met"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("tkey"), "text")
-    return keyed.mapInArrow(batches, "doc_id long, tkey string, nodes array<long>")
+    keyed = keyed.withColumn("asked", F.pmod(F.xxhash64("doc_id", "tkey", F.lit(SEED)), F.lit(every)) == 0)
+    return keyed.mapInArrow(batches, "doc_id long, tkey string, signature binary, met array<int>")
+
+
+def matched_prefix(signed: DataFrame, trees: int, depth: int, threshold: float, recall: float) -> tuple[int, float]:
+    """The longest prefix by which the share recall of the planted pairs meet, and that share (1 label if none has it). Without any pairs it is
+    the longest that meets the recall by the minima's distribution."""
+    met = signed.filter("met IS NOT NULL").select(F.explode("met").alias("k")).groupBy("k").count().collect()  # depth + 1 rows at most
+    total = sum(n for _, n in met)
+    share = {k: sum(n for j, n in met if j >= k) / total if total else 1 - (1 - threshold**k) ** trees for k in range(1, depth + 1)}
+    k = depth
+    while k > 1 and share[k] < recall:
+        k -= 1
+    return k, share[k]
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -125,15 +166,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     def lesser(rows: DataFrame, a: Column, b: Column) -> DataFrame:
         return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
 
+    def follow(rows: DataFrame, key: str, points: DataFrame) -> DataFrame:
+        """rows (stored) with q, where their key points to, if it does. Many rows may have one key."""
+        weights = rows.groupBy(key).agg(F.count(F.lit(1)).alias("w"))
+        target, _ = C.store(points.toDF(key, "q").join(weights, key), f"{name}-targets")
+        return C.join_on_unique(rows, target, [key], "w", rows.count()).drop("w")
+
     left, path = C.store(lesser(edges, F.col("a"), F.col("b")), f"{name}-edges")
     rounds: list[DataFrame] = []
     while left.limit(1).count():
-        near = left.groupBy("a").agg(F.min("b").alias("p"))
-        twice = near.join(near.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        points, _ = C.store(twice, f"{name}-points")
+        near, _ = C.store(left.groupBy("a").agg(F.min("b").alias("p")), f"{name}-near")
+        points, _ = C.store(follow(near, "p", near).select("a", F.coalesce("q", "p").alias("p")), f"{name}-points")
         rounds.append(points)
-        both = left.join(points, "a").withColumnRenamed("p", "pa").join(points.toDF("b", "p"), "b", "left")
-        left, new = C.store(lesser(both, F.col("pa"), F.coalesce("p", "b")), f"{name}-edges")
+        once, _ = C.store(follow(left, "a", points).select(F.col("q").alias("pa"), "b"), f"{name}-once")  # every a points
+        left, new = C.store(lesser(follow(once, "b", points), F.col("pa"), F.coalesce("q", "b")), f"{name}-edges")
         C.drop_stored(spark, path)
         path = new
     if not rounds:
@@ -141,7 +187,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     # From a pointer's target the later rounds' pointers go on. Each step is stored, as it reads the one before it twice.
     roots = rounds[-1]
     for points in reversed(rounds[:-1]):
-        on = points.join(roots.toDF("p", "q"), "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+        on = follow(points, "p", roots).select("a", F.coalesce("q", "p").alias("p"))
         roots, _ = C.store(on.unionByName(roots.join(points.select("a"), "a", "left_anti")), f"{name}-roots")
     tops = roots.select("p").distinct().select(F.col("p").alias("node"), F.col("p").alias("root"))  # they never pointed
     return roots.toDF("node", "root").unionByName(tops)
@@ -150,12 +196,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def _compare(cross: bool, keys: list[str], block: list[int], weight: list[int], texts: list[str], words: int, threshold: float) -> list[tuple]:
     """A row for each text of a task: links by documents and by texts, and the least text that it is tied to."""
     h, cut = shingles(texts, words)
-    size = np.diff(cut)
+    # Texts by falling size: only those of at least the share threshold of a text's size can be linked to it.
+    order = np.argsort(-np.diff(cut), kind="stable")
+    keys, block_, weight_ = [keys[i] for i in order], np.array(block)[order], np.array(weight)[order]
+    h = np.concatenate([h[cut[i] : cut[i + 1]] for i in order] or [h])
+    size = np.diff(cut)[order]
+    cut = np.concatenate([[0], np.cumsum(size)])
+    last = np.searchsorted(-size, -threshold * size + 1e-9, side="right")
     n = len(keys)
     # Sets as runs of numbers of distinct shingles; a pair's intersection is a sum of flags over a run.
     universe, number = np.unique(h, return_inverse=True)
     flags = np.zeros(len(universe), dtype=np.uint8)
-    block_, weight_ = np.array(block), np.array(weight)
     links, partners, root = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), list(range(n))
 
     def top(i: int) -> int:
@@ -164,22 +215,25 @@ def _compare(cross: bool, keys: list[str], block: list[int], weight: list[int],
             i = root[i]
         return i
 
-    order = np.argsort(np.array(keys, dtype=object), kind="stable")
+    by_key = sorted(range(n), key=keys.__getitem__)
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
+    rank[by_key] = np.arange(n)
     for i in range(n - 1):
+        end = int(last[i])
+        if end <= i + 1:
+            continue
         own = number[cut[i] : cut[i + 1]]
         flags[own] = 1
-        both = np.add.reduceat(flags[number[cut[i + 1] :]], cut[i + 1 : -1] - cut[i + 1], dtype=np.int64)
+        both = np.add.reduceat(flags[number[cut[i + 1] : cut[end]]], cut[i + 1 : end] - cut[i + 1], dtype=np.int64)
         flags[own] = 0
-        near = both >= threshold * (size[i] + size[i + 1 :] - both) - 1e-9
+        near = both >= threshold * (size[i] + size[i + 1 : end] - both) - 1e-9
         if cross:
-            near &= block_[i + 1 :] != block_[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
+            near &= block_[i + 1 : end] != block_[i]
+        hit = np.flatnonzero(near) + i + 1
+        for j in hit.tolist():
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b, key=rank.__getitem__)] = min(a, b, key=rank.__getitem__)
-        hit = np.flatnonzero(near) + i + 1
         links[i] += weight_[hit].sum()
         links[hit] += weight_[i]
         partners[i] += len(hit)
@@ -194,8 +248,7 @@ def _verify(members: DataFrame, words: int, threshold: float) -> DataFrame:
         held, task = [], None
 
         def done() -> pa.RecordBatch:
-            unique = {r[4]: r for r in held}  # equal rows of one document
-            rows = [unique[k] for k in sorted(unique)]
+            rows = sorted(held, key=lambda r: r[4])
             out = _compare(task[1] != task[2], [r[4] for r in rows], [r[3] for r in rows], [r[5] for r in rows], [r[6] for r in rows], words, threshold)
             cols = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([rows[0][7] == 1] * len(rows))], names=["tkey", "links", "partners", "tied", "whole"])
@@ -219,12 +272,14 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, depth: in
     """The signatures of every document; and of every text with words its key, least doc_id (rep), number of documents, links and root,
     which is one for all texts of a class. Both are stored."""
     docs = docs.select("doc_id", "text")
-    prefix = prefix_length(threshold, trees, depth, recall)
-    signed, _ = C.store(_signatures(docs, words, trees, prefix), "signatures")
-    texts, _ = C.store(
-        signed.filter(F.size("nodes") > 0).groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("nodes").alias("nodes")), "texts"
-    )
-    reached = texts.select("tkey", F.explode("nodes").alias("node"))
+    every = max(1, docs.count() // PLANTED)
+    signed, _ = C.store(_signatures(docs, words, threshold, trees, depth, every), "signatures")
+    prefix, _ = matched_prefix(signed, trees, depth, threshold, recall)
+    worded = signed.filter("signature IS NOT NULL")
+    texts, _ = C.store(worded.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "texts")
+    # A node: a tree and the first labels of its stretch.
+    stretch = lambda t: F.substr("signature", t * F.lit(2 * depth) + 1, F.lit(2 * prefix))
+    reached = texts.select("tkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, stretch(t)))).alias("node"))
     shared = reached.groupBy("node").agg(F.min("tkey").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared, _ = C.store(shared, "shared-nodes")  # both branches of the join read it
     stars = C.join_on_unique(reached, shared, ["node"], "m", texts.count() * trees, "inner")
@@ -233,10 +288,12 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, depth: in
     members = C.join_on_unique(groups, sizes, ["root"], "members", texts.count(), "inner")
     members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.join(texts.select(F.col("tkey").alias("node"), "rep", "n"), "node").withColumnRenamed("node", "tkey")
-    # The text itself comes from its least document: one row a text, whatever the number of copies.
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.md5("text").alias("tkey"), "text")
-    same = members["rep"].eqNullSafe(source["rep"]) & (members["tkey"] == source["tkey"])
-    members = source.join(members, same, "inner").select("root", members["tkey"], "n", "blocks", "block", "text")
+    # The text itself comes from its least document: one row a text, whatever the number of copies; its equal rows become one.
+    known_rep = lambda c: F.coalesce(c, F.lit(_NO_ID))
+    source = docs.select(known_rep(F.col("doc_id").cast("long")).alias("rep"), F.md5("text").alias("tkey"), "text")
+    members, _ = C.store(members.withColumn("rep", known_rep(F.col("rep"))), "members")
+    members = C.join_on_unique(source, members, ["rep", "tkey"], "n", signed.count(), "inner").dropDuplicates(["tkey"])
+    members = members.select("root", "tkey", "n", "blocks", "block", "text")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = paired.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     checked, _ = C.store(_verify(tasks, words, threshold), "links")
@@ -255,7 +312,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     signed, known = _linked(docs, words, threshold, trees, depth, recall, block)
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("texts"))
     least = C.join_on_unique(known, least, ["root"], "texts", known.count()).select("tkey", "n", "links", "class_id")
-    ids = signed.withColumn("worded", F.size("nodes") > 0).select("doc_id", "worded", F.when(F.col("worded"), F.col("tkey")).alias("tkey"))
+    ids = signed.withColumn("worded", F.col("signature").isNotNull()).select("doc_id", "worded", F.when(F.col("worded"), F.col("tkey")).alias("tkey"))
     alone = ids.filter("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     found = C.join_on_unique(ids.filter("worded"), least, ["tkey"], "n", signed.count())
     return found.select("doc_id", "class_id", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("n").alias("n_copies")).unionByName(alone)
@@ -271,7 +328,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     signed, known = _linked(docs, WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK)
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "tkey"))
     chosen = known.groupBy("root").agg(least.alias("k")).select(F.col("k.rep").alias("_doc"), F.col("k.tkey").alias("_tkey"))
-    wordless = signed.filter(F.size("nodes") == 0).select("doc_id", F.coalesce("tkey", F.lit(""))).distinct()
+    wordless = signed.filter(F.col("signature").isNull()).select("doc_id", F.coalesce("tkey", F.lit(""))).distinct()
     chosen = chosen.unionByName(wordless.toDF("_doc", "_tkey"))
     columns = docs.columns
     keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_tkey", F.coalesce(F.md5("text"), F.lit("")))

@@ -1,8 +1,10 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from accordant.llm import jaccard_forest as J
@@ -32,9 +34,38 @@ def got(df):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in df.collect())
 
 
-def test_prefix_is_shortened_to_the_recall():
-    k = J.prefix_length(J.THRESHOLD, J.TREES, J.DEPTH, J.RECALL)
-    assert 1 - (1 - 0.8**k) ** J.TREES >= J.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** J.TREES
+def test_prefix_is_shortened_to_the_measured_recall(spark, documents):
+    signed = J._signatures(documents, J.WORDS, J.THRESHOLD, J.TREES, J.DEPTH, 1).cache()
+    met = [k for r in signed.filter("met IS NOT NULL").collect() for k in r.met]
+    assert len(met) > 300
+    share = {k: sum(m >= k for m in met) / len(met) for k in range(1, J.DEPTH + 1)}
+    for target in (0.9, 0.99, J.RECALL):
+        k, got_share = J.matched_prefix(signed, J.TREES, J.DEPTH, J.THRESHOLD, target)
+        assert got_share == share[k] >= target and (k == J.DEPTH or share[k + 1] < target)
+    # The planted pairs are at the threshold, so their shares are those of the minima there.
+    assert all(abs(share[k] - (1 - (1 - 0.8**k) ** J.TREES)) < 0.05 for k in share)
+    none = signed.filter("met IS NULL AND false")
+    assert J.matched_prefix(none, J.TREES, J.DEPTH, J.THRESHOLD, J.RECALL)[0] >= 1
+
+
+def test_planted_sets_reach_the_threshold():
+    for n in (5, 9, 40, 900):
+        own = np.arange(n, dtype=np.uint64) * np.uint64(1 << 40)
+        for x in J.planted(own, 0.8, 3, n):
+            both = len(set(own.tolist()) & set(x.tolist()))
+            assert 0.8 <= both / (len(own) + len(x) - both) < 0.8 + 2 / n + 1e-9
+    assert J.planted(np.arange(3, dtype=np.uint64), 0.8, 2, 1) == []
+
+
+def test_tries_meet_by_prefixes():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(40)]
+    sets += [np.concatenate([x[10:], rng.integers(0, 1 << 63, 10).astype(np.uint64)]) for x in sets]
+    rows = J.signatures(np.concatenate(sets), np.arange(81) * 200, 6, 8)
+    raw = [[r.tobytes() for r in x.astype(">u2")] for x in rows]
+    for i, j in itertools.combinations(range(80), 2):
+        longest = max(len(os.path.commonprefix([a, b])) // 2 for a, b in zip(raw[i], raw[j]))
+        assert J.shared_prefix(rows[i][None], rows[j][None])[0] == longest
 
 
 def test_documents(spark, sf, texts):
@@ -90,10 +121,15 @@ def test_components(spark):
 
 
 def test_signatures_do_not_depend_on_batches(spark, documents):
-    one = {r.doc_id: r.nodes for r in J._signatures(documents.limit(30).coalesce(1), 5, 4, 3).collect()}
-    two = {r.doc_id: r.nodes for r in J._signatures(documents.limit(30).repartition(7), 5, 4, 3).collect()}
-    assert one == two and all(len(set(map(tuple, [one[k]]))) == 1 for k in one)
-    assert J._signatures(documents.filter(F.lit(False)), 5, 4, 3).count() == 0
+    made = lambda df: {r.doc_id: (r.signature, r.met) for r in J._signatures(df, 5, 0.8, 4, 3, 2).collect()}
+    one = made(documents.limit(30).coalesce(1))
+    assert one == made(documents.limit(30).repartition(7)) and any(m for _, m in one.values())
+    assert not made(documents.filter(F.lit(False)))
+
+
+def test_repeated_rows_are_one_text_and_hubs_are_joined(spark):
+    rows = near_copies(40) + [near_copies(40)[0]] * 60
+    assert got(J.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=16)) == brute(rows)
 
 
 def test_stage_keeps_each_text_of_a_repeated_id(spark):
