@@ -252,11 +252,12 @@ NAMES = [x.split()[0] for x in FEATURES.split(", ")]
 def resolve(pages: DataFrame, key: list[str], media: DataFrame) -> DataFrame:
     """A row for each media reference of the sequences (key, items): its position, caption, digest and the features of its payload. Rows
     that agree in key, position, caption and digest are one, with their number n_rows."""
-    refs = pages.select(*key, F.explode("items").alias("item")).filter("item.kind = 'media'")
-    digest = F.when(F.col("item.src").startswith(SCHEME), F.substring("item.src", len(SCHEME) + 1, 64))
-    refs = refs.groupBy(*key, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), digest.alias("digest")).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = media.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return C.join_on_unique(refs, media, ["digest"], "n", total)
+    digest = F.when(F.col("item.src").startswith(SCHEME), F.substring("item.src", len(SCHEME) + 1, 64)).alias("digest")
+    refs = pages.select(*key, F.explode("items").alias("item")).filter("item.kind = 'media'").select(*key, "item.position", "item.caption", digest)
+    weights = refs.filter("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("w"))
+    refs = refs.groupBy(*key, "position", "caption", "digest").agg(F.count(F.lit(1)).alias("n_rows"))
+    total = pages.select(F.coalesce(F.sum(F.size(F.filter("items", lambda x: x["kind"] == "media"))), F.lit(0))).first()[0]
+    return C.join_on_unique(refs, media.join(weights, "digest"), ["digest"], "w", total).drop("w")
 
 
 def interleave(pages: DataFrame, key: str, media: DataFrame) -> DataFrame:
@@ -274,21 +275,18 @@ def interleave(pages: DataFrame, key: str, media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's page has text, the whole payload as a captioned figure, more text, and the payload's last row as a second medium
-    without a caption; both come back through the page's interleaved sequence."""
+    """Each document's page has text, a mark that all pages share, the whole payload as a captioned figure and more text; both media come
+    back through the page's interleaved sequence. The mark's payload is that of an empty text."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     made = docs.withColumn("payload", payload_of(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
-    made = made.withColumn("tail", F.expr(f"substring(payload, -{WIDTH}, {WIDTH})")).withColumn("tail_digest", F.sha2("tail", 256))
-    both = F.explode(F.array(F.struct("digest", "payload"), F.struct(F.col("tail_digest").alias("digest"), F.col("tail").alias("payload")))).alias("m")
-    store = stored_media(made.select(both).select("m.digest", "m.payload"), "digest", "payload")
-    media, _ = C.store(features(store), "media-features")
+    mark = spark.range(1).select(payload_of(F.lit("")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    media, _ = C.store(features(stored_media(made.select("digest", "payload").unionByName(mark), "digest", "payload")), "media-features")
     n_bytes = F.octet_length(F.coalesce("text", F.lit("")))
-    image = lambda digest: F.concat(F.lit(f'<img src="{SCHEME}'), digest, F.lit('">'))
-    parts = [F.lit("<article><h1>Document</h1><p>Its whole text follows.</p><figure><figcaption>"), n_bytes.cast("string"), F.lit(" bytes</figcaption>"), image(F.col("digest")), F.lit("</figure><p>And its last row:</p>"), image(F.col("tail_digest")), F.lit("<p>So it ends.</p></article>")]
+    image = lambda digest, more="": F.concat(F.lit(f'<img {more}src="{SCHEME}'), digest, F.lit('">'))
+    mark_digest = F.lit(hashlib.sha256(bytes(WIDTH)).hexdigest())
+    parts = [F.lit("<article><h1>Document</h1>"), image(mark_digest, 'alt="mark" '), F.lit("<p>Its text:</p><figure><figcaption>"), n_bytes.cast("string"), F.lit(" bytes</figcaption>"), image(F.col("digest")), F.lit("</figure><p>So it ends.</p></article>")]
     pages = made.select(F.struct("doc_id", n_bytes.cast("long").alias("n_bytes")).alias("page"), F.concat(*parts).alias("html"))
     pages, _ = C.store(sequences(pages, "page"), "sequences")
-    items = interleave(pages, "page", media)
-    seen = items.withColumn("shown", F.filter("items", lambda x: x["kind"] == "media")).withColumn("whole", F.col("shown")[0])
-    outline = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"], x["media"]["digest"]))), "|")
-    picked = [F.col(f"whole.media.{c}").alias(c) if c != "tail_crc32" else F.col("shown")[1]["media"][c].alias(c) for c in NAMES]
-    return seen.select("page.doc_id", "page.n_bytes", *picked, F.col("whole.position").alias("position"), F.col("whole.caption").alias("caption"), outline.alias("sequence"))
+    seen = interleave(pages, "page", media).withColumn("shown", F.filter("items", lambda x: x["kind"] == "media")).withColumn("whole", F.col("shown")[1])
+    outline = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"]), x["media"]["payload_bytes"])), "|")
+    return seen.select("page.doc_id", "page.n_bytes", *(F.col(f"whole.media.{c}").alias(c) for c in NAMES), F.col("whole.position").alias("position"), F.col("whole.caption").alias("caption"), outline.alias("sequence"))
