@@ -190,7 +190,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         on = follow(points, "p", roots).select("a", F.coalesce("q", "p").alias("p"))
         roots, _ = C.store(on.unionByName(roots.join(points.select("a"), "a", "left_anti")), f"{name}-roots")
     tops = roots.select("p").distinct().select(F.col("p").alias("node"), F.col("p").alias("root"))  # they never pointed
-    return roots.toDF("node", "root").unionByName(tops)
+    return C.store(roots.toDF("node", "root").unionByName(tops), f"{name}-components")[0]
 
 
 def _compare(cross: bool, keys: list[str], block: list[int], weight: list[int], texts: list[str], words: int, threshold: float) -> list[tuple]:
@@ -292,7 +292,8 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, depth: in
     known_rep = lambda c: F.coalesce(c, F.lit(_NO_ID))
     source = docs.select(known_rep(F.col("doc_id").cast("long")).alias("rep"), F.md5("text").alias("tkey"), "text")
     members, _ = C.store(members.withColumn("rep", known_rep(F.col("rep"))), "members")
-    members = C.join_on_unique(source, members, ["rep", "tkey"], "n", signed.count(), "inner").dropDuplicates(["tkey"])
+    # By a shuffle at every size: what is broadcast for a small input would have to be shuffled for a large one.
+    members = C.join_on_unique(source, members.hint("merge"), ["rep", "tkey"], "n", signed.count(), "inner").dropDuplicates(["tkey"])
     members = members.select("root", "tkey", "n", "blocks", "block", "text")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = paired.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
