@@ -53,6 +53,11 @@ def pair(a: Column, b: Column) -> Column:
     return F.when(a != b, F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
 
 
+def either(a: Column, b: Column) -> Column:
+    """An unordered pair, also of one with itself; null where an end is missing."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+
+
 def joined_unique(values: Column) -> Column:
     """Distinct values that aren't empty, sorted, joined by `|`."""
     return F.array_join(F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")))), "|")
