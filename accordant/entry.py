@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import paths, records, resampling, statistics
+from .plans import lexical, paths, records, resampling, statistics, store
 
-_PARTS = (statistics, records, resampling, paths)
+_PARTS = (statistics, records, resampling, paths, store, lexical)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .cells import first_of_group
 
-#: Dependency names and what they are taken for.
-DEPENDENCIES = {"obj": "dobj", "obl": "nmod", "pobj": "nmod", "nsubj:pass": "nsubjpass", "iobj": "dobj"}
+# Dependency names and what they are taken for.
+DEPENDENCIES = {"obj": "dobj", "obl": "nmod", "pobj": "nmod", "nsubj:pass": "nsubjpass", "csubjpass": "nsubjpass", "csubj": "nsubj"}
 
 
 def preposition(c: Column) -> Column:
@@ -24,7 +24,7 @@ def preposition_signature(prepositions: Column) -> Column:
 def dependency(c: Column) -> Column:
     names = F.create_map(*(F.lit(x) for kv in DEPENDENCIES.items() for x in kv))
     clean = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.coalesce(F.try_element_at(names, clean), clean)
+    return F.when(clean == "", "_").otherwise(F.coalesce(F.try_element_at(names, clean), clean))
 
 
 def evidence_status(source: Column, status: Column) -> Column:
