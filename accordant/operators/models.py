@@ -123,10 +123,13 @@ def fold_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
 
 
 def document_icc(df: DataFrame, cluster: str, value: str) -> DataFrame:
-    """One-way intraclass correlation of a value by cluster, for unequal sizes, at least 0; and the deviation of a logit random intercept that has it."""
+    """One-way intraclass correlation of a value by cluster, for unequal sizes, at least 0; and the deviation of a logit random intercept that
+    has it. Clusters of one row tell nothing of it and count in the mean alone."""
     groups = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.sum(F.pow(value, F.lit(2))).alias("q"))
-    s = groups.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("b"), F.sum("q").alias("q"))
-    between = (F.col("b") - F.col("t") * F.col("t") / F.col("n")) / F.nullif(F.col("k") - 1, F.lit(0))
+    many, n = F.col("n") > 1, F.col("n")
+    of = lambda c: F.sum(F.when(many, c).otherwise(0))
+    s = groups.agg(F.count_if(many).alias("k"), (F.sum(n * F.col("m")) / F.sum(n)).alias("g"), of(n).alias("n"), of(n * n).alias("nn"), of(n * F.col("m")).alias("t"), of(n * F.col("m") * F.col("m")).alias("b"), of(F.col("q")).alias("q"))
+    between = (F.col("b") - 2 * F.col("g") * F.col("t") + F.col("g") * F.col("g") * F.col("n")) / F.nullif(F.col("k") - 1, F.lit(0))
     within = (F.col("q") - F.col("b")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))
     size = (F.col("n") - F.col("nn") / F.col("n")) / F.nullif(F.col("k") - 1, F.lit(0))
     icc = F.greatest(F.lit(0.0), (between - within) / F.nullif(between + (size - 1) * within, F.lit(0.0)))

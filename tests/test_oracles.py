@@ -12,8 +12,9 @@ def test_query(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     if name in entry.oracle_sql():
         assert_same(df, entry.oracle_sql()[name], sf)
-    else:
-        assert df.count() >= 0
+    else:  # draws and held-out models; tests/test_nulls.py and tests/test_operators.py hold their numbers
+        rows = df.toPandas()
+        assert len(rows) and not rows.isna().all().any()
 
 
 def test_entry_point(spark):
