@@ -47,7 +47,10 @@ def ridge_logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0, ste
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -700, 700)))
         gradient = penalty * beta + c * (x.T @ (w * (p - y)))
         hessian = np.diag(penalty) + c * (x.T * (w * p * (1 - p))) @ x
-        move = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        try:
+            move = np.linalg.solve(hessian, gradient)
+        except np.linalg.LinAlgError:
+            move = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
         scale, now = 1.0, loss(beta)
         while scale > 1e-8 and loss(beta - scale * move) > now:
             scale /= 2
@@ -211,9 +214,9 @@ def vocabulary(df: DataFrame, words: str, min_documents: int = 10, most: int = 8
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "word")) - 1)  # at most `most` rows
 
 
-def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[str], c: float = 1.0, steps: int = 25, min_documents: int = 10, most: int = 800) -> DataFrame:
+def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[str], c: float = 1.0, steps: int = 3000, min_documents: int = 10, most: int = 800) -> DataFrame:
     """fold, label and p: held-out probabilities of a ridge logit over words and one-hot columns, with Spark's distributed optimiser
-    (at most steps of it), so that rows never gather. Each fold's vocabulary is counted over its training folds alone; a category that
+    to its convergence (an error after that many steps without), so that rows never gather. Each fold's vocabulary is counted over its training folds alone; a category that
     these lack has no weight."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
@@ -224,7 +227,7 @@ def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[s
         rows = StringIndexer(inputCol=x, outputCol=f"_i_{x}", stringOrderType="alphabetAsc").fit(rows).transform(rows)
         rows = OneHotEncoder(inputCol=f"_i_{x}", outputCol=f"_o_{x}", dropLast=False).fit(rows).transform(rows)
         parts.append(f"_o_{x}")
-    rows = rows.select(fold, label, words, *parts).persist()
+    rows = rows.select(fold, label, words, *parts).persist()  # as long as the result is read
     out = None
     for r in sorted(x[0] for x in rows.select(fold).distinct().collect()):  # a handful of folds
         terms = [x["word"] for x in vocabulary(rows.filter(F.col(fold) != r), words, min_documents, most).orderBy("place").collect()]  # bounded by most
@@ -232,8 +235,10 @@ def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[s
         seen = VectorAssembler(inputCols=["_words"] * bool(terms) + parts, outputCol="_features").transform(seen).select(fold, label, "_features")
         train = seen.filter(F.col(fold) != r).persist()
         n = train.count()
-        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=steps).fit(train)
+        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=steps, tol=1e-6).fit(train)
         train.unpersist()
+        if fitted.summary.totalIterations >= steps:
+            raise RuntimeError(f"the fit of fold {r} has not converged in {steps} steps")
         held = fitted.transform(seen.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
         out = held if out is None else out.unionByName(held)
-    return out
+    return out if out is not None else df.select(fold, label).withColumn("p", F.lit(None).cast("double"))

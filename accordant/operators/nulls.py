@@ -136,34 +136,37 @@ def clustered_contrast(counts: DataFrame, stratum: list[str], partition: str, pa
     rows, names = numbered(counts.filter(F.col(partition).isin(*pair)), [*stratum, partition])
     if not len(names):
         return counts.sparkSession.createDataFrame([], f"replicate long, {_CONTRAST}")
+    spark = counts.sparkSession
     of, side = names.groupby(stratum, dropna=False).ngroup().to_numpy(), (names[partition] == pair[1]).to_numpy().astype(int)
+    where = F.broadcast(spark.createDataFrame(names.assign(stratum=of, side=side)[["cell", "stratum", "side"]], "cell int, stratum long, side int"))
+    both = ["replicate", "stratum"]
 
-    def usable(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The cells of strata that both partitions have enough rows of."""
-        t = pdf[pdf["support"] >= min_rows].assign(stratum=lambda x: of[x["cell"]], side=lambda x: side[x["cell"]])
-        return t[t.groupby("stratum")["side"].transform("nunique") == 2].sort_values(["stratum", "side"])
+    def usable(sums: DataFrame) -> DataFrame:
+        """A row a replicate and stratum that both partitions have enough rows of."""
+        first, second = (F.max(F.when(F.col("side") == i, F.struct("cell", "support", "positive"))) for i in (0, 1))
+        return sums.filter(F.col("support") >= min_rows).join(where, "cell").groupBy(*both).agg(first.alias("a"), second.alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = usable(pdf)
-        y = t["positive"].sum()
-        if len(t) < 4 or y == 0 or y == t["support"].sum():
-            return pd.DataFrame({"replicate": [], "cell": [], "logit": []}).astype({"replicate": "int64", "cell": "int32", "logit": "float64"})
-        z = additive_logit(pd.factorize(t["stratum"])[0], t["side"].to_numpy(), t["positive"].to_numpy(), t["support"].to_numpy(), c)
-        return pd.DataFrame({"replicate": t["replicate"], "cell": t["cell"], "logit": np.clip(z, -20.7, 20.7)})
-
-    fitted = resampled(rows, F.struct(partition, cluster), len(names), n, seed).groupBy("replicate").applyInPandas(fit, "replicate long, cell int, logit double").toPandas()
+        out = []
+        pdf = pdf.sort_values(both)
+        cut = np.flatnonzero(np.diff(pdf["replicate"].to_numpy(), prepend=-1, append=-1))
+        columns = {x: pdf[x].to_numpy() for x in pdf.columns}
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            y, s = (np.stack([columns[f"{x}_{i}"][lo:hi] for i in "ab"], axis=1).ravel() for x in ("positive", "support"))
+            if hi - lo > 1 and 0 < y.sum() < s.sum():
+                z = additive_logit(np.repeat(np.arange(hi - lo), 2), np.tile([0, 1], hi - lo), y, s, c)
+                cells = np.stack([columns["cell_a"][lo:hi], columns["cell_b"][lo:hi]], axis=1).ravel()
+                out.append(pd.DataFrame({"replicate": columns["replicate"][lo], "cell": cells, "logit": np.clip(z, -20.7, 20.7)}))
+        return pd.concat(out) if out else pd.DataFrame({"replicate": np.zeros(0, np.int64), "cell": np.zeros(0, np.int32), "logit": np.zeros(0)})
+
+    flat = usable(resampled(rows, F.struct(partition, cluster), len(names), n, seed)).select(*both, *(F.col(f"{i}.{x}").alias(f"{x}_{i}") for i in "ab" for x in ("cell", "support", "positive")))
+    fitted = flat.groupBy(F.floor(F.col("replicate") / 50)).applyInPandas(fit, "replicate long, cell int, logit double").toPandas()
     logits = np.full((n, len(names)), np.nan)
     logits[fitted["replicate"], fitted["cell"]] = fitted["logit"]
-    used = sorted(set(fitted["replicate"].tolist()))
-
-    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = usable(pdf)
-        rate = (t["positive"] / t["support"]).to_numpy()
-        return pd.DataFrame([{"replicate": int(pdf["replicate"].iloc[0])} | contrast(rate[::2], rate[1::2])])
-
-    drawn = resampled(rows, F.struct(partition, cluster), len(names), n, seed, np.nan_to_num(logits), sigma)
-    kept = F.broadcast(counts.sparkSession.createDataFrame([(int(i),) for i in used], "replicate long"))
-    return drawn.join(kept, "replicate").groupBy("replicate").applyInPandas(measured, f"replicate long, {_CONTRAST}")
+    used = F.broadcast(spark.createDataFrame([(int(i),) for i in sorted(set(fitted["replicate"]))], "replicate long"))
+    drawn = usable(resampled(rows, F.struct(partition, cluster), len(names), n, seed, np.nan_to_num(logits), sigma)).join(used, "replicate")
+    d = F.col("b.positive") / F.col("b.support") - F.col("a.positive") / F.col("a.support")
+    return drawn.groupBy("replicate").agg(F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), F.avg(F.abs(d)).alias("mean_abs"), F.count(F.lit(1)).cast("double").alias("strata"))
 
 
 def significant_resamples(counts: DataFrame, key: str, partition: str, cluster: str, n: int, seed: int, min_support: int = 5, alpha: float = 0.05) -> DataFrame:
