@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, one of our own on a local master alone: on a
+    cluster other machines couldn't read it, so there it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return f"{named}/accordant"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="accordant-"))
     return _own_dir[0]

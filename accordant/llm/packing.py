@@ -13,7 +13,7 @@ tightest compatible bin is found. Blocks of neighbouring bins carry the intersec
 bins all conflict is passed over at once. Without any compatible bin a new one is opened.
 
 A null or empty text has length 1. A null source conflicts with nothing. Repeated rows of one id are documents of one
-cluster. Of input columns only doc_id, text and source are read.
+cluster. An empty table gives an empty table. Of input columns only doc_id, text and source are read, so others can't clash.
 """
 
 from __future__ import annotations

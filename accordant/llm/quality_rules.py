@@ -8,7 +8,8 @@ Words are the runs of bytes other than space and 0x09-0x0D. A text is rejected w
   lines with a word are such lines.
 
 Runs are compared by 64-bit rolling hashes, all texts of an Arrow batch at once in numpy; nothing is shuffled.
-A null text counts as having no words: it fails the base rules. Repeated rows each get their own result.
+A null text counts as having no words: it fails the base rules, as an empty one does. A text of any length is measured whole. Repeated rows each get their own result, equal
+texts equal ones. An empty table gives an empty table. Columns of the computed names are replaced, others pass through.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ initial symbols less the merges done; no identifiers are made.
 
 Each distinct pre-token is merged once a worker, within a cache of CACHE entries that empties when it is full; the
 texts are only looked up. A null or empty text has 0 tokens. Repeated rows each get their count; columns of the
-computed names are replaced. Nothing is shuffled.
+computed names are replaced, others pass through. A text or word of any length is merged whole. An empty table gives an empty table. Nothing
+is shuffled.
 """
 
 from __future__ import annotations

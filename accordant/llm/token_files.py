@@ -8,7 +8,8 @@ only one sum of ids a file, which is all that the driver gathers.
 
 Each distinct pre-token is encoded once a worker by the tokenizers library; texts with special strings or runs of white space that
 the library must see whole are encoded whole. Every document ends with the id `end`. A null or empty text is that id
-alone. Rows without an id come first; repeated rows stand side by side, in an order of their texts' hashes.
+alone. Rows without an id come first; repeated rows stand side by side, in an order of their texts' hashes. An empty table gives a
+folder without blocks, and no rows. Only doc_id and text are read of the input, so other columns can't clash.
 """
 
 from __future__ import annotations

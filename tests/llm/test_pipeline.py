@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from accordant.llm import jaccard_forest, sentence_spans
 
@@ -22,3 +24,17 @@ def test_empty_table(spark, none):
     for _, stage in P.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark, odd, documents, tmp_path):
+    clash = {n: F.lit(i) for i, n in enumerate(("kept", "score", "tkey", "root", "n_removed", "piece", "_doc", "cluster"))}
+    both = documents.limit(60).unionByName(odd).withColumns(clash)
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = both
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == both.columns, name
+        rows = kept.collect()
+        docs = spark.createDataFrame(rows, kept.schema)
+        assert all(r.text for r in rows), name
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
