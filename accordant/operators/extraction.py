@@ -23,7 +23,7 @@ NODES = "array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head_
 EVENTS = """sentence_id string, seq int, channel string, event_type string, predicate string, construction string, directed boolean,
     assertion_status string, sources array<int>, targets array<int>, participants array<int>, aligned boolean"""
 
-# Cue words and dependency names.
+#: Default cue words and dependency names of the rules here; a corpus's own lists are read with `corpora.read_lexicon`.
 NEGATION = {"not", "no", "neither", "nor", "never", "without", "n't"}
 UNCERTAINTY = {"may", "might", "could", "possibly", "possible", "suggest", "propose", "whether", "potential", "putative", "likely"}
 SUBJECTS, PASSIVE_SUBJECTS = {"nsubj", "csubj"}, {"nsubjpass", "nsubj:pass", "csubjpass"}

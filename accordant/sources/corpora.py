@@ -23,11 +23,13 @@ LEDGERS = {
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of corpus files: one JSON object each, either of entries by id or with them under `data`. Each file is one value; files are read in parallel."""
+    """Sentences of corpus files: one JSON object each, either of entries by id or with them under `data`; a file that is neither is an
+    error. Each file is one value; files are read in parallel."""
     text = spark.read.text(path, wholetext=True)
     entries = F.coalesce(
         F.from_json("value", f"struct<data:map<string,{ENTRY}>>")["data"],
         F.from_json("value", f"map<string,{ENTRY}>"),
+        F.raise_error(F.concat(F.lit("no corpus object: "), F.left("value", F.lit(60)))).cast(f"map<string,{ENTRY}>"),
     )
     rows = text.select(F.explode(entries).alias("sentence_id", "e"))
     sentence = F.coalesce(F.nullif("e.sentence", F.lit("")), "e.text")
@@ -57,6 +59,15 @@ def gold_pairs(relations: Column, with_missing: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.transform(whole, lambda e: F.struct(F.array_min(F.slice(e, 1, 2)).alias("a"), F.array_max(F.slice(e, 1, 2)).alias("b")))))
 
 
+def listed_pairs(relations: Column) -> Column:
+    """The same of relations that a text lists, as objects (protein_a and protein_b, or arg1 and arg2) or as two-number lists."""
+    objects = F.from_json(relations, "array<struct<protein_a:int,protein_b:int,arg1:int,arg2:int>>")
+    named = F.transform(objects, lambda o: F.array(F.coalesce(o["protein_a"], o["arg1"]), F.coalesce(o["protein_b"], o["arg2"])))
+    ends = F.when(F.trim(relations).rlike(r"^\[\s*\{"), named).otherwise(F.from_json(relations, "array<array<int>>"))
+    whole = F.filter(ends, lambda e: (F.size(e) == 2) & F.coalesce((e[0] >= 0) & (e[1] >= 0), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.transform(whole, lambda e: F.struct(F.array_min(e).alias("a"), F.array_max(e).alias("b")))))
+
+
 def metadata(sentences: DataFrame) -> DataFrame:
     """Sentences, those with a relation, possible pairs and relations of a corpus."""
     n, r = F.size("proteins"), F.size(F.coalesce("relations", F.create_map().cast("map<string,string>")))

@@ -116,3 +116,20 @@ def test_codebook_and_spans(spark, tmp_path):
         (tmp_path / "bad.json").write_text('{"odd": []}')
         B.read_codebook(spark, f"{tmp_path}/bad.json")
     assert X.canonical_json({"b": 1, "a": [2, None]}) == '{"a":[2,null],"b":1}' and len(X.fingerprint([1], 12)) == 12
+
+
+def test_corpora_that_are_none_and_listed_pairs(spark, tmp_path):
+    from accordant.sources import corpora
+
+    (tmp_path / "bad.json").write_text("[1, 2")
+    with pytest.raises(Exception, match="no corpus object"):
+        corpora.read_corpus(spark, f"{tmp_path}/bad.json").collect()
+    rows = spark.createDataFrame([('[{"protein_a": 2, "protein_b": 1}, {"arg1": 0, "arg2": 3}, {"x": 1}]',), ("[[3, 0], [0, 3], [1], [-1, 2]]",), ("nothing",)], "r string")
+    got = [[tuple(p) for p in r.p] if r.p is not None else None for r in rows.select(corpora.listed_pairs(F.col("r")).alias("p")).collect()]
+    assert got == [[(0, 3), (1, 2)], [(0, 3)], None]
+
+
+def test_last_split_wins(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "id string, v int")
+    b = spark.createDataFrame([("y", 3), ("z", 4)], "id string, v int")
+    assert sorted(tuple(r) for r in E.last_split_wins([a, b], "id").collect()) == [("x", 1), ("y", 3), ("z", 4)]
