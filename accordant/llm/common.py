@@ -47,6 +47,18 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def protected(stage: Callable) -> Callable:
+    """A stage of a pipeline whose input's further columns (beside those of documents) go under names of their own meanwhile, so that none
+    clashes with a computed one: they come back with their names and values."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = ("doc_id", "text", "lang", "source", "n_chars")
+        inside = [c if c in own else f"further {i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*inside), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def with_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[T.StructField]) -> DataFrame:
     """df with columns that fn computes from each Arrow batch. An input column that has the name of a computed one gives way."""
     names = {f.name.lower() for f in fields}

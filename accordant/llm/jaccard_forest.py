@@ -323,6 +323,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(C.table(spark, sf_dir, "documents"))
 
 
+@C.protected
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that is a doc_id with one text, of each class: that of least doc_id (none comes last), of these that of the
     least text key, and one row of it. A doc_id with texts of several classes stays once for each that it stands for."""
@@ -336,4 +337,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = keyed.join(chosen, ["_doc", "_tkey"], "left_semi").dropDuplicates(["_doc", "_tkey"])
     # Rows without an id may be many of one text: they become one before they are shuffled.
     nameless = keyed.filter("_doc IS NULL").dropDuplicates(["_tkey"]).join(chosen.filter("_doc IS NULL").select("_tkey"), "_tkey", "left_semi")
-    return named.select(columns).unionByName(nameless.select(columns))
+    return named.select(*(F.col(f"`{c}`") for c in columns)).unionByName(nameless.select(*(F.col(f"`{c}`") for c in columns)))

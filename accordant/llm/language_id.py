@@ -204,6 +204,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+@C.protected
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    return identify(docs, fit(docs)).filter("accepted").select(columns)
+    return identify(docs, fit(docs)).filter("accepted").select(*(F.col(f"`{c}`") for c in columns))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
@@ -128,9 +129,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@C.protected
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    return quality_rules(docs).filter("kept").select(columns)
+    return quality_rules(docs).filter("kept").select(*(F.col(f"`{c}`") for c in columns))
 
 
 _W = r"[^\x20\x09-\x0D]"

@@ -173,13 +173,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@C.protected
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left go; n_chars is that of the new text."""
     columns = docs.columns
     out = without_repeats(docs).filter("n_removed < n_sentences OR n_sentences = 0")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(columns)
+    return out.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def oracle_sql() -> str:

@@ -36,5 +36,5 @@ def test_odd_rows_and_clashing_names(spark, odd, documents, tmp_path):
         assert kept.columns == both.columns, name
         rows = kept.collect()
         docs = spark.createDataFrame(rows, kept.schema)
-        assert all(r.text for r in rows), name
+        assert all(r.text for r in rows) and {tuple(r[n] for n in clash) for r in rows} == {tuple(range(len(clash)))}, name
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
