@@ -170,3 +170,45 @@ def test_additive_null_of_resample(spark, counts):
     cells = cells_of(counts)
     got = R.null_summary(M.additive_null(cells, ["stratum"], "corpus", 300, 2, c=10.0), 0.5).first()
     assert got.replicates == 300 and 0 < got.mean < 0.5 and got.p_value == 1 / 301
+
+
+def test_folds_by_size(spark):
+    sizes = {"a": 9, "b": 7, "c": 6, "d": 4, "e": 4, "f": 1}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    got = {r.g: r.fold for r in M.folds_by_size(df, "g", 3).collect()}
+    # By falling size to the emptiest fold: a, b, c open them; d joins c (6), e joins b (7), f joins a (9).
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 2, "e": 1, "f": 0}
+
+
+def test_lift_bootstrap(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in range(40):
+        for _ in range(10):
+            y = int(rng.random() < 0.5)
+            rows.append(("pq"[d % 2], f"d{d}", round(float(rng.random()), 1), round(float(0.6 * y + 0.4 * rng.random()), 1), y))
+    df = spark.createDataFrame(rows, "part string, doc string, base double, other double, y int")
+    got = M.auc_lift_bootstrap(df, "doc", "part", "base", "other", "y", 60, 1).toPandas()
+    whole = df.withColumn("n", F.lit(1))
+    seen = M.auc(whole, [], "other", "y", "n").first()["auc"] - M.auc(whole, [], "base", "y", "n").first()["auc"]
+    assert set(got["scope"]) == {"raw", "within", "in p", "in q"} and abs(got[got["scope"] == "raw"]["value"].mean() - seen) < 0.03
+    again = M.auc_lift_bootstrap(df.repartition(3), "doc", "part", "base", "other", "y", 60, 1).toPandas()
+    key = ["replicate", "scope"]
+    assert np.allclose(got.sort_values(key)["value"], again.sort_values(key)["value"])
+
+
+def test_shuffles_keep_the_positives_of_a_stratum(spark, counts):
+    cells = cells_of(counts).orderBy("stratum", "corpus")
+    total = R.shuffled_labels(cells, ["stratum"], lambda positive, support: float(positive.sum()), 30, 1).toPandas()["value"]
+    assert set(total) == {float(cells.agg(F.sum("gold_positive")).first()[0])}
+    null = R.gap_null(N.eligible(cells, ["stratum"]), ["stratum"], 200, 1)
+    (r,) = R.null_summary(null, 10.0).collect()
+    assert r.replicates == 200 and 0 < r.mean < 0.5 and abs(r.excess - (10 - r.mean)) < 1e-9 and r.p_value == 1 / 201
+
+
+def test_text_control_learns_and_is_held_out(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i % 3), int(y), ["good" if y else "bad", f"w{rng.integers(0, 5)}"], "s") for i, y in enumerate(rng.integers(0, 2, 240))]
+    df = spark.createDataFrame(rows, "fold int, y int, words array<string>, source string")
+    held = M.text_model(df, "words", "y", "fold", ["source"])
+    assert held.count() == 240 and M.auc(held.withColumn("n", F.lit(1)), [], "p", "y", "n").first()["auc"] > 0.99
