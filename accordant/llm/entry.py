@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe_codec, jaccard_forest, language_id, media_sequences, packing, preferences, quality_rules, sentence_spans, token_counts, token_files
+from . import bpe_codec, centroids, jaccard_forest, language_id, media_sequences, packing, preferences, quality_rules, release, secrets, sentence_spans, token_counts, token_files
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_preferences": preferences.query,
         "op9_sentence_spans": sentence_spans.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_centroids": centroids.query,
+        "op12_secret_scan": secrets.query,
+        "op13_release": release.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_preferences": preferences.oracle_sql(),
         "op9_sentence_spans": sentence_spans.oracle_sql(),
         "op10_quality_rules": quality_rules.oracle_sql(),
+        "op11_centroids": centroids.oracle_sql(),
+        "op12_secret_scan": secrets.oracle_sql(),
+        "op13_release": release.oracle_sql(),
     }
