@@ -168,9 +168,8 @@ class Words:
 
 def join_on_unique(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
     """left join (or inner) of a skewed side to one row a key. weight counts left's rows of the key, total all of them: at most
-    1000 keys can have over a 1000th of the rows, so those go by a broadcast of that proven size and the others by a shuffle."""
+    1000 keys can have over a 1000th of the rows, so those go by a broadcast of that proven size, and only the others' rows are shuffled."""
     cut = max(1000, total // 1000)
     hot = F.broadcast(right.filter(F.col(weight) > cut))
-    warm = left.join(hot, key, "inner")
-    cold = left if how == "inner" else left.join(hot.select(key), key, "left_anti")
+    warm, cold = left.join(hot, key, "inner"), left.join(hot.select(key), key, "left_anti")
     return warm.unionByName(cold.join(right.filter(F.col(weight) <= cut), key, how))

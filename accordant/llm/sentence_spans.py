@@ -1,12 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
 Sentences end after `.`, `!`, `?` or, so that the cut ends of a passage cost a clause rather than a long sentence, `,`, `;` or
-`:` before white space, and at line ends. Every sentence begins a run and ends one: the fewest consecutive sentences, at most
-RUN, that have MIN_WORDS words or more. Every run is hashed (128 bits), and the hashes of all documents are joined. A span belongs
+`:` before white space, and at line ends. Every sentence begins a run and ends one: the fewest consecutive sentences that have
+MIN_WORDS words or more, which are never more than MIN_WORDS, as each has a word. Every run is hashed (128 bits), and the hashes of all documents are joined. A span belongs
 to the document of least doc_id that has it, and there to its first place; every other occurrence is a repeat, and the
 sentences that a repeat covers are removed, with the white space after them. What stays keeps its bytes. A longer run
-that repeats is covered by those within it, so one length a place is enough; a list of more than RUN sentences of a word or two
-makes no run.
+that repeats is covered by those within it, so one length a place is enough.
 
 Repeats within a document are found where it is read. Between documents only hashes and places are shuffled, summed up
 before the shuffle, so that a passage in a third of all documents costs a row a task; the occurrences come back by a
@@ -31,7 +30,6 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-RUN = 6
 MIN_WORDS = 16
 #: Bytes of texts cut at a time; the arrays over them outweigh them many times.
 CHUNK = 1 << 18
@@ -68,7 +66,7 @@ class Sentences:
         count = np.concatenate([[0], np.cumsum(word)])
         self.words = count[self.end] - count[self.start]
 
-    def runs(self, most: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """First sentence and length of every run: of each sentence the fewest sentences from it on, and up to it, with enough words."""
         n = len(self.start)
         total = np.concatenate([[0], np.cumsum(self.words)])
@@ -76,9 +74,9 @@ class Sentences:
         on = np.searchsorted(total, total[:-1] + min_words)
         back = np.searchsorted(total, total[1:] - min_words, side="right") - 1
         low, high = self.first[self.doc], self.first[self.doc + 1]
-        a, b = (on <= high) & (on - every <= most), (back >= low) & (every + 1 - back <= most)
-        both = np.unique(np.concatenate([every[a] * (most + 1) + on[a] - every[a], back[b] * (most + 1) + every[b] + 1 - back[b]]))
-        return both // (most + 1), both % (most + 1)
+        a, b, base = on <= high, back >= low, min_words + 1  # no run is longer than min_words
+        both = np.unique(np.concatenate([every[a] * base + on[a] - every[a], back[b] * base + every[b] + 1 - back[b]]))
+        return both // base, both % base
 
     def hashes(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Two 64-bit hashes of each run."""
@@ -111,14 +109,14 @@ def _again(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     """doc, copy, at (place and length, in 32 bits each) and hash of each span; own: it stands earlier in its document."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for lo, texts in C.byte_chunks(b, CHUNK):
                 cut = Sentences(texts)
-                at, length = cut.runs(run, min_words)
+                at, length = cut.runs(min_words)
                 h, doc = cut.hashes(at, length), cut.doc[at]
                 take = pa.array(doc + lo, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -129,9 +127,9 @@ def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return docs.select("doc", "copy", "text").mapInArrow(batches, "doc long, copy long, at long, own boolean, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, copy and places, where the repeated spans of a text begin, with their lengths, of documents with doc, copy and text."""
-    spans, _ = C.store(_spans(docs, run, min_words), "spans")
+    spans, _ = C.store(_spans(docs, min_words), "spans")
     firsts = spans.filter("NOT own")
     shared = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared, _ = C.store(shared, "shared-spans")
@@ -142,12 +140,12 @@ def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Data
     return found.groupBy("doc", "copy").agg(F.collect_set("at").alias("places"))
 
 
-def without_repeats(df: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """df with its column text cut by the repeated spans, and n_sentences and n_removed."""
     names = {"n_sentences", "n_removed", "_doc", "_copy", "_places"}
     df = df.drop(*[c for c in df.columns if c.lower() in names])
     keyed = df.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_copy", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), run, min_words)
+    places = repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), "text"), min_words)
     both = keyed.join(places.toDF("_doc", "_copy", "_places"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
 
     def batch(b: pa.RecordBatch) -> list:
@@ -193,8 +191,8 @@ def oracle_sql() -> str:
     , n AS (SELECT doc_id, k, piece, s, CASE WHEN w > 0 THEN sum((w > 0)::INT) OVER o END AS i, sum(w) OVER o AS upto, sum(w) OVER o - w AS before FROM t
             WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING))
     , x AS (SELECT doc_id, i, s, upto, before FROM n WHERE i IS NOT NULL)
-    , r AS (SELECT doc_id, i AS a, j AS b FROM (SELECT p.doc_id, p.i, min(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i AND p.i + {RUN - 1} AND q.upto - p.before >= {MIN_WORDS} GROUP BY ALL)
-            UNION SELECT doc_id, j, i FROM (SELECT p.doc_id, p.i, max(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i - {RUN - 1} AND p.i AND p.upto - q.before >= {MIN_WORDS} GROUP BY ALL))
+    , r AS (SELECT doc_id, i AS a, j AS b FROM (SELECT p.doc_id, p.i, min(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i AND p.i + {MIN_WORDS - 1} AND q.upto - p.before >= {MIN_WORDS} GROUP BY ALL)
+            UNION SELECT doc_id, j, i FROM (SELECT p.doc_id, p.i, max(q.i) AS j FROM x p JOIN x q ON p.doc_id = q.doc_id AND q.i BETWEEN p.i - {MIN_WORDS - 1} AND p.i AND p.upto - q.before >= {MIN_WORDS} GROUP BY ALL))
     , l AS (SELECT doc_id, list(s ORDER BY i) AS parts FROM x GROUP BY doc_id)
     , g AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY parts[a:b] ORDER BY doc_id, a) > 1 AS again FROM r JOIN l USING (doc_id))
     , c AS (SELECT DISTINCT doc_id, unnest(range(a::BIGINT, b::BIGINT + 1)) AS i FROM g WHERE again)

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from accordant.llm import common as C
 from accordant.llm import sentence_spans as S
 
 from ..oracle import assert_same
@@ -25,11 +26,11 @@ def brute(texts):
         words = [len(p.split()) for p in parts]
         found = set()
         for i in range(len(parts)):
-            for r in range(1, S.RUN + 1):
+            for r in range(1, S.MIN_WORDS + 1):
                 if i + r <= len(parts) and sum(words[i : i + r]) >= S.MIN_WORDS:
                     found.add((i, i + r))
                     break
-            for r in range(1, S.RUN + 1):
+            for r in range(1, S.MIN_WORDS + 1):
                 if i + 1 - r >= 0 and sum(words[i + 1 - r : i + 1]) >= S.MIN_WORDS:
                     found.add((i + 1 - r, i + 1))
                     break
@@ -70,6 +71,34 @@ def test_few_words_are_no_span(spark):
     assert {r.n_removed for r in S.without_repeats(df).collect()} == {0}
 
 
+def test_short_clauses(spark):
+    """A passage of 60 clauses of two words, one of 60 of a word, and 40 lines of two words, each in two documents."""
+    passages = [" ".join(f"{k}{i} go," for i in range(60)) for k in "ab"] + [" ".join(f"w{i};" for i in range(60)), "\n".join(f"line {i}" for i in range(40))]
+    rows = [(2 * i + j, f"An own start of {2 * i + j}.\n{p}\nAn own end {2 * i + j}.") for i, p in enumerate(passages) for j in range(2)]
+    got = {r.doc_id: r for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate((60, 60, 60, 40)):
+        assert got[2 * i].n_removed == 0 and got[2 * i + 1].n_removed == n
+        assert got[2 * i + 1].text == f"An own start of {2 * i + 1}.\nAn own end {2 * i + 1}."
+
+
+def test_hot_keys_are_not_shuffled(spark):
+    """Of a join on unique keys only the rows of other keys reach the shuffle."""
+    left = spark.range(90000).select(F.when(F.col("id") < 60000, 0).otherwise(F.col("id")).alias("k"), "id")
+    right, _ = C.store(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "test-unique")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            rows = C.join_on_unique(left, right, ["k"], "n", 90000, how)
+            sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p"), (F.col("k") == 0).alias("hot")).count().filter("NOT hot").collect()]
+            hot = [r["count"] for r in rows.filter("k = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert sum(sizes) == 30000 and max(sizes) < 2 * min(sizes)
+            assert sum(hot) == 60000 and len(hot) > 1 and max(hot) < 40000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_odd_rows(spark, odd, none):
     out = S.without_repeats(odd.withColumn("n_removed", F.lit("x")).withColumn("Places", F.lit(1))).collect()
     assert len(out) == odd.count()
