@@ -12,7 +12,7 @@ For prediction the embeddings fold into one table of logits a bucket, in fixed p
 texts get equal scores. Prediction reads the text alone and runs over every whole text in one pass without a shuffle.
 
 A null text, or one without a letter (Unicode's category L; numerals are none), gets `und` with score 0 and is rejected, an empty one
-too. Without eligible rows every text gets `und`. Of languages with equal probability the first by name is given. A text of any
+too. Without eligible rows every text gets `und`, and the stage of a pipeline, which has nothing to reject by then, keeps all rows. Of languages with equal probability the first by name is given. A text of any
 length is read whole; a text longer than a batch of features stands in one alone. Repeated rows each get their result, equal texts
 equal ones; rows without an id are predicted but never learnt from. An empty table gives an empty table. Columns of the computed names
 (lang_pred, score, accepted) are replaced, others pass through.
@@ -206,5 +206,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.protected
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    return identify(docs, fit(docs)).filter("accepted").select(*(F.col(f"`{c}`") for c in columns))
+    """Documents whose prediction is rejected go; without labels to learn from none is."""
+    columns, model = docs.columns, fit(docs)
+    return identify(docs, model).filter("accepted").select(*(F.col(f"`{c}`") for c in columns)) if model else docs

@@ -107,3 +107,8 @@ def test_one_id_with_many_texts_is_bounded(spark):
 def test_clashing_names(spark, odd):
     out = L.identify(odd.withColumn("Lang_Pred", F.lit(1)).withColumn("score", F.lit("x")), None)
     assert out.columns == [*odd.columns, "lang_pred", "score", "accepted"] and out.count() == odd.count()
+
+
+def test_stage_without_labels_keeps_all_rows(spark, documents):
+    bare = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert L.stage(spark, bare, "").count() == documents.count()
