@@ -5,7 +5,7 @@ runs of WORDS words (a shorter text is one shingle). Two texts are linked when t
 similarity of THRESHOLD or more.
 
 1. Each text gets a signature: the minima of TREES x DEPTH random functions of its shingles, 16 bits of each as a label. A
-   tree is the trie of the signatures' stretches of DEPTH labels, kept sorted by these. The recall of matched prefixes is
+   tree is the trie of the signatures' stretches of DEPTH labels; its nodes at a depth are the groups of equal prefixes, by hash. The recall of matched prefixes is
    measured on planted pairs: in the pass that makes the signatures, about PLANTED texts get sets changed at random down to the
    threshold, and each pair says how long a prefix it shares in some tree. Beginning with whole stretches, the matched prefix is
    shortened, label by label, until the share of planted pairs that meet is RECALL or more; the trie nodes at that depth hold

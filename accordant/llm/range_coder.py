@@ -1,8 +1,9 @@
-"""An adaptive context-mixing range coder for token ids, on numpy lanes.
+"""An adaptive range coder for token ids, on numpy lanes, with one guess each of the orders 2 and 1 and order 0 as the escape.
 
 A block of ids is cut into up to LANES runs of neighbours, the lanes, which advance together: at each step one id of every lane is
 coded, by a range coder of its own, under one model that all lanes share and that learns from all of them after the
-step. The model starts anew in every block, so a block can be read by itself. It mixes three predictions of an id:
+step. The model starts anew in every block, so a block can be read by itself. It has three predictions of an id, whose
+distributions aren't mixed:
 
 * order 2: the id last seen after the two ids before (by a hash of them),
 * order 1: the id last seen after the id before,
