@@ -9,9 +9,10 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What joins an alias to its name, and a phrase that may.
+# What joins an alias to its name, a phrase that may, and the white space before a new sentence.
 ALIAS = r"^(?:also\s+)?(?:(?:known|called)\s+as|called|aka|alias|formerly)$"
 IDENTITY = r"^\s*,\s*(?:a|an|the)\s+(?:[A-Za-z0-9_'\-/]+\s+){0,5}$"
+BOUNDARY = r"(?<=[.!?])\s+(?=\S)"
 
 
 def semantic_lemma(word: Column, lemma: Column) -> Column:
@@ -34,18 +35,27 @@ def is_identity_window(text: Column) -> Column:
 
 
 def sentence_boundaries(text: Column, around: int = 40) -> Column:
-    """Where a sentence may begin within a text: an array of offset (characters before it), and what stands left and right of it."""
-    pieces = F.split(text, r"(?<=[.!?])\s+(?=\S)")
-    gaps = F.regexp_extract_all(text, F.lit(r"(?<=[.!?])\s+(?=\S)"), 0)
-    widths = F.zip_with(F.slice(pieces, F.lit(1), F.size(gaps)), gaps, lambda p, g: F.length(p) + F.length(g))
-    offsets = F.transform(widths, lambda w, i: F.aggregate(F.slice(widths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-
-    def row(at: Column) -> Column:
-        start = F.greatest(at - around, F.lit(0))
-        bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-        return F.struct(at.alias("offset"), bare(F.substr(text, start + 1, at - start)).alias("left"), bare(F.substr(text, at + 1, F.lit(around))).alias("right"))
-
-    return F.transform(offsets, row)
+    """Where a sentence may begin within a text: an array of offset (characters before it), and what stands left and right of it.
+
+    The text is cut once. One fold over the parts, from the left, adds up the offsets and keeps the last characters; one
+    from the right keeps the first ones. So the work grows with the text's length."""
+    pieces, gaps = F.split(text, BOUNDARY), F.regexp_extract_all(text, F.lit(BOUNDARY), 0)
+    parts = F.zip_with(pieces, F.concat(gaps, F.array(F.lit(""))), lambda p, g: F.concat(p, g))  # each up to the next boundary
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    no_rows, no_texts = F.array().cast("array<struct<offset:int,left:string>>"), F.array().cast("array<string>")
+
+    def onward(acc: Column, part: Column) -> Column:
+        at, tail = acc["at"] + F.length(part), F.substring(F.concat(acc["tail"], part), -around, around)
+        return F.struct(at.alias("at"), tail.alias("tail"), F.concat(acc["rows"], F.array(F.struct(at.alias("offset"), bare(tail).alias("left")))).alias("rows"))
+
+    def backward(acc: Column, part: Column) -> Column:
+        head = F.substring(F.concat(part, acc["head"]), 1, around)
+        return F.struct(head.alias("head"), F.concat(acc["rows"], F.array(bare(head))).alias("rows"))
+
+    n = F.size(gaps)
+    left = F.aggregate(F.slice(parts, F.lit(1), n), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), no_rows.alias("rows")), onward, lambda acc: acc["rows"])
+    right = F.aggregate(F.reverse(F.slice(parts, F.lit(2), n)), F.struct(F.lit("").alias("head"), no_texts.alias("rows")), backward, lambda acc: F.reverse(acc["rows"]))
+    return F.zip_with(left, right, lambda a, r: F.struct(a["offset"].alias("offset"), a["left"].alias("left"), r.alias("right")))
 
 
 def carrier_suspect(word: Column) -> Column:

@@ -33,8 +33,9 @@ def _carried(spark: SparkSession, sf: str) -> DataFrame:
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     """Rows by the classes of their signature and its coarse guess."""
-    rows = _carried(spark, sf).select(F.array_join(B.signature_classes(F.col("signature"), BOOK), "+").alias("classes"), B.effect_guess(F.col("signature"), BOOK).alias("guess"))
-    return rows.groupBy("classes", "guess").agg(F.count(F.lit(1)).alias("n"))
+    once = _carried(spark, sf).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))  # a signature is classed once, whatever its rows
+    rows = once.select(F.array_join(B.signature_classes(F.col("signature"), BOOK), "+").alias("classes"), B.effect_guess(F.col("signature"), BOOK).alias("guess"), "n")
+    return rows.groupBy("classes", "guess").agg(F.sum("n").alias("n"))
 
 
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +47,7 @@ def physical(spark: SparkSession, sf: str) -> DataFrame:
     verb = F.when(F.col("predicate_lemma").isin("verb1", "verb2", "verb3", "verb4", "verb5", "verb6"), "bind").otherwise(F.col("predicate_lemma"))
     rows = ledger(spark, sf).withColumn("key", F.concat_ws("|", F.lit("structural"), "shape", verb, F.lit("_"), "construction"))
     cells = with_consistency(cell_counts(rows, ["corpus", "key"])).filter("support >= 5 AND kind = 'isolated'")
-    carriers = rows.filter("seq % 50 = 0 AND carrier_word IS NOT NULL").select("corpus", F.col("key").alias("pattern_key"), "carrier_word")
+    carriers = rows.filter("carrier_word IS NOT NULL").select("corpus", F.col("key").alias("pattern_key"), "carrier_word")
     return B.physical_summary(B.physical_candidates(cells.select("corpus", "key"), carriers, [w for c in B.BOUNDARY for w in BOOK.get(c, [])]))
 
 
@@ -69,8 +70,10 @@ def abstracted(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic(spark: SparkSession, sf: str) -> DataFrame:
     m = G.nominal_map(NOMINAL)
-    rows = _paths(spark, sf).select(G.semantic(m).alias("strict"), G.semantic(m, coarse=True, family=True).alias("coarse"))
-    return rows.groupBy("strict", "coarse").agg(F.count(F.lit(1)).alias("n"))
+    paths = _paths(spark, sf).drop("sentence_id", "pair_a", "pair_b", "seq", "pattern_signature", "gold_status")
+    once = paths.groupBy(*paths.columns).agg(F.count(F.lit(1)).alias("n"))  # equal paths are described once
+    rows = once.select(G.semantic(m).alias("strict"), G.semantic(m, coarse=True, family=True).alias("coarse"), "n")
+    return rows.groupBy("strict", "coarse").agg(F.sum("n").alias("n"))
 
 
 def keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +102,10 @@ def chains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each document, how many sentence boundaries stand within, where the first is, and what stands left of it."""
+    """Of each document, how many sentence boundaries stand within, where the last is, and a digest of all of them with what stands on either side."""
     rows = read(spark, sf, "documents").select("doc_id", X.sentence_boundaries(F.coalesce("text", F.lit(""))).alias("b"))
-    return rows.select("doc_id", F.size("b").alias("n"), F.coalesce(F.get("b", F.lit(0))["offset"], F.lit(-1)).alias("first"), F.coalesce(F.get("b", F.lit(0))["left"], F.lit("")).alias("left"))
+    said = F.array_join(F.transform("b", lambda r: F.concat_ws("|", r["offset"].cast("string"), r["left"], r["right"])), "\n")
+    return rows.select("doc_id", F.size("b").alias("n"), F.coalesce(F.get(F.reverse("b"), F.lit(0))["offset"], F.lit(-1)).alias("last"), F.md5(said.cast("binary")).alias("digest"))
 
 
 def suspects(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +163,7 @@ def catalogue() -> dict[str, tuple]:
         WHEN shape = 'RELATIONAL' THEN '[A] REL:"' || {lem} || '" [B]' ELSE '[A] "' || {lem} || '" [B]' END"""
     cells = """cells AS (SELECT corpus, key, count(*) AS support, count(*) FILTER (gold_label = 'positive') AS pos, split_part(key, '|', 3) AS trigger, split_part(key, '|', 5) AS built FROM keyed WHERE gold_label <> 'unlabeled' GROUP BY ALL)"""
     keyed_rows = """keyed AS (SELECT *, concat_ws('|', 'structural', shape, CASE WHEN predicate_lemma IN ('verb1', 'verb2', 'verb3', 'verb4', 'verb5', 'verb6') THEN 'bind' ELSE predicate_lemma END, '_', construction) AS key FROM ledger)"""
-    cars = "cars AS (SELECT corpus, key, list(DISTINCT carrier_word) AS words FROM keyed WHERE seq % 50 = 0 AND carrier_word IS NOT NULL GROUP BY ALL)"
+    cars = "cars AS (SELECT corpus, key, list(DISTINCT carrier_word) AS words FROM keyed WHERE carrier_word IS NOT NULL GROUP BY ALL)"
     return {
         "T29_codebook_classes": (classes, sql(f"""SELECT coalesce(array_to_string(c, '+'), 'none') AS classes, {guess} AS guess, count(*) AS n FROM signed LEFT JOIN (SELECT seq, list(class ORDER BY place) AS c FROM firsts GROUP BY seq) USING (seq) GROUP BY ALL""", book, signed, heads, each, firsts)),
         "A31_codebook_coverage": (coverage, sql("SELECT corpus, count(*) AS carrier_rows, count(*) FILTER (carrier_word IN (SELECT word FROM book)) AS classed_rows, round(count(*) FILTER (carrier_word IN (SELECT word FROM book)) / count(*), 3) AS coverage FROM ledger WHERE carrier_word IS NOT NULL GROUP BY corpus", book)),
@@ -175,8 +179,10 @@ def catalogue() -> dict[str, tuple]:
             UNION ALL SELECT '', 'dep_path', CASE WHEN pair_a > 0 THEN predicate_lemma ELSE '' END, construction, case_marker, CASE WHEN pair_b = 0 THEN '' ELSE coalesce(carrier_word, '') END, CASE WHEN pair_a = 0 THEN 'no_anchor' WHEN pair_b = 0 AND carrier_word IS NOT NULL THEN 'multi_carrier' ELSE '' END FROM ledger) GROUP BY ALL""")),
         "P13_chains": (chains, sql(f"""SELECT chain, CASE WHEN carrier_word IS NULL THEN chain WHEN (chain LIKE '% IS-A %' OR pair_b = 1) AND contains(chain, '[A]') THEN replace(chain, '[A]', '[A "' || carrier_word || '"]') WHEN contains(chain, '[B]') THEN replace(chain, '[B]', '[B "' || carrier_word || '"]')
             ELSE replace(chain, '[A+]', '[A+ "' || carrier_word || '"]') END AS contextual, count(*) AS n FROM (SELECT *, {chain} AS chain FROM ledger) GROUP BY ALL""")),
-        "X8_boundaries": (boundaries, r"""SELECT doc_id, len(m)::INT AS n, CASE WHEN len(m) > 0 THEN length(pre) + length(gap) ELSE -1 END::INT AS first, CASE WHEN len(m) > 0 THEN trim(right(pre || gap, 40), ' ' || chr(10) || chr(9) || chr(13)) ELSE '' END AS left FROM (SELECT *, regexp_extract_all(t, '[.!?]\s+') AS m, regexp_extract(t, '^((?s:.*?)[.!?])(\s+)\S', 1) AS pre, regexp_extract(t, '^((?s:.*?)[.!?])(\s+)\S', 2) AS gap
-            FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+$', '') AS t FROM documents))"""),
+        "X8_boundaries": (boundaries, r"""SELECT doc_id, count(place)::INT AS n, coalesce(max(place), -1)::INT AS last,
+            md5(coalesce(string_agg(place || '|' || trim(right(substr(t, 1, place), 40), w) || '|' || trim(substr(t, place + 1, 40), w), chr(10) ORDER BY place) FILTER (place IS NOT NULL), '')) AS digest FROM
+            (SELECT doc_id, t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS w, unnest(CASE WHEN len(m) > 0 THEN list_transform(range(1, len(m) + 1), lambda i: (list_sum(list_transform(p[1:i::INT], lambda x: len(x))) + list_sum(list_transform(m[1:i::INT], lambda x: len(x))))::BIGINT) ELSE [NULL] END) AS place
+            FROM (SELECT doc_id, t, regexp_extract_all(t, '[.!?][ \t-\r]+') AS m, regexp_split_to_array(t, '[.!?][ \t-\r]+') AS p FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+$', '') AS t FROM documents))) GROUP BY doc_id"""),
         "F16_X5_X17_suspects": (suspects, sql("""SELECT CASE WHEN pair_a IN (0, 1) THEN true ELSE carrier_word IS NULL END AS suspect, CASE WHEN pair_b = 0 THEN CASE WHEN pair_a < 4 THEN 'mediate' ELSE '-mediate' END WHEN pair_b = 1 THEN '-12' ELSE predicate_lemma END AS lemma, left(md5(sentence_id), 2) AS bucket, count(*) AS n FROM ledger GROUP BY ALL""")),
         "X7_alias_windows": (windows, """SELECT w, count(*) AS n, w IN (' (also  Known as) ', ', called ', '; formerly ') AS alias, w = ', a well-known small ' AS identity FROM (SELECT ([' (also  Known as) ', ', called ', '; formerly ', ' binds ', ', a well-known small ', ', the (big) '])[n_nationkey % 6 + 1] AS w FROM nation) GROUP BY ALL"""),
         "S12_corpus_of_path": (paths_of_corpora, sql("SELECT CASE WHEN pair_a < 3 THEN CASE WHEN corpus IN ('corpus1', 'corpus2') THEN corpus ELSE 'full' END ELSE 'full' END AS c, count(*) AS n FROM ledger GROUP BY ALL")),

@@ -90,7 +90,7 @@ def overlaps(spark: SparkSession, sf: str) -> DataFrame:
 def fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Ledger rows with the carrier of their sentence and lemma, else the one of lemma and shape where there is one alone."""
     rows = ledger(spark, sf)
-    source = rows.filter("carrier_word IS NOT NULL AND pair_a < 3")
+    source = rows.filter("carrier_word IS NOT NULL")
     out = E.with_fallback(rows.select("sentence_id", "predicate_lemma", "shape", "case_marker"), source, ["sentence_id", "predicate_lemma"], source, ["predicate_lemma", "shape", "case_marker"], "carrier_word")
     return out.groupBy("carrier_word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -222,7 +222,7 @@ def catalogue() -> dict[str, tuple]:
         "J16_fallback": (fallback, sql("""SELECT coalesce(e.w, l.w) AS carrier_word, count(*) AS n FROM ledger r
             LEFT JOIN (SELECT sentence_id, predicate_lemma, min(carrier_word) AS w FROM src GROUP BY ALL) e ON r.sentence_id = e.sentence_id AND r.predicate_lemma = e.predicate_lemma
             LEFT JOIN (SELECT predicate_lemma, shape, case_marker, min(carrier_word) AS w FROM src GROUP BY ALL HAVING count(DISTINCT carrier_word) = 1) l ON r.predicate_lemma = l.predicate_lemma AND r.shape = l.shape AND r.case_marker = l.case_marker GROUP BY ALL""",
-            "src AS (SELECT * FROM ledger WHERE carrier_word IS NOT NULL AND pair_a < 3)")),
+            "src AS (SELECT * FROM ledger WHERE carrier_word IS NOT NULL)")),
         "J18_U6_id_differences": (id_differences, """SELECT doc_id, 'first' AS only_in FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')
             UNION ALL SELECT doc_id, 'second' FROM documents WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)"""),
         "J2_U7_left_join_sets": (left_joins, """SELECT c_custkey, c_nationkey, count(o_orderkey) AS orders, coalesce(string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus), '') AS statuses FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL"""),
