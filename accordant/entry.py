@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import lexical, paths, records, resampling, statistics, store
+from .plans import lexical, parsed, paths, records, resampling, statistics, store
 
-_PARTS = (statistics, records, resampling, paths, store, lexical)
+_PARTS = (statistics, records, resampling, paths, store, lexical, parsed)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
