@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledgers as L
 from ..operators import review as R
+from ..operators import traces as X
 from .fixtures import read
 
 _KEY = "concat('structural|', case l_linenumber % 3 when 0 then 'AB' when 1 then 'AA' else 'RELATIONAL' end, '|verb', cast(l_partkey % 12 as string), '|_|verbal')"
@@ -100,6 +101,38 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_PLANS = {
+    "sentence_id": _CANDIDATES["sentence_id"],
+    "id": "concat('p', cast(l_orderkey as string), '.', cast(l_linenumber % 3 as string))",
+    "source_event_id": "case when l_partkey % 23 = 0 then null else cast(l_linenumber as string) end",
+    "application_status": "case when l_tax > 0.07 then 'applied' when l_tax > 0.005 then 'not_applied' else null end",
+    "reason_code": "case l_suppkey % 3 when 0 then 'role_missing' when 1 then 'not_directed' else null end",
+}
+_ENTITIES = "struct<entities_a:struct<targets:array<int>,owners:array<struct<protein_indices:array<int>>>>>"
+
+
+def traces(spark: SparkSession, sf: str) -> DataFrame:
+    """The traces of the store's pairs; a sentence of an order in ten had no usable parse."""
+    args = F.from_json("arguments_json", _ENTITIES)["entities_a"]
+    shown = X.visible_entities(F.lit(None).cast("array<int>"), F.array(args["targets"]), F.transform(args["owners"], lambda o: o["protein_indices"]))
+    rows = sentences(spark, sf).withColumn("parser_ok", ~F.col("sentence_id").endswith("7"))
+    return X.build_traces(rows, events(spark, sf).withColumn("entities", shown), candidates(spark, sf), _table(spark, sf, _PLANS))
+
+
+def trace_rows(spark: SparkSession, sf: str) -> DataFrame:
+    lists = ("proposal_refs", "event_refs", "projection_plan_refs", "assertion_statuses", "projection_modes", "reasons")
+    return traces(spark, sf).withColumns({n: F.array_join(n, "|") for n in lists})
+
+
+def traced_pair_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair ledger over the traces that were made, by stage, visibility and reason."""
+    rows = sentences(spark, sf).drop("traces").join(X.gathered(traces(spark, sf)), "sentence_id", "left")
+    ledger = L.pair_ledger(rows, candidates(spark, sf), "demo")
+    return ledger.groupBy("stage", "endpoint_visibility", "application_status", "reason_code", "gold_label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("proposal_count").alias("proposals"), F.max("event_refs").alias("events"), F.max("projection_plan_refs").alias("plans"), F.max("trigger_lemmas").alias("lemmas")
+    )
+
+
 def _cte(name: str, columns: dict[str, str]) -> str:
     return f"{name} AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in columns.items()).replace("as string", "as varchar") + " FROM lineitem)"
 
@@ -219,6 +252,36 @@ def relational_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label", "shape").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _trace_ctes() -> list[str]:
+    seen = "list_sort(list(DISTINCT x.event_id::VARCHAR))"
+    return [
+        _cte("plans", _PLANS),
+        """shown AS MATERIALIZED (SELECT DISTINCT sentence_id, event_id, unnest(list_concat((j ->> '$.entities_a.targets')::INT[], list_transform(json_extract(j, '$.entities_a.owners[*].protein_indices[*]'), lambda x: x::INT))) AS entity
+            FROM (SELECT sentence_id, event_id, arguments_json::JSON AS j FROM event_rows))""",
+        # Events of one number in one sentence are events of their own where they hold pairs.
+        """each AS (SELECT sentence_id, r, unnest(list_concat((j ->> '$.entities_a.targets')::INT[], list_transform(json_extract(j, '$.entities_a.owners[*].protein_indices[*]'), lambda x: x::INT))) AS entity
+            FROM (SELECT sentence_id, row_number() OVER () AS r, arguments_json::JSON AS j FROM event_rows))""",
+        "same AS (SELECT DISTINCT p.sentence_id, p.entity AS a, q.entity AS b FROM each p JOIN each q ON p.r = q.r AND p.entity < q.entity)",
+        """props AS (SELECT sentence_id, a, b, list_sort(list(DISTINCT CASE WHEN coalesce(assertion_status, '') = '' THEN 'asserted' ELSE assertion_status END)) AS assertions, list_sort(list(DISTINCT projection_mode) FILTER (projection_mode <> '')) AS modes,
+            list_sort(list(candidate_id)) AS ids, list(DISTINCT source_event_id) FILTER (source_event_id <> '') AS sources FROM cands WHERE a < b GROUP BY ALL)""",
+        "pairs AS (SELECT sentence_id, a, b FROM pred WHERE a < b UNION SELECT sentence_id, a, b FROM gold WHERE a < b UNION SELECT * FROM same UNION SELECT sentence_id, a, b FROM props)",
+        f"""joined AS MATERIALIZED (SELECT u.*, e.x IS NOT NULL AS predicted, g.x IS NOT NULL AS gold, s.x IS NOT NULL AS same, p.ids IS NOT NULL AS proposed, p.assertions, p.modes, p.ids, p.sources, released, NOT ends_with(u.sentence_id, '7') AS ok,
+            (SELECT {seen} FROM shown x WHERE x.sentence_id = u.sentence_id AND x.entity = u.a) AS at_a, (SELECT {seen} FROM shown x WHERE x.sentence_id = u.sentence_id AND x.entity = u.b) AS at_b FROM pairs u
+            LEFT JOIN (SELECT *, 1 AS x FROM pred) e USING (sentence_id, a, b) LEFT JOIN (SELECT *, 1 AS x FROM gold) g USING (sentence_id, a, b) LEFT JOIN (SELECT *, 1 AS x FROM same) s USING (sentence_id, a, b) LEFT JOIN props p USING (sentence_id, a, b) JOIN sentences USING (sentence_id))""",
+        """staged AS MATERIALIZED (SELECT *, list_sort(list_distinct(list_concat(coalesce(at_a, []), coalesce(at_b, [])))) AS refs, CASE WHEN predicted THEN CASE WHEN gold OR NOT released THEN 'emitted' ELSE 'emitted_gold_disagreement' END
+            WHEN proposed THEN CASE WHEN NOT list_contains(assertions, 'asserted') THEN 'assertion_suppressed' WHEN len(list_filter(coalesce(modes, []), lambda m: m <> 'relational')) = 0 THEN 'relational_review_only' ELSE 'proposal_not_applied' END
+            WHEN same THEN 'pair_not_proposed' WHEN at_a IS NOT NULL OR at_b IS NOT NULL THEN 'argument_not_bound' WHEN ok THEN 'event_not_found' ELSE 'parser_unusable' END AS stage,
+            CASE WHEN proposed THEN 'pair_candidate_exists' WHEN same THEN 'same_event_no_pair' WHEN at_a IS NOT NULL AND at_b IS NOT NULL THEN 'separate_events' WHEN at_a IS NOT NULL OR at_b IS NOT NULL THEN 'one_endpoint' ELSE 'neither_endpoint' END AS endpoint_visibility FROM joined)""",
+        """told AS (SELECT s.sentence_id, s.a, s.b, list_sort(list(DISTINCT p.id)) AS plan_ids, list_distinct(list(coalesce(p.application_status, ''))) AS statuses, list_sort(list(DISTINCT p.reason_code) FILTER (p.reason_code <> '')) AS reasons FROM staged s JOIN plans p
+            ON p.sentence_id = s.sentence_id AND (list_contains(s.refs, p.source_event_id) OR list_contains(s.sources, p.source_event_id)) GROUP BY ALL)""",
+        """traced AS MATERIALIZED (SELECT *, coalesce(stage = 'proposal_not_applied' AND statuses = ['not_applied'] AND len(reasons) > 0, false) AS failed FROM staged LEFT JOIN told USING (sentence_id, a, b))""",
+        """trace_rows AS (SELECT sentence_id, a, b, stage, endpoint_visibility, CASE WHEN failed THEN 'not_applied' WHEN predicted THEN 'applied' WHEN stage = 'assertion_suppressed' THEN 'blocked_assertion' WHEN stage = 'relational_review_only' THEN 'review_only' WHEN proposed THEN 'not_applied_reason_unobserved' ELSE 'not_generated' END AS application_status,
+            CASE WHEN NOT released THEN 'unlabeled' WHEN gold THEN 'positive' ELSE 'negative' END AS gold_status, predicted AS emitted, coalesce(array_to_string(ids, '|'), '') AS proposal_refs, array_to_string(refs, '|') AS event_refs, coalesce(array_to_string(plan_ids, '|'), '') AS projection_plan_refs,
+            coalesce(array_to_string(assertions, '|'), '') AS assertion_statuses, coalesce(array_to_string(modes, '|'), '') AS projection_modes, CASE WHEN NOT failed THEN stage WHEN len(reasons) = 1 THEN reasons[1] ELSE 'multiple_application_reasons' END AS reason_code,
+            failed OR predicted OR stage IN ('assertion_suppressed', 'relational_review_only') AS reason_observed, CASE WHEN failed THEN array_to_string(reasons, '|') ELSE '' END AS reasons FROM traced)""",
+    ]
+
+
 def catalogue() -> dict[str, tuple]:
     unique = lambda c, extra="": f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}) FILTER ({c} <> ''), '')"
     label = "CASE WHEN NOT released THEN 'unlabeled' WHEN g.a IS NOT NULL THEN 'positive' ELSE 'negative' END"
@@ -246,6 +309,9 @@ def catalogue() -> dict[str, tuple]:
     half = f"{z} * sqrt({wilson_p} * (1 - {wilson_p}) / total + {z * z} / (4.0 * total * total))"
     mid, scale = f"({wilson_p} + {z * z} / (2.0 * total))", f"(1 + {z * z} / total)"
     return {
+        "E25_traces": (trace_rows, _sql("SELECT * FROM trace_rows", *_trace_ctes())),
+        "E25_P1_traced_pairs": (traced_pair_rows, _sql("""SELECT stage, endpoint_visibility, application_status, reason_code, gold_status AS gold_label, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS proposals, max(event_refs) AS events, max(projection_plan_refs) AS plans, max(coalesce(lemmas, '')) AS lemmas
+            FROM trace_rows LEFT JOIN (SELECT sentence_id, a, b, count(*) AS k, string_agg(DISTINCT predicate_lemma, '|' ORDER BY predicate_lemma) AS lemmas FROM cands WHERE a < b GROUP BY ALL) USING (sentence_id, a, b) GROUP BY ALL""", *_trace_ctes())),
         "P1_J5_pair_ledger": (pair_rows, _sql(pair_sql, index, universe)),
         "P2_J1_pattern_ledger": (pattern_rows, _sql(pattern_sql, firing)),
         "P3_lexical_ledger": (lexical_rows, _sql("FROM lexical", lexical)),
