@@ -85,20 +85,20 @@ def _parsed() -> str:
     ])
 
 
-def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     every = kept(nodes(spark, sf), "parsed")
     return R.resolve(every.drop("v", "slot", "template", "conv_id", "turn"), kept(mentions(every), "mentions"), ENTITY_NOMINALS, OWNER_HEADS)
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
     """Every node that inherits, what, and from which node where it is one mention."""
-    out, _ = _resolved(spark, sf)
+    out, _ = resolved(spark, sf)
     return out.filter("kind IS NOT NULL").select("sentence_id", "i", "kind", F.array_join("entities", ",").alias("entities"), F.coalesce("reference_head", F.lit(-1)).alias("head"), F.coalesce(F.array_join("reference_nodes", ","), F.lit("")).alias("nodes"))
 
 
 def reference_trace(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences' traces of the reference rules: how often each decision stands at each place of a trace."""
-    out, applications = _resolved(spark, sf)
+    out, applications = resolved(spark, sf)
     sentences = out.select("sentence_id").distinct()
     traced = rules.appended(sentences, ["sentence_id"], applications, ["step", "place", "i"])
     rows = traced.select(F.posexplode("trace").alias("spot", "a")).select("spot", "a.*")
@@ -194,9 +194,12 @@ def _reference_ctes() -> list[str]:
     ]
 
 
+def resolved_sql() -> str:
+    return f"WITH {', '.join([_parsed(), *_reference_ctes()])} "
+
+
 def catalogue() -> dict[str, tuple]:
-    with_parsed = lambda *ctes: f"WITH {', '.join([_parsed(), *ctes])} "
-    resolved = with_parsed(*_reference_ctes())
+    resolved = resolved_sql()
     rule_id = _RULE_ID
     toggles = "toggles AS (" + " UNION ".join(f"SELECT {p} AS prefix, {e} AS exact, {o} AS on_ FROM ledger WHERE {w}" for p, e, o, w in _TOGGLES) + ")"
     ran = " UNION ALL ".join(f"SELECT *, {k} AS k, '{i}' AS rule_id, '{s}' AS stage, {b or 'false'} AS stops, '{r}' AS reason FROM numbered WHERE {c}" for k, (i, s, c, b, r) in enumerate(_RULES) if ".state." not in i)
