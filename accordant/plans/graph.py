@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import nested as N
 from ..operators import observations as O
 from ..scratch import kept
 from . import parsed as P
@@ -95,6 +96,37 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sentence_id", "cluster", "mention", F.size("node_refs").alias("nodes"), F.coalesce(F.get(F.reverse("node_refs"), F.lit(0)), F.lit("")).alias("last"))
 
 
+NOMINALS = ["interaction", "complex"]
+
+
+def inner(spark: SparkSession, sf: str) -> DataFrame:
+    """The nominal events of the parsed sentences, after their control by the verb around them."""
+    nodes = kept(P.nodes(spark, sf), "parsed")
+    events, args = N.inner_events(nodes, NOMINALS)
+    verbs = nodes.filter("pos = 'VERB'").select("sentence_id", F.col("i").alias("outer"), "lemma")
+    found = nodes.filter("pos = 'NOUN'").select("sentence_id", F.col("i").alias("head"), F.col("head_i").alias("outer"), F.col("dep").alias("role"))
+    claims = N.claimed(found.join(verbs, ["sentence_id", "outer"]).select("sentence_id", "outer", "head", "role")).join(verbs, ["sentence_id", "outer"])
+    sources = nodes.filter("dep = 'nsubj' AND size(entities) > 0").select("sentence_id", F.col("head_i").alias("outer"), "i", "entities")
+    events, args = N.control(events, args, claims, sources)
+    sides = args.groupBy("sentence_id", "head").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") == n, F.struct("ordinal", F.concat_ws(":", F.col("i").cast("string"), "prep").alias("t"))))), lambda x: x["t"]), ";").alias(n) for n in ("sources", "targets", "participants")))
+    free = N.unconsumed(events, claims).select("sentence_id", "head", F.lit(True).alias("free"))
+    return events.join(sides, ["sentence_id", "head"]).join(free, ["sentence_id", "head"], "left").withColumns({"free": F.coalesce("free", F.lit(False)), "rule_id": F.coalesce("rule_id", F.lit(""))})
+
+
+#: The events of an order are its line items, numbered; an item may refer to one or two others.
+_REFERENCES = [("supp % 3 > 0", "(k + supp) % n"), ("part % 4 = 0", "(k + part % 5 + 1) % n")]
+
+
+def levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that refer to events: the levels of their resolution, and what they show then."""
+    rows = read(spark, sf, "lineitem").select("l_orderkey", F.expr(_ARGUMENT["place"]).alias("place"), F.expr(_ARGUMENT["part"]).alias("part"), F.expr(_ARGUMENT["supp"]).alias("supp"))
+    every = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "part", "supp"))).alias("all")).select("l_orderkey", F.size("all").alias("n"), F.posexplode("all").alias("k", "x")).select("l_orderkey", "n", "k", "x.part", "x.supp")
+    every = kept(every, "items")
+    references = every.filter(_REFERENCES[0][0]).selectExpr("l_orderkey", "k AS outer", f"{_REFERENCES[0][1]} AS inner").unionByName(every.filter(_REFERENCES[1][0]).selectExpr("l_orderkey", "k AS outer", f"{_REFERENCES[1][1]} AS inner"))
+    out = N.compose(every.select("l_orderkey", F.col("k").alias("event"), F.array(F.col("part") % 9).alias("entities")), references, by="l_orderkey")
+    return out.select("l_orderkey", "event", "cyclic", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce(F.array_join("all_entities", ","), F.lit("-")).alias("entities"))
+
+
 def catalogue() -> dict[str, tuple]:
     cols = ", ".join(f"{x} AS {n}" for n, x in _ARGUMENT.items()).replace("as string", "as varchar")
     src = "[" + ", ".join(f"'{s}'" for s in _SOURCES) + "]"
@@ -121,4 +153,21 @@ def catalogue() -> dict[str, tuple]:
         "E28_sentence_mentions": (sentence_mentions, resolved + f""", {final} SELECT sentence_id, CASE WHEN regexp_full_match(word, '(?i)PROTEIN[0-9]+') THEN 'direct_protein_marker' WHEN len(now) > 0 THEN 'reference_bearing_anchor' ELSE 'lexical_anchor' END AS mention_kind, count(*) AS n,
             sum(CASE WHEN inherits THEN 0 ELSE len(now) END)::BIGINT AS direct, sum(CASE WHEN inherits THEN len(now) ELSE 0 END)::BIGINT AS inherited, count(*) AS restored FROM last_nodes GROUP BY ALL"""),
         "E28_clusters": (clusters, P.resolved_sql() + f""" SELECT m.sentence_id, m.cluster, m.mention, count(n.i)::INT AS nodes, coalesce(max_by(CASE WHEN n.i IS NOT NULL THEN {nid("n")} END, n.i), '') AS last FROM mentions m LEFT JOIN nodes n ON n.sentence_id = m.sentence_id AND n.char_start < m.e AND n.char_end > m.s GROUP BY m.sentence_id, m.cluster, m.mention"""),
+        "E9_nested_events": (inner, P.resolved_sql() + f""", prep0 AS (SELECT sentence_id, head_i AS i, arg_min(lower(lemma), i) AS w FROM nodes WHERE dep = 'case' GROUP BY ALL),
+            toks AS MATERIALIZED (SELECT h.sentence_id, h.i AS head, a.i AS i, a.entity, coalesce(p.w, q.w, '') AS prep, a.dep = 'compound' AS anchor FROM nodes h JOIN nodes a ON a.sentence_id = h.sentence_id AND ((a.head_i = h.i AND split_part(a.dep, ':', 1) IN ('compound', 'nmod', 'conj'))
+                OR (a.dep = 'conj' AND EXISTS (SELECT 1 FROM nodes m WHERE m.sentence_id = h.sentence_id AND m.i = a.head_i AND m.head_i = h.i AND split_part(m.dep, ':', 1) IN ('compound', 'nmod', 'conj'))))
+                LEFT JOIN prep0 p ON p.sentence_id = a.sentence_id AND p.i = a.i LEFT JOIN prep0 q ON q.sentence_id = a.sentence_id AND a.dep = 'conj' AND q.i = a.head_i WHERE h.pos = 'NOUN' AND lower(h.lemma) IN ('interaction', 'complex') AND a.entity IS NOT NULL),
+            evs AS (SELECT sentence_id, head, count(*) FILTER (prep = 'by') AS nby, count(*) FILTER (prep <> 'by') AS nrest, count(DISTINCT prep) FILTER (prep <> '') AS np, arg_min(prep, i) FILTER (prep <> '') AS fp, count(*) FILTER (prep = '') AS bare, bool_and(prep <> '' OR anchor) AS anch FROM toks GROUP BY ALL HAVING count(DISTINCT entity) > 1),
+            sided AS (SELECT *, CASE WHEN nby > 0 AND nrest > 0 THEN 'by' WHEN np = 1 AND bare > 0 AND anch THEN '' WHEN np > 1 THEN fp END AS side FROM evs),
+            outers AS (SELECT n.sentence_id, n.i AS head, v.i AS o, lower(v.lemma) AS ol, n.dep AS role FROM nodes n JOIN nodes v ON v.sentence_id = n.sentence_id AND v.i = n.head_i AND v.pos = 'VERB' WHERE n.pos = 'NOUN'),
+            subs AS (SELECT sentence_id, head_i AS o, string_agg(i || ':', ';' ORDER BY i) AS t FROM nodes WHERE dep = 'nsubj' AND entity IS NOT NULL GROUP BY ALL),
+            ctl AS (SELECT s.sentence_id, s.head, subs.t FROM sided s JOIN outers USING (sentence_id, head) JOIN subs USING (sentence_id, o) WHERE side IS NULL AND ol IN ('engage', 'form', 'implicate', 'involve', 'participate') AND role = 'obj' AND NOT EXISTS (SELECT 1 FROM toks t WHERE t.sentence_id = s.sentence_id AND t.head = s.head AND t.prep NOT IN ('with', 'to')))
+            SELECT s.sentence_id, s.head, side IS NOT NULL OR c.t IS NOT NULL AS directed, CASE WHEN c.t IS NOT NULL THEN '{N.SUBJECT_RULE}' ELSE '' END AS rule_id, coalesce(c.t, string_agg(t.i || ':' || t.prep, ';' ORDER BY t.i) FILTER (side = t.prep), '') AS sources,
+            coalesce(string_agg(t.i || ':' || t.prep, ';' ORDER BY t.i) FILTER (side <> t.prep OR c.t IS NOT NULL), '') AS targets, coalesce(string_agg(t.i || ':' || t.prep, ';' ORDER BY t.i) FILTER (side IS NULL AND c.t IS NULL), '') AS participants,
+            NOT EXISTS (SELECT 1 FROM outers x WHERE x.sentence_id = s.sentence_id AND x.head = s.head) AS free FROM sided s JOIN toks t USING (sentence_id, head) LEFT JOIN ctl c USING (sentence_id, head) GROUP BY s.sentence_id, s.head, side, c.t"""),
+        "E9_levels": (levels, f"""WITH RECURSIVE x AS MATERIALIZED (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY place) - 1)::INT AS k, count(*) OVER (PARTITION BY l_orderkey)::INT AS n, part, supp FROM (SELECT l_orderkey, {_ARGUMENT["place"]} AS place, {_ARGUMENT["part"]} AS part, {_ARGUMENT["supp"]} AS supp FROM lineitem)),
+            e AS MATERIALIZED (SELECT DISTINCT l_orderkey, k AS o, {_REFERENCES[0][1]} AS t FROM x WHERE {_REFERENCES[0][0]} UNION SELECT l_orderkey, k, {_REFERENCES[1][1]} FROM x WHERE {_REFERENCES[1][0]}),
+            w AS (SELECT l_orderkey, k AS o, k AS t, 0 AS depth FROM x UNION SELECT w.l_orderkey, w.o, e.t, depth + 1 FROM w JOIN e ON e.l_orderkey = w.l_orderkey AND e.o = w.t WHERE depth <= 8)
+            SELECT w.l_orderkey, w.o AS event, max(depth) > 8 AS cyclic, CASE WHEN max(depth) > 8 THEN -1 ELSE max(depth) END AS level, CASE WHEN max(depth) > 8 THEN '-' ELSE array_to_string(list_sort(list(DISTINCT x.part % 9)), ',') END AS entities
+            FROM w JOIN x ON x.l_orderkey = w.l_orderkey AND x.k = w.t GROUP BY ALL"""),
     }

@@ -1,7 +1,7 @@
 """Parsed sentences made of the driver's conversations, and queries over them, each with the SQL it is held against.
 
 A turn is a sentence and its words are the nodes, whatever their number. Words get their annotation in blocks of eight from
-four templates (a coordination, a copula, a reference, an apposition), chosen like all else by arithmetic on the ids.
+five templates (a coordination, a copula, a reference, an apposition, a nominal event), chosen like all else by arithmetic on the ids.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ _TEMPLATES = """(0,0,'','','','PROPN','nsubj',4,1), (0,1,'and','and','and','CCON
  (2,0,'the','this','these','DET','det',1,0), (2,1,'kinase','kinase','receptor','NOUN','nsubj',2,0), (2,2,'act','bind','be','VERB','root',-1,0), (2,3,'','','','PROPN','obj',2,1),
  (2,4,'these','these','those','DET','det',6,0), (2,5,'two','three','2','NUM','nummod',6,0), (2,6,'protein','protein','factor','NOUN','obl',2,0), (2,7,'','','','PROPN','compound',6,4),
  (3,0,'','','','PROPN','root',-1,2), (3,1,'kinase','receptor','receptor','NOUN','appos',0,0), (3,2,'level','level','part','NOUN','obl',0,0), (3,3,'of','of','in','ADP','case',4,0),
- (3,4,'','','','PROPN','nmod:of',2,1), (3,5,'the','the','this','DET','det',6,0), (3,6,'proteins','receptor','kinase','NOUN','appos',2,0), (3,7,'it','them','those','PRON','obj',0,0)"""
+ (3,4,'','','','PROPN','nmod:of',2,1), (3,5,'the','the','this','DET','det',6,0), (3,6,'proteins','receptor','kinase','NOUN','appos',2,0), (3,7,'it','them','those','PRON','obj',0,0),
+ (4,0,'involve','form','show','VERB','root',-1,0), (4,1,'interaction','interaction','complex','NOUN','obj',0,0), (4,2,'of','with','by','ADP','case',3,0), (4,3,'','','','PROPN','nmod',1,1),
+ (4,4,'with','to','with','ADP','case',5,0), (4,5,'','','','PROPN','nmod',1,1), (4,6,'','','','PROPN','conj',5,1), (4,7,'','','','PROPN','nsubj',0,1)"""
 _NAMES = "template, slot, lemma0, lemma1, lemma2, pos, dep, head_slot, every"
 ENTITY_NOMINALS, OWNER_HEADS = ["protein", "receptor", "kinase"], ["level", "activity"]
 
@@ -30,7 +32,7 @@ ENTITY_NOMINALS, OWNER_HEADS = ["protein", "receptor", "kinase"], ["level", "act
 _STEPS = [
     {
         "v": "(conv_id * 7919 + turn * 104729 + cast(i as bigint) * 15485863 + length(surface) * 31) % 1000003",
-        "template": "cast((conv_id * 31 + turn * 17 + floor(i / 8) * 13 + floor(i / 24)) % 4 as int)",
+        "template": "cast((conv_id * 31 + turn * 17 + floor(i / 8) * 13 + floor(i / 24)) % 5 as int)",
         "slot": "i % 8",
     },
     {"lemma": "case when lemma0 = '' then lower(surface) when v % 3 = 0 then lemma0 when v % 3 = 1 then lemma1 else lemma2 end"},
@@ -49,7 +51,7 @@ _STEPS = [
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \n]+"), 0)).alias("i", "surface"))
     rows = rows.withColumns({n: F.expr(x) for n, x in _STEPS[0].items()})
-    rows = rows.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {_TEMPLATES} AS t({_NAMES})")), ["template", "slot"])  # 32 rows
+    rows = rows.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {_TEMPLATES} AS t({_NAMES})")), ["template", "slot"])  # 40 rows
     for step in _STEPS[1:]:
         rows = rows.withColumns({n: F.expr(x) for n, x in step.items()})
     direct = F.when(F.col("entity").isNotNull(), F.array("entity")).otherwise(F.array().cast("array<int>"))
