@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph, lexical, parsed, paths, records, resampling, statistics, store
+from .plans import audit, graph, lexical, parsed, paths, records, resampling, statistics, store
 
-_PARTS = (statistics, records, resampling, paths, store, lexical, parsed, graph)
+_PARTS = (statistics, records, resampling, paths, store, lexical, parsed, graph, audit)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
