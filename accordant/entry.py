@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit, graph, lexical, parsed, paths, records, resampling, statistics, store, trees
+from .plans import audit, graph, lexical, parsed, paths, records, resampling, statistics, store, streams, trees
 
-_PARTS = (statistics, records, resampling, paths, store, lexical, parsed, graph, audit, trees)
+_PARTS = (statistics, records, resampling, paths, store, lexical, parsed, graph, audit, trees, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

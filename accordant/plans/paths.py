@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as G
 from ..operators import paths as P
+from ..scratch import folder
 from ..streaming.cells import drain, streamed_cells
 from .fixtures import ledger, read, sql
 
@@ -76,12 +76,7 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """Events a day and type, and those over the middle value, by a stream that reads the table once."""
     table = read(spark, sf, "events")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="accordant-")
-    name = f"streamed_{uuid.uuid4().hex}"
-    cells = drain(streamed_cells(stream, "at", ["event_type"], F.col("value") > 50), name, f"{base}/{name}")
+    cells = drain(streamed_cells(stream, "at", ["event_type"], F.col("value") > 50), f"{folder(spark)}/streamed-{uuid.uuid4().hex}", ["start", "event_type"])
     return cells.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "support", "gold_positive")
 
 

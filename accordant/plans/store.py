@@ -108,6 +108,12 @@ _PLANS = {
     "application_status": "case when l_tax > 0.07 then 'applied' when l_tax > 0.005 then 'not_applied' else null end",
     "reason_code": "case l_suppkey % 3 when 0 then 'role_missing' when 1 then 'not_directed' else null end",
 }
+
+
+def plans(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, _PLANS)
+
+
 _ENTITIES = "struct<entities_a:struct<targets:array<int>,owners:array<struct<protein_indices:array<int>>>>>"
 
 
@@ -116,7 +122,7 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     args = F.from_json("arguments_json", _ENTITIES)["entities_a"]
     shown = X.visible_entities(F.lit(None).cast("array<int>"), F.array(args["targets"]), F.transform(args["owners"], lambda o: o["protein_indices"]))
     rows = sentences(spark, sf).withColumn("parser_ok", ~F.col("sentence_id").endswith("7"))
-    return X.build_traces(rows, events(spark, sf).withColumn("entities", shown), candidates(spark, sf), _table(spark, sf, _PLANS))
+    return X.build_traces(rows, events(spark, sf).withColumn("entities", shown), candidates(spark, sf), plans(spark, sf))
 
 
 def trace_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,6 +159,11 @@ def _sql(body: str, *ctes: str) -> str:
     return f"WITH {', '.join([_STORE, *ctes])} {body}"
 
 
+def sql_over(body: str) -> str:
+    """A query over the store's tables and plans."""
+    return _sql(body, _cte("plans", _PLANS))
+
+
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     return L.pair_ledger(sentences(spark, sf), candidates(spark, sf), "demo")
 
