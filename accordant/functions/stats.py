@@ -46,36 +46,54 @@ def log_factorial(n: np.ndarray) -> np.ndarray:
 
 
 def fisher_batch(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """Two-sided exact p of tables: the sums over tables with their margins that are no likelier. 1 for an empty row. All tables' terms are
-    laid end to end, about step at a time; a table of more terms than that goes alone, in pieces."""
+    """Two-sided exact p of tables: the sums over tables with their margins that are no likelier. 1 for an empty row.
+
+    Likelihoods rise to the mode and fall from it, so what is no likelier than a table is all beyond two places, found by bisection. From
+    either the terms are added up outward, each from the one before by their ratio, as far as they count: what lies further than 30 and
+    8.7 standard deviations from a place beyond the mode is below 1e-16 of what lies nearer. So the work grows with the square root of the margins. About step terms are held at a time."""
     a, b, c, d = (np.asarray(x, dtype=np.int64) for x in (a, b, c, d))
     if len(a) and min(x.min() for x in (a, b, c, d)) < 0:
         raise ValueError("negative counts")
     r1, r2, c1 = a + b, c + d, a + c
-    fixed = log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(r1 + r2 - c1) - log_factorial(r1 + r2)
+    total = r1 + r2
+    fixed = log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(total - c1) - log_factorial(total)
 
-    def likely(x: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return np.exp(fixed[i] - log_factorial(x) - log_factorial(r1[i] - x) - log_factorial(c1[i] - x) - log_factorial(r2[i] - c1[i] + x))
+    def likely(x: np.ndarray) -> np.ndarray:
+        return np.exp(fixed - log_factorial(x) - log_factorial(r1 - x) - log_factorial(c1 - x) - log_factorial(r2 - c1 + x))
 
-    every = np.arange(len(a))
-    bound = likely(a, every) + FISHER_SLACK
+    bound = likely(a) + FISHER_SLACK
     low, high = np.maximum(0, c1 - r2), np.minimum(r1, c1)
-    size = high - low + 1
+    mode = np.clip((r1 + 1) * (c1 + 1) // (total + 2), low, high)
+
+    def first(outward: int, near: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place nearest to the mode, from near on, that is no likelier than the bound; beyond end where none is."""
+        lo, hi = np.zeros(len(a), dtype=np.int64), np.maximum(outward * (end - near) + 1, 0)
+        while (lo < hi).any():
+            middle = (lo + hi) // 2
+            x = near + outward * np.minimum(middle, np.maximum(outward * (end - near), 0))
+            fits = likely(np.clip(x, low, high)) <= bound
+            lo, hi = np.where(fits | (lo >= hi), lo, middle + 1), np.where(fits & (lo < hi), middle, hi)
+        return near + outward * lo
+
+    right, left = first(1, mode, high), first(-1, mode - 1, low)
+    big = np.maximum(total.astype(np.float64), 2)
+    deviation = np.sqrt(r1 / big * r2 / big * c1 * (total - c1) / (big - 1))
+    reach = (30 + 8.7 * deviation).astype(np.int64) + 1
     out = np.zeros(len(a))
-    start = 0
-    while start < len(a):
-        end = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), step, side="right")))
-        if end == start + 1:
-            for x in range(int(low[start]), int(high[start]) + 1, step):
-                terms = np.arange(x, min(int(high[start]) + 1, x + step))
-                p = likely(terms, np.full(len(terms), start))
-                out[start] += p[p <= bound[start]].sum()
-        else:
-            i = np.repeat(every[start:end], size[start:end])
-            x = np.arange(len(i)) - np.repeat(np.cumsum(size[start:end]) - size[start:end], size[start:end]) + low[i]
-            p = likely(x, i)
-            out[start:end] = np.bincount(i - start, weights=np.where(p <= bound[i], p, 0.0), minlength=end - start)
-        start = end
+    order = np.argsort(reach, kind="stable")
+    at = 0
+    while at < len(a):
+        end = at + max(1, int(np.searchsorted(np.cumsum(reach[order[at:]]), step, side="right")))
+        i = order[at:end]
+        width = min(int(reach[i].max()), int((high - low)[i].max()) + 1)
+        k = np.arange(width - 1)
+        # A tail to the left is one to the right with the columns swapped.
+        for start, columns, outside in ((right[i], c1[i], right[i] > high[i]), ((r1 - left)[i], (total - c1)[i], left[i] < low[i])):
+            x = start[:, None] + k
+            ratio = np.maximum((r1[i][:, None] - x) * (columns[:, None] - x), 0) / np.maximum((x + 1) * (r2[i][:, None] - columns[:, None] + x + 1), 1)
+            head = np.where(outside, 0.0, np.exp(fixed[i] - log_factorial(start) - log_factorial(np.maximum(r1[i] - start, 0)) - log_factorial(np.maximum(columns - start, 0)) - log_factorial(np.maximum(r2[i] - columns + start, 0))))
+            out[i] += head * (1 + np.cumprod(ratio, axis=1).sum(axis=1))
+        at = end
     return np.where((r1 == 0) | (r2 == 0), 1.0, np.clip(out, 0.0, 1.0))
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from .models import ridge_logit
 from .resample import replicates
 
 
@@ -25,11 +24,36 @@ def eligible(cells: DataFrame, stratum: list[str], min_rows: int = 5, partitions
     return enough.join(enough.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= partitions).drop("_n"), stratum, "left_semi")
 
 
-def additive_logit(stratum: np.ndarray, part: np.ndarray, positive: np.ndarray, support: np.ndarray, c: float) -> np.ndarray:
-    """The logit of each cell under a model in which stratum and partition add up. Numbers are 0, 1, and so on."""
-    x = np.concatenate([np.eye(int(stratum.max()) + 1)[stratum], np.eye(int(part.max()) + 1)[part]], axis=1)
-    beta = ridge_logit(np.concatenate([x, x]), np.repeat([1.0, 0.0], len(x)), np.concatenate([positive, support - positive]).astype(np.float64), c)
-    return np.column_stack([x, np.ones(len(x))]) @ beta
+def additive_logit(stratum: np.ndarray, part: np.ndarray, positive: np.ndarray, support: np.ndarray, c: float, steps: int = 100) -> np.ndarray:
+    """The logit of each cell under a ridge model in which stratum and partition add up. Numbers are 0, 1, and so on.
+
+    Newton's steps; strata touch only themselves and the few partitions, so they are eliminated and what is solved is as large as the partitions."""
+    y, n = np.asarray(positive, dtype=np.float64), np.asarray(support, dtype=np.float64)
+    k, q = int(stratum.max()) + 1, int(part.max()) + 1
+    side = np.concatenate([np.eye(q)[part], np.ones((len(part), 1))], axis=1)  # partitions and the intercept, which isn't penalised
+    ridge = np.append(np.ones(q), 0.0)
+    u, v = np.zeros(k), np.zeros(q + 1)
+
+    def loss(u: np.ndarray, v: np.ndarray) -> float:
+        z = u[stratum] + side @ v
+        return 0.5 * float(u @ u + ridge @ v**2) + c * float(n @ np.logaddexp(0, z) - y @ z)
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(u[stratum] + side @ v, -700, 700)))
+        g, h = c * (n * p - y), c * n * p * (1 - p)
+        gu, gv = u + np.bincount(stratum, g, k), ridge * v + side.T @ g
+        du = 1 + np.bincount(stratum, h, k)
+        mixed = np.stack([np.bincount(stratum, h * side[:, j], k) for j in range(q + 1)], axis=1)
+        schur = np.diag(ridge) + (side.T * h) @ side - mixed.T @ (mixed / du[:, None])
+        move_v = np.linalg.lstsq(schur, gv - mixed.T @ (gu / du), rcond=None)[0]
+        move_u = (gu - mixed @ move_v) / du
+        scale, now = 1.0, loss(u, v)
+        while scale > 1e-8 and loss(u - scale * move_u, v - scale * move_v) > now:
+            scale /= 2
+        u, v = u - scale * move_u, v - scale * move_v
+        if scale * np.abs(move_u[stratum] + side @ move_v).max() < 1e-10:
+            break
+    return u[stratum] + side @ v
 
 
 def contrast(first: np.ndarray, second: np.ndarray) -> dict[str, float]:
