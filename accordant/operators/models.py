@@ -14,23 +14,57 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 
 def folds_by_hash(key: list[str], k: int = 5, seed: int = 0) -> Column:
     """A fold of each key: rows of one key stay together."""
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(k)).cast("int")
 
 
+def greedy_runs(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Of each size (size, groups; by falling size) the runs of the greedy deal: from a rank on, a pattern of folds that repeats.
+
+    The folds that get a group before the least loaded one would get its second take turns, until the next fold's load is reached; then they are
+    one more. So a size has few runs, whatever its groups."""
+    load, out = [0] * k, []
+    for n, m in sizes:
+        runs, rank = [], 0
+        while rank < m:
+            order = sorted(range(k), key=lambda f: (load[f], f))
+            again = (load[order[0]] + n, order[0])
+            turn = [f for f in order if (load[f], f) < again]
+            others = [(load[f], f) for f in order if f not in turn]
+            rounds = m
+            for f in turn:
+                for there, g in others:  # the greatest t with (load[f] + t * n, f) before (there, g), and one more
+                    rounds = min(rounds, (there - load[f] - (f > g)) // n + 1)
+            taken = min(m - rank, max(1, rounds) * len(turn))
+            runs.append((rank, turn))
+            for at, f in enumerate(turn):
+                load[f] += n * ((taken - at + len(turn) - 1) // len(turn))
+            rank += taken
+        out.append((n, runs))
+    return out
+
+
 def folds_by_size(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """group and fold: the groups by falling size go, one after the other, to the fold of fewest rows so far (the first of equals).
-    Only group sizes come to the driver."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).collect()
-    load = [0] * k
-    out = []
-    for r in sizes:
-        f = load.index(min(load))
-        load[f] += r["n"]
-        out.append((r[group], f))
-    return df.sparkSession.createDataFrame(out, f"{df.select(group).schema[0].simpleString().replace(':', ' ')}, fold int")
+    """group and fold: the groups by falling size, of one size by name, go one after the other to the fold of fewest rows so far (the first of equals).
+
+    The driver sees how many groups each size has (at most the square root of twice the rows) and deals them by runs. Groups get their rank within their size in
+    ranges of (size, group), so that a size may have any number; a null group is one."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    dealt = kept(sizes.repartitionByRange(F.desc("_size"), F.asc(group)).withColumn("_part", F.spark_partition_id()), "groups")
+    counts = dealt.groupBy("_size", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.withColumn("_earlier", F.sum("_n").over(before)).filter("_earlier > 0").drop("_n")  # one a range
+    rank = F.row_number().over(Window.partitionBy("_size", "_part").orderBy(group)) - 1
+    ranked = dealt.withColumn("_rank", rank).join(F.broadcast(earlier), ["_size", "_part"], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_earlier", F.lit(0)))
+    runs = greedy_runs([(r[0], r[1]) for r in counts.groupBy("_size").agg(F.sum("_n")).orderBy(F.desc("_size")).collect()], k)
+    table = df.sparkSession.createDataFrame(runs, "_size long, _runs array<struct<start:long,turn:array<int>>>")
+    own = F.element_at(F.filter("_runs", lambda x: x["start"] <= F.col("_rank")), -1)
+    fold = F.element_at(own["turn"], ((F.col("_rank") - own["start"]) % F.size(own["turn"]) + 1).cast("int"))
+    return ranked.join(F.broadcast(table), "_size").select(group, fold.alias("fold"))
 
 
 def ridge_logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0, steps: int = 100) -> np.ndarray:

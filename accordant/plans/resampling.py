@@ -220,7 +220,7 @@ def icc(spark: SparkSession, sf: str) -> DataFrame:
 
 def balanced_folds(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf).drop("fold")
-    return rows.join(F.broadcast(M.folds_by_size(rows, "document")), "document").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document").alias("documents"))
+    return rows.join(M.folds_by_size(rows, "document"), "document").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document").alias("documents"))
 
 
 def catalogue() -> dict[str, tuple]:
@@ -230,7 +230,10 @@ def catalogue() -> dict[str, tuple]:
         "T9_gap_null": (gap_null, None),
         "T11_gap_bootstrap": (gap_bootstrap, None),
         "T18_T20_model_comparison": (model_comparison, None),
-        "T22_balanced_folds": (balanced_folds, None),
+        "T22_balanced_folds": (balanced_folds, sql("""SELECT fold, sum(n)::BIGINT AS n, count(*) AS documents FROM walk WHERE place > 0 GROUP BY fold""",
+            "docs AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n DESC, document) AS place FROM (SELECT split_part(sentence_id, '.', 1) || '.' || split_part(sentence_id, '.', 2) AS document, count(*) AS n FROM ledger WHERE gold_label <> 'unlabeled' GROUP BY ALL))",
+            """walk AS (SELECT 0::BIGINT AS place, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1 AS fold, 0::BIGINT AS n UNION ALL SELECT d.place, list_transform(range(1, 6), lambda i: (loads[i] + CASE WHEN i = f THEN d.n ELSE 0 END)::BIGINT), (f - 1)::INT, d.n
+                FROM (SELECT *, list_position(loads, list_min(loads)) AS f FROM walk) w JOIN docs d ON d.place = w.place + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)),
         "T24_lift_bootstrap": (lift_bootstrap, None),
         "T10_additive_null": (additive_null, None),
         "T12_T13_pair_contrast": (pair_contrast, None),

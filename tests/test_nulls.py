@@ -212,3 +212,32 @@ def test_text_control_learns_and_is_held_out(spark):
     df = spark.createDataFrame(rows, "fold int, y int, words array<string>, source string")
     held = M.text_model(df, "words", "y", "fold", ["source"])
     assert held.count() == 240 and M.auc(held.withColumn("n", F.lit(1)), [], "p", "y", "n").first()["auc"] > 0.99
+
+
+def test_folds_by_runs_are_the_greedy_ones(spark):
+    import random
+
+    random.seed(4)
+    sizes = {f"g{i:03}": random.choice([1, 1, 1, 2, 3, 17]) for i in range(200)} | {None: 3}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    load, want = [0] * 4, {}
+    for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or "")):
+        want[g] = load.index(min(load))
+        load[want[g]] += n
+    assert {r.g: r.fold for r in M.folds_by_size(df, "g", 4).collect()} == want
+    assert M.folds_by_size(df.filter("false"), "g", 4).count() == 0
+
+
+def test_exact_tests_of_large_and_of_skewed_margins():
+    """Tails that begin far from the mode, at an end, or nowhere, against sums over all tables."""
+    from math import lgamma
+
+    def plain(a, b, c, d):
+        r1, r2, c1 = a + b, c + d, a + c
+        ln = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+        p = {x: np.exp(ln(r1, x) + ln(r2, c1 - x) - ln(r1 + r2, c1)) for x in range(max(0, c1 - r2), min(r1, c1) + 1)}
+        return sum(v for v in p.values() if v <= p[a] + S.FISHER_SLACK)
+
+    tables = [(0, 40, 40, 0), (3000, 10, 2900, 150), (1, 0, 0, 1), (5, 0, 900, 3000), (2000, 2000, 2000, 2000), (0, 7000, 3, 9), (12, 5, 0, 0), (700, 701, 650, 640)]
+    got = S.fisher_batch(*np.array(tables).T)
+    assert np.allclose(got, [1.0 if 0 in (a + b, c + d) else min(1.0, plain(a, b, c, d)) for a, b, c, d in tables], atol=1e-9)
