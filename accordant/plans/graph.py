@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nested as N
 from ..operators import observations as O
+from ..operators import projection as J
 from ..scratch import kept
 from . import parsed as P
 from .fixtures import read
@@ -96,6 +97,29 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sentence_id", "cluster", "mention", F.size("node_refs").alias("nodes"), F.coalesce(F.get(F.reverse("node_refs"), F.lit(0)), F.lit("")).alias("last"))
 
 
+#: The flags of an order's event and the fields of a line item's argument, the same expressions for both engines.
+_FLAGS = {
+    "event_type": "case when e % 11 = 0 then 'RELATION_STATEMENT' when e % 13 = 0 then 'IDENTITY' when e % 2 = 0 then 'INTERACTION' else 'INTERACTION_STATE' end",
+    "asserted": "e % 9 > 0", "negated": "e % 17 = 0", "directed": "e % 2 = 0", "nested": "e % 5 = 0", "pattern_supported": "e % 7 > 0", "group_supported": "e % 3 > 0",
+}
+_SLOT = "case when e % 2 = 1 then 'participants' when part % 2 = 0 then 'sources' else 'targets' end"
+_BARE = "e % 23 = 0 and part % 2 = 1"
+
+
+def plans(spark: SparkSession, sf: str) -> DataFrame:
+    """The projection plans of the orders' events: their pairs, status, reason and mode."""
+    rows = read(spark, sf, "lineitem").select(*(F.expr(_ARGUMENT[n]).alias(n) for n in ("event_id", "place", "part", "supp"))).withColumn("e", F.col("event_id").cast("int"))
+    part, supp, none = F.col("part"), F.col("supp"), F.array().cast("array<int>")
+    entities = F.when(F.expr(_BARE), none).when(supp % 3 == 0, F.array(part % 6, supp % 7)).otherwise(F.array(part % 6))
+    members = F.when((supp % 4 == 0) & ~F.expr(_BARE), F.array(F.array(part % 6), F.array(supp % 7, part % 5)))
+    arg = F.struct(F.expr(_SLOT).alias("slot"), entities.alias("entities"), (part % 10 > 0).alias("allowed"), (supp % 5 == 0).alias("exemplar"), (part % 3 == 0).alias("group"), members.alias("members"))
+    events = rows.groupBy("event_id", "e").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", arg.alias("a")))), lambda x: x["a"]).alias("arguments")).select("event_id", "e", "arguments", *(F.expr(x).alias(n) for n, x in _FLAGS.items()))
+    e, pair = F.col("e"), lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    events = events.withColumns({"role_pairs": F.when(e % 4 == 1, pair(e % 5, e % 3)), "compound_pairs": F.when(e % 15 == 0, pair(e % 6, e % 4)), "internal_pairs": F.when(e % 19 == 0, pair(e % 8, e % 3))})
+    said = lambda p: F.concat_ws("-", p["a"].cast("string"), p["b"].cast("string"))
+    return J.plan(events).select("event_id", F.array_join(F.transform("final_pairs", said), ",").alias("pairs"), "application_status", "reason_code", "projection_mode")
+
+
 NOMINALS = ["interaction", "complex"]
 
 
@@ -139,7 +163,27 @@ def catalogue() -> dict[str, tuple]:
     nid = lambda t: f"{t}.sentence_id || ':node:' || {t}.i || ':' || {t}.char_start || '-' || {t}.char_end"
     resolved = P.resolved_sql()
     final = """last_nodes AS MATERIALIZED (SELECT n.*, CASE WHEN by1 OR by2 THEN n.ents WHEN d.ents IS NOT NULL THEN d.ents ELSE n.ents END AS now, by1 OR by2 OR d.ents IS NOT NULL AS inherits, CASE WHEN by1 THEN f.head END AS ref FROM n2 n LEFT JOIN dem d USING (sentence_id, i) LEFT JOIN from1 f USING (sentence_id, i))"""
+    flags = ", ".join(f"{x} AS {n}" for n, x in _FLAGS.items())
+    planned = f"""pa AS MATERIALIZED (SELECT *, {_SLOT} AS s, CASE WHEN {_BARE} THEN [] WHEN supp % 3 = 0 THEN [part % 6, supp % 7] ELSE [part % 6] END AS ents, supp % 5 = 0 AS exemplar, part % 3 = 0 AS grp, supp % 4 = 0 AND NOT ({_BARE}) AS whole FROM (SELECT {_ARGUMENT["event_id"]} AS event_id, {_ARGUMENT["event_id"]}::INT AS e, {_ARGUMENT["place"]} AS place, {_ARGUMENT["part"]} AS part, {_ARGUMENT["supp"]} AS supp FROM lineitem) WHERE part % 10 > 0),
+        pe AS MATERIALIZED (SELECT e::VARCHAR AS event_id, e, {flags} FROM (SELECT DISTINCT l_orderkey::INT AS e FROM lineitem)),
+        px AS (SELECT event_id, s, place, unnest(ents) AS x FROM pa), pd AS (SELECT p.event_id, p.part AS p1, p.supp AS s1, q.part AS p2, q.supp AS s2, row_number() OVER (PARTITION BY p.event_id ORDER BY p.place, q.place) AS r FROM pa p JOIN pa q ON p.event_id = q.event_id AND p.s = 'sources' AND q.s = 'targets' AND p.whole AND q.whole),
+        has AS (SELECT event_id, bool_or(s = 'targets' AND len(ents) > 0) AS any_target, bool_or(s = 'targets' AND grp) AS any_group, bool_or(s = 'sources' AND whole) AND bool_or(s = 'targets' AND whole) AS diag FROM pa GROUP BY ALL),
+        dpairs AS (SELECT event_id, p1 % 6 AS x, p2 % 6 AS y FROM pd WHERE r = 1 UNION ALL SELECT event_id, unnest([s1 % 7, s1 % 7, p1 % 5, p1 % 5]), unnest([s2 % 7, p2 % 5, s2 % 7, p2 % 5]) FROM pd WHERE r = 1
+            UNION ALL SELECT a.event_id, a.x, b.x FROM px a JOIN px b ON a.event_id = b.event_id AND a.s = 'sources' AND b.s = 'targets' JOIN has h ON h.event_id = a.event_id AND NOT diag
+            UNION ALL SELECT a.event_id, a.x, b.x FROM px a JOIN px b ON a.event_id = b.event_id AND a.s = 'sources' AND b.s = 'sources' JOIN has h ON h.event_id = a.event_id AND NOT any_target AND any_group),
+        upairs AS (SELECT a.event_id, unnest(a.ents) AS x, b.place AS bp, b.ents AS bents FROM pa a JOIN pa b ON a.event_id = b.event_id AND a.s = 'participants' AND b.s = 'participants' AND ((a.place < b.place AND NOT (a.exemplar AND b.exemplar)) OR (a.place = b.place AND NOT a.exemplar))),
+        found AS (SELECT event_id, 'd' AS k, least(x, y) AS a, greatest(x, y) AS b FROM dpairs WHERE x <> y UNION SELECT event_id, 'u', least(x, y), greatest(x, y) FROM (SELECT event_id, x, unnest(bents) AS y FROM upairs) WHERE x <> y),
+        lists AS (SELECT event_id, string_agg(a || '-' || b, ',' ORDER BY a, b) FILTER (k = 'd') AS dp, string_agg(a || '-' || b, ',' ORDER BY a, b) FILTER (k = 'u') AS up FROM found GROUP BY ALL),
+        given AS (SELECT pe.*, dp, up, CASE WHEN e % 4 = 1 AND e % 5 <> e % 3 THEN least(e % 5, e % 3) || '-' || greatest(e % 5, e % 3) END AS rp, CASE WHEN e % 15 = 0 AND e % 6 <> e % 4 THEN least(e % 6, e % 4) || '-' || greatest(e % 6, e % 4) END AS cp, CASE WHEN e % 19 = 0 AND e % 8 <> e % 3 THEN least(e % 8, e % 3) || '-' || greatest(e % 8, e % 3) END AS ip FROM pe LEFT JOIN lists USING (event_id))"""
+    stated = "event_type = 'RELATION_STATEMENT'"
     return {
+        "E21_projection_plans": (plans, f"""WITH {planned} SELECT event_id, coalesce(p, '') AS pairs, CASE WHEN p IS NOT NULL THEN 'applied' WHEN reason_code = 'relational_review_only' THEN 'review_only' ELSE 'not_applied' END AS application_status, reason_code, projection_mode FROM (SELECT event_id,
+            CASE WHEN NOT asserted OR negated THEN NULL WHEN {stated} THEN rp WHEN event_type = 'IDENTITY' THEN NULL WHEN directed THEN CASE WHEN pattern_supported THEN dp END WHEN nested AND cp IS NOT NULL THEN cp WHEN nested AND NOT group_supported THEN NULL WHEN NOT pattern_supported THEN NULL ELSE coalesce(ip, up) END AS p,
+            CASE WHEN NOT asserted THEN 'blocked_assertion' WHEN negated THEN 'blocked_predicate_negation' WHEN {stated} THEN CASE WHEN rp IS NOT NULL THEN 'applied_relational_role_nominal' ELSE 'relational_review_only' END WHEN event_type = 'IDENTITY' THEN 'no_projectable_pairs'
+                WHEN directed THEN CASE WHEN NOT pattern_supported THEN 'blocked_pattern_support' WHEN dp IS NOT NULL THEN 'applied_relation_projection' ELSE 'no_projectable_pairs' END WHEN nested AND cp IS NOT NULL THEN 'applied_group_internal_topology'
+                WHEN nested AND NOT group_supported THEN 'blocked_nested_without_group_semantics' WHEN NOT pattern_supported THEN 'blocked_pattern_support' WHEN ip IS NOT NULL THEN 'applied_group_internal_topology' WHEN up IS NOT NULL THEN 'applied_relation_projection' ELSE 'no_projectable_pairs' END AS reason_code,
+            CASE WHEN NOT asserted OR negated THEN CASE WHEN {stated} THEN 'relational' WHEN directed THEN 'directed' ELSE 'undirected' END WHEN {stated} THEN CASE WHEN rp IS NOT NULL THEN 'relational_role_nominal' ELSE 'relational' END WHEN event_type = 'IDENTITY' THEN 'unknown' WHEN directed THEN 'directed'
+                WHEN nested AND cp IS NOT NULL THEN 'predicate_compound_internal_pairs' WHEN (NOT nested OR group_supported) AND pattern_supported AND ip IS NOT NULL THEN 'shared_group_internal_pairs' ELSE 'undirected' END AS projection_mode FROM given)"""),
         "E28_observation_round_trip": (round_trip, f"""WITH {args}, {owners} SELECT a.event_id, CASE WHEN e % 9 > 0 THEN e % 40 ELSE -1 END AS predicate, CASE WHEN e % 9 = 0 THEN '-' WHEN e % 2 = 1 THEN (e % 7)::VARCHAR ELSE '' END AS predicate_entities, a.ordinal, a.slot, role, event_ref,
             CASE WHEN own AND part % 11 > 0 THEN part % 50 ELSE -1 END AS core, CASE WHEN NOT own OR part % 11 = 0 THEN '-' WHEN part % 3 > 0 THEN (part % 5)::VARCHAR ELSE '' END AS core_entities, coalesce(o.t, '') AS owners,
             CASE WHEN own AND supp % 2 = 1 THEN supp || '/' || (supp % 6) || '/' || CASE WHEN part % 2 = 0 THEN 'amod' ELSE '' END ELSE '' END AS descriptors, CASE WHEN own AND part % 2 = 1 THEN part || '/of' ELSE '' END AS cases
