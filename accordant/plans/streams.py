@@ -46,8 +46,9 @@ def record_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Records and candidates of all turns, by a stream in several batches whose second one dies on its way; then it is started again."""
     at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     read(spark, sf, "conversations").repartition(6, "conv_id").write.parquet(f"{at}/source")
-    schema = spark.read.parquet(f"{at}/source").schema
-    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/source")
+    written = spark.read.parquet(f"{at}/source")
+    a_third = max(1, len(written.inputFiles()) // 3)
+    source = lambda: spark.readStream.schema(written.schema).option("maxFilesPerTrigger", a_third).parquet(f"{at}/source")
     stop = _interrupted(1)
 
     def dying(write):
