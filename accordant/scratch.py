@@ -25,5 +25,5 @@ def folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and reread: what reads it many times computes it once, and a lost executor costs a reread."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
