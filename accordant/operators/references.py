@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept
+from ..scratch import co_located, dealt, kept
 from .rules import application, union
 
 # Words, labels, rule ids and reasons.
@@ -61,13 +61,18 @@ def asof_equal(rows: DataFrame, anchors: DataFrame, by: list[str], at: str, valu
     return both.withColumn(value, found).filter("_anchor = 1").drop("_anchor")
 
 
+def _places() -> Column:
+    """The node and, of a conjunct, the node that it hangs on."""
+    return F.array_distinct(F.array_compact(F.array("i", F.when(F.col("dep") == "conj", F.col("head_i")))))
+
+
 def coordinated(nodes: DataFrame) -> DataFrame:
     """Explicit coordinations: sentence_id, head, last (their last node) and entities, of a head with entities and its conjuncts with entities, where each names one of its own."""
     named = nodes.select(S, "i", "dep", "head_i", _own().alias("own")).filter(F.size("own") > 0)
-    heads = named.select(S, F.col("i").alias("head"), F.col("i").alias("member"), "own")
-    below = named.filter("dep = 'conj'").select(S, F.col("head_i").alias("head"), F.col("i").alias("member"), "own").join(heads.select(S, "head"), [S, "head"], "left_semi")
-    groups = heads.unionByName(below).groupBy(S, "head").agg(F.max("member").alias("last"), F.count(F.lit(1)).alias("members"), _merged(F.collect_list("own")).alias("entities"))
-    return groups.filter((F.col("members") > 1) & (F.size("entities") == F.col("members"))).select(S, "head", "last", "entities")
+    groups = named.select(S, "i", "own", F.explode(_places()).alias("head")).groupBy(S, "head").agg(
+        F.max("i").alias("last"), F.count(F.lit(1)).alias("members"), _merged(F.collect_list("own")).alias("entities"), F.bool_or(F.col("i") == F.col("head")).alias("named")
+    )
+    return groups.filter(F.col("named") & (F.col("members") > 1) & (F.size("entities") == F.col("members"))).select(S, "head", "last", "entities")
 
 
 def pronouns(nodes: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +81,7 @@ def pronouns(nodes: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFram
     spans = mentions.filter("evidence_type = 'pronoun'").select(S, "cluster", "mention", "start", "end")
     slim = nodes.select(S, "i", "head_i", "pos", lemma().alias("lemma"), "char_start", "char_end", _array("entities").alias("entities"))
     within = spans.join(slim, S).filter("char_start >= start AND char_end <= end")
-    within = kept(within, "mentioned")
+    within = dealt(within, "mentioned", S, already=True)
     each = within.groupBy(S, "cluster", "mention").agg(F.count(F.lit(1)).alias("n"), _merged(F.collect_list("entities")).alias("entities"), F.array_sort(F.collect_list(F.struct("i", "head_i"))).alias("at"))
     named = each.filter(F.size("entities") > 0)
     antecedents = named.groupBy(S, "cluster").agg(_merged(F.collect_list("entities")).alias("entities"), F.count(F.lit(1)).alias("spans"), F.first("at").alias("at"))
@@ -87,7 +92,7 @@ def pronouns(nodes: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFram
     fits = (F.size("entities") <= 1) | F.col("lemma").isin(*PLURAL) | ((F.col("lemma") == "which") & F.coalesce("explicit", F.lit(False)))
     tops = F.filter("at", lambda x: (x["i"] == x["head_i"]) | ~F.exists("at", lambda y: y["i"] == x["head_i"]))
     one = F.when((F.col("spans") == 1) & (F.size("entities") == 1) & (F.size(tops) == 1), F.struct(F.get(tops, F.lit(0))["i"].alias("head"), F.transform("at", lambda x: x["i"]).alias("nodes")))
-    met = kept(met.select(S, "cluster", "i", "lemma", "entities", fits.alias("fits"), one.alias("one")), "pronouns")
+    met = dealt(met.select(S, "cluster", "i", "lemma", "entities", fits.alias("fits"), one.alias("one")), "pronouns", S, already=True)
     said = {"cluster_id": F.col("cluster"), "pronoun_node_i": F.col("i"), "pronoun": F.col("lemma"), "antecedent_protein_indices": F.col("entities")}
     applications = met.select(S, F.lit(1).alias("step"), F.col("cluster").alias("place"), "i", application(F.lit(PRONOUN_RULE), F.lit("reference_resolution"), F.when(F.col("fits"), "applied").otherwise("blocked"), F.when(F.col("fits"), FITS).otherwise(NO_PLURAL), said).alias("application"))
     taken = met.filter("fits").groupBy(S, "i").agg(F.max_by("entities", "cluster").alias("_new"), F.max_by("one", F.when(F.col("one").isNotNull(), F.col("cluster"))).alias("_one"))
@@ -107,22 +112,14 @@ def _inherited(nodes: DataFrame, taken: DataFrame, kind: str) -> DataFrame:
 
 def coordination_entities(nodes: DataFrame) -> DataFrame:
     """sentence_id, i, entities and holders of every node whose coordination (itself, its conjuncts, and as a conjunct its head and that one's) names any."""
-    named = nodes.select(S, F.col("i").alias("holder"), "dep", F.col("head_i").alias("above"), _own().alias("own")).filter(F.size("own") > 0)
-    conj = named.filter("dep = 'conj'")
-    asking = nodes.filter("dep = 'conj'").select(S, "i", F.col("head_i").alias("above"))
-    pick = [S, "i", "holder", "own"]
-    parts = [
-        named.withColumn("i", F.col("holder")).select(pick),
-        conj.withColumn("i", F.col("above")).select(pick),
-        asking.join(named.select(S, F.col("holder").alias("above"), "holder", "own"), [S, "above"]).select(pick),
-        asking.join(conj.select(S, "above", "holder", "own"), [S, "above"]).select(pick),
-    ]
-    return union(parts).distinct().groupBy(S, "i").agg(_merged(F.collect_list("own")).alias("entities"), F.array_sort(F.collect_list("holder")).alias("holders"))
+    held = nodes.select(S, F.col("i").alias("holder"), _own().alias("own"), F.explode(_places()).alias("at")).filter(F.size("own") > 0)
+    asking = nodes.select(S, "i", F.explode(_places()).alias("at"))
+    return asking.join(held, [S, "at"]).groupBy(S, "i").agg(_merged(F.collect_list("own")).alias("entities"), F.array_sort(F.collect_set("holder")).alias("holders"))
 
 
 def declarations(nodes: DataFrame, entity_nominals: list[str], owner_heads: list[str]) -> DataFrame:
     """What sentences declare nominals to be: sentence_id, key, nominal_i, source, entities and holders."""
-    named = coordination_entities(nodes)
+    named = dealt(coordination_entities(nodes), "coordinations", S, already=True)
     slim = nodes.select(S, "i", "dep", "head_i", "pos", lemma().alias("key"), F.size(_array("entities")).alias("n"))
     nominal = F.col("pos").isin(*NOMINAL) & (F.col("key") != "")
     child = lambda which: slim.filter(which).select(S, F.col("head_i").alias("i"))
@@ -153,18 +150,18 @@ def is_a(nodes: DataFrame, entity_nominals: list[str], owner_heads: list[str]) -
     marks = children.filter(F.col("d") == "det").groupBy(S, "i").agg(F.bool_or(F.col("k").isin(*DETERMINERS)).alias("definite"), F.bool_or(F.col("k").isin(*DEMONSTRATIVES)).alias("plural"))
     inner = children.filter(~F.col("d").isin("det", "case", "punct", "cc", "mark"))
     deep = inner.select(S, "i", "child").join(children.filter(~F.col("d").isin("case", "punct", "cc", "mark") & (F.col("o") > 0)).select(S, F.col("i").alias("child")), [S, "child"], "left_semi")
-    anchored = inner.filter("o > 0").select(S, "i").unionByName(deep.select(S, "i"))
     beside = slim.filter("dep = 'conj'").select(S, "i", F.col("head_i").alias("above")).join(slim.filter("own > 0").select(S, F.col("i").alias("above")), [S, "above"], "left_semi")
     asking = slim.filter(F.col("pos").isin(*NOMINAL) & (F.col("key") != "") & (F.col("n") == 0)).join(marks.filter("definite"), [S, "i"])
-    asking = asking.join(anchored.unionByName(beside.select(S, "i")), [S, "i"], "left_anti")
-    told = declarations(nodes, entity_nominals, owner_heads)
+    for anchored in (inner.filter("o > 0"), deep, beside):
+        asking = asking.join(anchored.select(S, "i"), [S, "i"], "left_anti")
+    told = dealt(declarations(nodes, entity_nominals, owner_heads), "declarations", S, already=True)
     text, bare = F.lower(F.trim(F.coalesce("word", F.lit("")))), F.lower(F.trim(F.coalesce("lemma", F.lit(""))))
     several = F.coalesce("plural", F.lit(False)) | ((bare != "") & text.endswith("s") & (text != bare))
     met = asking.withColumn("several", several).select(S, "i", "key", "several").join(told, [S, "key"]).filter("nominal_i < i")
     each = met.groupBy(S, "i", "key").agg(
         F.collect_set("entities").alias("sets"), F.bool_and(F.col("several") | (F.size("entities") <= 1)).alias("allowed"), F.array_sort(F.collect_list(F.struct("nominal_i", "source", "entities", "holders"))).alias("told")
     )
-    each = kept(each.withColumn("fits", (F.size("sets") == 1) & F.col("allowed")), "nominals")
+    each = dealt(each.withColumn("fits", (F.size("sets") == 1) & F.col("allowed")), "nominals", S, already=True)
     reason = F.when(F.col("fits"), UNIQUE).when(~F.col("allowed"), CARDINALITY).otherwise(AMBIGUOUS)
     said = {"reference_node_i": F.col("i"), "reference_lemma": F.col("key"), "candidate_declarations": F.col("told")}
     applications = each.select(S, F.lit(2).alias("step"), F.lit(0).alias("place"), "i", application(F.lit(IS_A_RULE), F.lit("reference_resolution"), F.when(F.col("fits"), "applied").otherwise("blocked"), reason, said).alias("application"))
@@ -186,10 +183,11 @@ def demonstratives(nodes: DataFrame) -> DataFrame:
 
 def resolve(nodes: DataFrame, mentions: DataFrame, entity_nominals: list[str], owner_heads: list[str], is_a_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
     """All three steps. nodes after them, and the applications (sentence_id, step, place, i, application). nodes and mentions are read many times, so
-    they should be stored; what each step decides and its nodes are written once for the next."""
-    nodes, said = pronouns(nodes, mentions)
-    parts = [said]
-    if is_a_enabled:
-        nodes, said = is_a(kept(nodes, "nodes"), entity_nominals, owner_heads)
-        parts.append(said)
-    return demonstratives(kept(nodes, "nodes")), union(parts)
+    they should be stored, and dealt by sentence: then no step shuffles. What each step decides and its nodes are written once for the next."""
+    with co_located(nodes.sparkSession):
+        nodes, said = pronouns(nodes, mentions)
+        parts = [said]
+        if is_a_enabled:
+            nodes, said = is_a(dealt(nodes, "nodes", S, already=True), entity_nominals, owner_heads)
+            parts.append(said)
+        return dealt(demonstratives(dealt(nodes, "nodes", S, already=True)), "resolved", S, already=True), kept(union(parts), "applications")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import nested as N
 from ..operators import observations as O
 from ..operators import projection as J
-from ..scratch import kept
+from ..scratch import by_sentence, dealt, kept
 from . import parsed as P
 from .fixtures import read
 
@@ -72,16 +72,17 @@ def shown(spark: SparkSession, sf: str) -> DataFrame:
     return O.visible_entities(O.project(events(spark, sf))).groupBy(_ents(F.col("entities")).alias("entities")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@by_sentence
 def sentence_links(spark: SparkSession, sf: str) -> DataFrame:
     """The edges of the graphs of the resolved sentences."""
     nodes, _ = P.resolved(spark, sf)
-    return O.parser_links(kept(nodes, "resolved")).withColumnRenamed("case", "case_text")
+    return O.parser_links(nodes).withColumnRenamed("case", "case_text")
 
 
+@by_sentence
 def sentence_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """The mentions of each sentence's graph by kind, with their referents, and whether the graph gives back the tree it was made of."""
     nodes, _ = P.resolved(spark, sf)
-    nodes = kept(nodes, "resolved")
     mentions = O.parser_mentions(nodes)
     tree = O.tree_of_links(mentions, O.parser_links(nodes)).select("sentence_id", "i", F.col("head_i").alias("h"), F.col("dep").alias("d"))
     same = (F.col("h") == F.col("head_i")) & ((F.col("d") == F.col("dep")) | (F.col("head_i") < 0))
@@ -90,10 +91,11 @@ def sentence_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("sentence_id", "mention_kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("direct")).alias("direct"), F.sum(F.size("inherited")).alias("inherited"), F.count_if(F.col("same") | F.col("top")).alias("restored"))
 
 
+@by_sentence
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     """The mentions of clusters with the nodes that overlap them."""
-    every = kept(P.nodes(spark, sf), "parsed")
-    rows = O.parser_clusters(every, kept(P.mentions(every), "mentions"))
+    every = P.stored(spark, sf)
+    rows = O.parser_clusters(every, dealt(P.mentions(every), "mentions", "sentence_id", already=True))
     return rows.select("sentence_id", "cluster", "mention", F.size("node_refs").alias("nodes"), F.coalesce(F.get(F.reverse("node_refs"), F.lit(0)), F.lit("")).alias("last"))
 
 
@@ -123,9 +125,10 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
 NOMINALS = ["interaction", "complex"]
 
 
+@by_sentence
 def inner(spark: SparkSession, sf: str) -> DataFrame:
     """The nominal events of the parsed sentences, after their control by the verb around them."""
-    nodes = kept(P.nodes(spark, sf), "parsed")
+    nodes = P.stored(spark, sf)
     events, args = N.inner_events(nodes, NOMINALS)
     verbs = nodes.filter("pos = 'VERB'").select("sentence_id", F.col("i").alias("outer"), "lemma")
     found = nodes.filter("pos = 'NOUN'").select("sentence_id", F.col("i").alias("head"), F.col("head_i").alias("outer"), F.col("dep").alias("role"))

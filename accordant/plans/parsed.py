@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import references as R
 from ..operators import rules
-from ..scratch import kept
+from ..scratch import by_sentence, dealt
 from .fixtures import ledger, read, sql
 
 #: template, slot, three lemmas to choose from ('' is the word's own), part of speech, dependency, slot of the head, names an entity in one of how many cases (0: never)
@@ -48,11 +48,11 @@ _STEPS = [
 
 
 
-def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \n]+"), 0)).alias("i", "surface"))
+def nodes(turns: DataFrame) -> DataFrame:
+    rows = turns.select("sentence_id", "conv_id", "turn", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \n]+"), 0)).alias("i", "surface"))
     rows = rows.withColumns({n: F.expr(x) for n, x in _STEPS[0].items()})
-    rows = rows.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {_TEMPLATES} AS t({_NAMES})")), ["template", "slot"])  # 40 rows
-    for step in _STEPS[1:]:
+    rows = rows.join(F.broadcast(turns.sparkSession.sql(f"SELECT * FROM VALUES {_TEMPLATES} AS t({_NAMES})")), ["template", "slot"])  # 40 rows
+    for step in (_STEPS[1], {n: x for n, x in _STEPS[2].items() if n != "sentence_id"}):
         rows = rows.withColumns({n: F.expr(x) for n, x in step.items()})
     direct = F.when(F.col("entity").isNotNull(), F.array("entity")).otherwise(F.array().cast("array<int>"))
     return rows.select("sentence_id", "conv_id", "turn", "i", "word", "lemma", "pos", "dep", "head_i", "char_start", "char_end", direct.alias("direct"), direct.alias("entities"), "v", "slot", "template")
@@ -72,7 +72,8 @@ def mentions(nodes: DataFrame) -> DataFrame:
     """Clusters of mentions: one or two for each pronoun."""
     some = nodes.filter("pos = 'PRON' OR (pos = 'DET' AND v % 9 = 0)")
     kind = "case when v % 11 = 0 then 'nominal' else 'pronoun' end"
-    return rules.union([some.filter(which).selectExpr("sentence_id", f"cast({cluster} as long) AS cluster", f"{k} AS mention", f"{kind} AS evidence_type", f"cast({a} as long) AS start", f"cast({b} as long) AS end") for k, (which, cluster, a, b) in enumerate(_MENTIONS)])
+    each = [F.expr(f"case when {which} then named_struct('cluster', cast({cluster} as long), 'mention', {k}, 'evidence_type', {kind}, 'start', cast({a} as long), 'end', cast({b} as long)) end") for k, (which, cluster, a, b) in enumerate(_MENTIONS)]
+    return some.select("sentence_id", F.inline(F.array_compact(F.array(*each))))
 
 
 def _parsed() -> str:
@@ -87,9 +88,16 @@ def _parsed() -> str:
     ])
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of all turns, dealt by sentence. The turns are shuffled, once, and not their words."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "text").withColumn("sentence_id", F.expr(_STEPS[2]["sentence_id"]))
+    turns = turns.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sentence_id")
+    return dealt(nodes(turns), "parsed", "sentence_id", already=True)
+
+
 def resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    every = kept(nodes(spark, sf), "parsed")
-    return R.resolve(every.drop("v", "slot", "template", "conv_id", "turn"), kept(mentions(every), "mentions"), ENTITY_NOMINALS, OWNER_HEADS)
+    every = stored(spark, sf)
+    return R.resolve(every.drop("v", "slot", "template", "conv_id", "turn"), dealt(mentions(every), "mentions", "sentence_id", already=True), ENTITY_NOMINALS, OWNER_HEADS)
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +106,7 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("kind IS NOT NULL").select("sentence_id", "i", "kind", F.array_join("entities", ",").alias("entities"), F.coalesce("reference_head", F.lit(-1)).alias("head"), F.coalesce(F.array_join("reference_nodes", ","), F.lit("")).alias("nodes"))
 
 
+@by_sentence
 def reference_trace(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences' traces of the reference rules: how often each decision stands at each place of a trace."""
     out, applications = resolved(spark, sf)

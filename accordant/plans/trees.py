@@ -11,7 +11,7 @@ from . import parsed as P
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(P.nodes(spark, sf), "parsed")
+    return P.stored(spark, sf)
 
 
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
