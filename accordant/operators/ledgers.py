@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys as K
+from ..scratch import dealt
 
 PAIR = "struct<a:int,b:int>"
 _TRACE = (
@@ -65,12 +66,13 @@ def candidate_index(candidates: DataFrame) -> DataFrame:
         **{n: text(candidates, n) for n in ("predicate_lemma", "realization_channel", "assertion_status", "projection_mode")},
     }
     rows = candidates.select("sentence_id", K.pair(F.col("pair_a"), F.col("pair_b")).alias("pair"), *(c.alias(n) for n, c in named.items())).filter("pair IS NOT NULL")
-    return rows.groupBy("sentence_id", "pair").agg(F.count(F.lit(1)).alias("proposal_count"), *(F.collect_set(n).alias(n) for n in named))
+    # By sentence alone, so that what groups them further finds them so.
+    return rows.repartition("sentence_id").groupBy("sentence_id", "pair").agg(F.count(F.lit(1)).alias("proposal_count"), *(F.collect_set(n).alias(n) for n in named))
 
 
 def pair_ledger(sentences: DataFrame, candidates: DataFrame, corpus: str) -> DataFrame:
     """A row a traced pair of each sentence; of a sentence without traces a row for every pair that is predicted, proposed or released."""
-    index = candidate_index(candidates)
+    index = dealt(candidate_index(candidates), "proposed", "sentence_id", already=True)  # read twice
     proposed = index.groupBy("sentence_id").agg(F.collect_list("pair").alias("_proposed"))
     none = F.array().cast(f"array<{PAIR}>")
     rows = sentences.select(

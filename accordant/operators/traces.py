@@ -5,7 +5,8 @@ entities: those that it makes visible), proposals (candidate_id, pair_a, pair_b,
 source_event_id, application_status, reason_code).
 
 The universe of pairs is one aggregation over what each source says of them, so a pair's references are united where they are
-counted. Events come in by an index of sentence and entity, plans by one of sentence and event; both have a row a key. Ends that stand in no event, pairs
+counted. Events come in by an index of sentence and entity, plans by one of sentence and event; both have a row a key. Sentences and events are read more
+than once: tables that are dealt by sentence are shuffled by none of the steps within `scratch.co_located`. Ends that stand in no event, pairs
 of one with itself (none) and texts that are null (empty) have the results that they have in a sentence without them.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..scratch import dealt
 from .evidence import all_pairs
 
 # Stages, visibilities and statuses.
@@ -66,7 +68,7 @@ def pair_universe(sentences: DataFrame, events: DataFrame, proposals: DataFrame)
     flags = [F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("predicted", "gold", "same_event", "proposed")]
     # Every proposal counts towards the references, repeated ids too.
     ids = F.array_sort(F.collect_list(F.when(F.col("candidate") != "", F.col("candidate"))))
-    return rows.groupBy(S, "a", "b").agg(*flags, _texts(F.col("assertion")).alias("assertions"), _texts(F.col("mode")).alias("modes"), ids.alias("proposal_refs"), _texts(F.col("source")).alias("sources"))
+    return rows.repartition(S).groupBy(S, "a", "b").agg(*flags, _texts(F.col("assertion")).alias("assertions"), _texts(F.col("mode")).alias("modes"), ids.alias("proposal_refs"), _texts(F.col("source")).alias("sources"))
 
 
 def build_traces(sentences: DataFrame, events: DataFrame, proposals: DataFrame, plans: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def build_traces(sentences: DataFrame, events: DataFrame, proposals: DataFrame,
         pairs = pairs.join(seen.select(S, F.col("entity").alias(end), F.col("events").alias(f"at_{end}")), [S, end], "left")
     none = F.array().cast(_TEXTS)
     refs = F.array_sort(F.array_distinct(F.concat(F.coalesce("at_a", none), F.coalesce("at_b", none))))
-    pairs = pairs.withColumn("event_refs", refs)
+    pairs = dealt(pairs.withColumn("event_refs", refs), "pairs", S, already=True)  # read twice
     planned = plans.select(S, F.coalesce(F.col("source_event_id").cast("string"), F.lit("")).alias("event"), "id", F.coalesce("application_status", F.lit("")).alias("status"), "reason_code").filter("event <> ''")
     planned = planned.groupBy(S, "event").agg(_texts(F.col("id")).alias("ids"), F.collect_set("status").alias("statuses"), _texts(F.col("reason_code")).alias("reasons"))
     asked = pairs.select(S, "a", "b", F.explode(F.array_union("event_refs", "sources")).alias("event")).join(planned, [S, "event"])

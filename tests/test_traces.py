@@ -41,3 +41,18 @@ def test_without_a_release_and_without_a_parse(spark):
     assert got[1, 2].stage == X.EMITTED and got[1, 2].gold_status == "unlabeled"
     assert build(spark, [], [(1, 2)], parser_ok=False)[1, 2].stage == X.UNUSABLE
     assert build(spark, None, None) == {}
+
+
+def test_tables_dealt_by_sentence_are_shuffled_once(spark):
+    """What follows the pairs takes the tables as they lie: the plan of the rest has no exchange."""
+    from accordant.scratch import co_located, dealt
+
+    pairs = spark.createDataFrame([(f"s{k}", [(1, 2)], [(1, 3)], True) for k in range(20)], f"sentence_id string, pred_pairs {PAIR}, gold_pairs {PAIR}, parser_ok boolean")
+    events = spark.createDataFrame([(f"s{k}", "e", [1, 3]) for k in range(20)], "sentence_id string, event_id string, entities array<int>")
+    proposals = spark.createDataFrame([(f"s{k}", "c", 1, 3, "", "structural", "e") for k in range(20)], "sentence_id string, candidate_id string, pair_a int, pair_b int, assertion_status string, projection_mode string, source_event_id string")
+    plans = spark.createDataFrame([(f"s{k}", "p", "e", "not_applied", "why") for k in range(20)], "sentence_id string, id string, source_event_id string, application_status string, reason_code string")
+    with co_located(spark):
+        df = X.build_traces(*(dealt(t, "t", "sentence_id") if t is not proposals else t for t in (pairs, events, proposals, plans)))
+        rows = {(r.a, r.b, r.stage, r.reason_code) for r in df.collect()}
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows == {(1, 2, X.DISAGREES, X.DISAGREES), (1, 3, X.NOT_APPLIED, "why")} and df.count() == 40
