@@ -6,7 +6,7 @@ similarity of THRESHOLD or more.
 
 1. Each text gets a signature: the minima of TREES x DEPTH random functions of its shingles, 16 bits of each as a label. A
    tree is the trie of the signatures' stretches of DEPTH labels; its nodes at a depth are the groups of equal prefixes, by hash. The recall of matched prefixes is
-   measured on planted pairs: in the pass that makes the signatures, about PLANTED texts get sets changed at random down to the
+   measured on planted pairs: in the pass that makes the signatures, every text gets COPIES sets changed at random down to the
    threshold, and each pair says how long a prefix it shares in some tree. Beginning with whole stretches, the matched prefix is
    shortened, label by label, until the share of planted pairs that meet is RECALL or more; the trie nodes at that depth hold
    what is compared.
@@ -44,8 +44,8 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.9998
-#: About how many texts get planted pairs, and how many each.
-PLANTED, COPIES = 2048, 2
+#: How many planted pairs each text gets.
+COPIES = 2
 BLOCK = 256
 SEED = 20
 _NO_ID = -(1 << 63)
@@ -114,7 +114,7 @@ def planted(own: np.ndarray, threshold: float, copies: int, seed: int) -> list[n
 
 def _signatures(docs: DataFrame, words: int, threshold: float, trees: int, depth: int, every: int) -> DataFrame:
     """doc_id, the text's key and its signature (the labels of each tree, end to end, as bytes that sort as they do), null for a text without
-    words; met: of one in `every` rows by hash, the longest prefix that each planted pair shares."""
+    words; met: of one in `every` rows by hash (1: of all), the longest prefix that each planted pair shares."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -126,13 +126,15 @@ def _signatures(docs: DataFrame, words: int, threshold: float, trees: int, depth
                 signed, met = [None] * len(texts), [None] * len(texts)
                 for i, row in zip(real, rows.astype(">u2")):
                     signed[i] = row.tobytes()
-                for at, i in enumerate(real):
-                    if asked[lo + i]:
-                        sets = planted(h[cut[i] : cut[i + 1]], threshold, COPIES, int(h[cut[i]] & C.U64(0xFFFFFFFF)))
-                        if sets:
-                            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                            changed = signatures(np.concatenate(sets), ends, trees, depth)
-                            met[i] = shared_prefix(changed, rows[at][None]).tolist()
+                sets = {at: planted(h[cut[i] : cut[i + 1]], threshold, COPIES, int(h[cut[i]] & C.U64(0xFFFFFFFF))) for at, i in enumerate(real) if asked[lo + i]}
+                sizes = [len(x) for x in sets.values()]
+                own = np.repeat(list(sets), sizes).astype(int)
+                flat = [x for some in sets.values() for x in some]
+                if flat:  # all of the batch at once
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
+                    shared = shared_prefix(signatures(np.concatenate(flat), ends, trees, depth), rows[own])
+                    for at, its in zip(sets, np.split(shared, np.cumsum(sizes)[:-1])):
+                        met[real[at]] = its.tolist() or None
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(signed, pa.binary()), pa.array(met, pa.list_(pa.int32()))], names=["doc_id", "tkey", "signature", "met"])
 
@@ -272,8 +274,7 @@ def _linked(docs: DataFrame, words: int, threshold: float, trees: int, depth: in
     """The signatures of every document; and of every text with words its key, least doc_id (rep), number of documents, links and root,
     which is one for all texts of a class. Both are stored."""
     docs = docs.select("doc_id", "text")
-    every = max(1, docs.count() // PLANTED)
-    signed, _ = C.store(_signatures(docs, words, threshold, trees, depth, every), "signatures")
+    signed, _ = C.store(_signatures(docs, words, threshold, trees, depth, 1), "signatures")
     prefix, _ = matched_prefix(signed, trees, depth, threshold, recall)
     worded = signed.filter("signature IS NOT NULL")
     texts, _ = C.store(worded.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "texts")

@@ -156,3 +156,13 @@ def test_stage_keeps_each_text_of_a_repeated_id(spark):
     assert sum(r.doc_id == 3 for r in kept) == 1 and {r.text for r in kept if r.doc_id == 4} == {"", None}
     nameless = [r.text for r in kept if r.doc_id is None]
     assert len(nameless) == 3 and {None, ""} < set(nameless) and (set(nameless) - {None, ""}) < {four, four + " more"}
+
+
+def test_every_text_gets_planted_pairs(spark, monkeypatch):
+    """The prefix is measured on all texts, however many there are: none of them is drawn."""
+    seen = []
+    whole = J.matched_prefix
+    monkeypatch.setattr(J, "matched_prefix", lambda signed, *a: seen.append(signed.filter("size(met) = 2").count()) or whole(signed, *a))
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), k -> concat('w', id * 31 + k))) AS text")
+    J._linked(docs, J.WORDS, J.THRESHOLD, J.TREES, J.DEPTH, J.RECALL, J.BLOCK)
+    assert seen == [5000]
