@@ -4,6 +4,8 @@
 order of the walk. With it what stands below a head is a range (`below`), a tree's text needs no recursion (`outline`, `nested`), and a reduced tree is the index of a contracted
 table (`reduced`): coordinations become one node, function words and what hangs on them go.
 
+What the rounds store is dealt by sentence: over nodes that are dealt so, no step within `scratch.co_located` shuffles.
+
 Nodes are rows of sentence_id, i, head_i (-1 at a top), dep, word or lemma. A head that isn't there makes a top. Nodes on a cycle, or under one, have no place: they are left out, as
 are the sentences that have no others. Children stand in the order of i. An empty table gives an empty table.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept
+from ..scratch import dealt
 from .references import asof_equal, lemma
 
 # Dependencies of function words, and lemmas that part alternatives.
@@ -27,7 +29,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     """sentence_id, i and path, the nodes from the top to it, of every node that hangs on a top."""
     known = nodes.select(S, F.col("i").alias("head_i"), F.lit(True).alias("_known"))
     at = nodes.select(S, "i", "head_i").join(known, [S, "head_i"], "left")
-    at = kept(at.select(S, "i", F.when(F.col("_known"), F.col("head_i")).alias("on"), F.array("i").alias("path")), "paths")
+    at = dealt(at.select(S, "i", F.when(F.col("_known"), F.col("head_i")).alias("on"), F.array("i").alias("path")), "paths", S, already=True)
     done = at.filter("on IS NULL")
     while True:
         # A path that meets itself is on a cycle or comes from one.
@@ -36,13 +38,13 @@ def paths(nodes: DataFrame) -> DataFrame:
             return done.select(S, "i", "path")
         step = at.select(S, F.col("i").alias("on"), F.col("on").alias("_on"), F.col("path").alias("_path"))
         moved = open_.join(step, [S, "on"]).select(S, "i", F.col("_on").alias("on"), F.concat("_path", "path").alias("path"))
-        at = kept(moved.unionByName(done.select(S, "i", F.lit(None).cast("int").alias("on"), "path")), "paths")
+        at = dealt(moved.unionByName(done.select(S, "i", F.lit(None).cast("int").alias("on"), "path")), "paths", S, already=True)
         done = at.filter("on IS NULL")
 
 
 def tree_index(nodes: DataFrame) -> DataFrame:
     """sentence_id, i, pre (from 0), depth, size (with itself) and path."""
-    at = kept(paths(nodes), "paths")
+    at = dealt(paths(nodes), "paths", S, already=True)
     size = at.select(S, F.explode("path").alias("i")).groupBy(S, "i").agg(F.count(F.lit(1)).alias("size"))
     pre = F.row_number().over(Window.partitionBy(S).orderBy("path")) - 1
     return at.withColumns({"pre": pre, "depth": F.size("path") - 1}).join(size, [S, "i"]).select(S, "i", "pre", "depth", "size", "path")
@@ -101,11 +103,11 @@ def nested(index: DataFrame, label: Column) -> DataFrame:
 def reduced(nodes: DataFrame) -> DataFrame:
     """The contracted table: sentence_id, i, head_i, dep, word and members (the nodes that it stands for). Function words go with all that hangs on them;
     conjuncts become part of the node that their conjunction starts with, and what hung on them hangs on it."""
-    chain = kept(paths(nodes), "paths")
+    chain = dealt(paths(nodes), "paths", S, already=True)
     gone = nodes.filter(F.col("dep").isin(*FUNCTION)).select(S, F.col("i").alias("x"))
     dropped = chain.select(S, "i", F.explode("path").alias("x")).join(gone, [S, "x"], "left_semi").select(S, "i").distinct()
-    content = kept(nodes.select(S, "i", "head_i", "dep", "word").join(chain.select(S, "i"), [S, "i"], "left_semi").join(dropped, [S, "i"], "left_anti"), "content")
-    roots = kept(conjunct_roots(content), "roots")
+    content = dealt(nodes.select(S, "i", "head_i", "dep", "word").join(chain.select(S, "i"), [S, "i"], "left_semi").join(dropped, [S, "i"], "left_anti"), "content", S, already=True)
+    roots = dealt(conjunct_roots(content), "roots", S, already=True)
     members = roots.groupBy(S, F.col("root").alias("i")).agg(F.array_sort(F.collect_list("i")).alias("members"))
     heads = roots.select(S, F.col("i").alias("head_i"), F.col("root").alias("_head"))
     return content.join(members, [S, "i"]).join(heads, [S, "head_i"], "left").select(S, "i", F.coalesce("_head", F.lit(-1)).alias("head_i"), "dep", "word", "members")
@@ -113,7 +115,7 @@ def reduced(nodes: DataFrame) -> DataFrame:
 
 def reduced_trees(nodes: DataFrame) -> DataFrame:
     """sentence_id and tree: the reduced tree as JSON, each node with its id, kind (group or lexical), role, text and members."""
-    small = kept(reduced(nodes), "reduced")
+    small = dealt(reduced(nodes), "reduced", S, already=True)
     rows = tree_index(small).join(small.select(S, "i", "dep", "word", "members"), [S, "i"])
     fields = F.struct(F.col("i").alias("id"), F.when(F.size("members") > 1, "group").otherwise("lexical").alias("kind"), F.coalesce("dep", F.lit("")).alias("role"), F.coalesce("word", F.lit("")).alias("text"), "members")
     return nested(rows.withColumn("_t", F.to_json(fields)), F.substr("_t", F.lit(2), F.length("_t") - 2))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trees as X
-from ..scratch import kept
+from ..scratch import by_sentence, dealt
 from . import parsed as P
 
 
@@ -14,28 +14,32 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return P.stored(spark, sf)
 
 
+@by_sentence
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Verbs and nouns with how many nodes and entities stand below them, and where the walk has them."""
     nodes = _nodes(spark, sf)
-    index = kept(X.tree_index(nodes), "index")
+    index = dealt(X.tree_index(nodes), "index", "sentence_id", already=True)
     heads = nodes.filter("pos IN ('VERB', 'NOUN', 'PROPN')").select("sentence_id", F.col("i").alias("head"))
     held = X.below(index, heads, strict=False).join(nodes.select("sentence_id", "i", "entities"), ["sentence_id", "i"])
     sums = held.groupBy("sentence_id", "head").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("entities")).alias("named"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))), ",").alias("entities"))
     return sums.join(index.select("sentence_id", F.col("i").alias("head"), "pre", "depth"), ["sentence_id", "head"])
 
 
+@by_sentence
 def groups(spark: SparkSession, sf: str) -> DataFrame:
     out = X.coordination_groups(_nodes(spark, sf))
     said = lambda m: F.concat_ws(":", m["node"].cast("string"), F.array_join(m["head_entities"], ","), F.array_join(m["modifier_entities"], ","))
     return out.select("sentence_id", "root", "alternative", F.array_join(F.transform("members", said), ";").alias("members"))
 
 
+@by_sentence
 def outlines(spark: SparkSession, sf: str) -> DataFrame:
     """The digest of each sentence's outline."""
     nodes = _nodes(spark, sf)
     return X.outline(nodes, X.tree_index(nodes), "lemma").select("sentence_id", F.length("tree").alias("chars"), F.md5(F.col("tree").cast("binary")).alias("digest"))
 
 
+@by_sentence
 def reduced(spark: SparkSession, sf: str) -> DataFrame:
     """The reduced tree of each sentence as JSON."""
     return X.reduced_trees(_nodes(spark, sf).withColumn("word", F.regexp_replace("lemma", '["\\\\\\\\]', "")))

@@ -69,3 +69,15 @@ def test_reduced_tree(spark):
 def test_outline(spark):
     nodes = table(spark, [(0, 1, "x", "a", []), (1, -1, "x", "b", []), (2, 0, "x", None, []), (3, 1, "x", "d", [])])
     assert X.outline(nodes, X.tree_index(nodes)).first().tree == "b\n  a\n    \n  d"
+
+
+def test_trees_of_dealt_nodes_are_not_shuffled(spark):
+    from accordant.operators import trees
+    from accordant.scratch import co_located, dealt
+
+    nodes = spark.createDataFrame([(f"s{k}", i, i - 1) for k in range(9) for i in range(6)], "sentence_id string, i int, head_i int")
+    with co_located(spark):
+        index = trees.tree_index(dealt(nodes, "nodes", "sentence_id"))
+        rows = {(r.i, r.pre, r.depth, r["size"]) for r in index.collect()}
+        assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert rows == {(i, i, i, 6 - i) for i in range(6)}
