@@ -61,3 +61,13 @@ def test_levels(spark):
         ("s", 4): (None, None, True), ("s", 5): (None, None, True), ("s", 6): (None, None, True),
     }
     assert N.compose(events.filter("false"), spark.createDataFrame(refs, "sentence_id string, outer int, inner int")).count() == 0
+
+
+def test_long_chains_are_no_cycles(spark):
+    """However far events refer on: a chain of 12 references has 12 levels, a ring of 12 none."""
+    from accordant.operators import nested
+
+    events = spark.createDataFrame([(s, k, [k]) for s in ("chain", "ring") for k in range(13)], "sentence_id string, event int, entities array<int>")
+    refs = spark.createDataFrame([(s, k, (k + 1) % 13) for s in ("chain", "ring") for k in range(13) if s == "ring" or k < 12], "sentence_id string, outer int, inner int")
+    got = {(r.sentence_id, r.event): (r.cyclic, r.level, r.all_entities) for r in nested.compose(events, refs).collect()}
+    assert all(got["chain", k] == (False, 12 - k, list(range(k, 13))) and got["ring", k] == (True, None, None) for k in range(13))
