@@ -69,21 +69,31 @@ def head_classes(head: Column, book: Codebook) -> Column:
     return F.when(_named(clean), _classes(clean, book)).otherwise(F.array(F.lit("none")))
 
 
-def signature_heads(signature: Column) -> Column:
-    """The distinct words of a signature, which + and , part, as they first stand."""
-    parts = F.transform(F.split(F.coalesce(signature, F.lit("")), "[+,]"), lambda x: F.lower(F.trim(x)))
-    return F.array_distinct(F.filter(parts, _named))
+def _parts(signature: Column) -> Column:
+    return F.transform(F.split(F.coalesce(signature, F.lit("")), "[+,]"), lambda x: F.lower(F.trim(x)))
 
 
-def signature_classes(signature: Column, book: Codebook) -> Column:
-    """The distinct classes of a signature's words, as they first come up; `none` without any word."""
-    every = F.array_distinct(F.flatten(F.transform(signature_heads(signature), lambda h: _classes(h, book))))
+def joint_heads(signatures: Column) -> Column:
+    """The distinct words of an array of signatures, which + and , part, as they first stand."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(signatures, _parts)), _named))
+
+
+def joint_classes(signatures: Column, book: Codebook) -> Column:
+    """The distinct classes of the words of all signatures of one observation, by the place of their words within a signature, then in the codebook's order; `none` without any word."""
+    order = F.array(*map(F.lit, CLASSES))
+
+    def classed(head: Column, place: Column) -> Column:
+        each = F.transform(_classes(head, book), lambda c: F.struct(place.alias("place"), F.coalesce(F.nullif(F.array_position(order, c), F.lit(0)), F.lit(len(CLASSES) + 1)).alias("rank"), c.alias("class")))
+        return F.when(_named(head), each).otherwise(F.array().cast("array<struct<place:int,rank:bigint,class:string>>"))
+
+    found = F.flatten(F.transform(signatures, lambda s: F.flatten(F.transform(_parts(s), classed))))
+    every = F.array_distinct(F.transform(F.array_sort(found), lambda x: x["class"]))
     return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("none")))
 
 
-def effect_guess(signature: Column, book: Codebook) -> Column:
-    """One coarse label of a signature, for stratifying samples."""
-    heads, classes = signature_heads(signature), signature_classes(signature, book)
+def joint_guess(signatures: Column, book: Codebook) -> Column:
+    """One coarse label of the signatures of one observation, for stratifying samples."""
+    heads, classes = joint_heads(signatures), joint_classes(signatures, book)
     broken = F.exists(heads, lambda h: h.contains("-") | h.rlike(r"protein\d.*protein\d"))
     out = F.when(F.size(heads) == 0, "none").when(broken, "tokenization_artifact")
     for name, some in GUESSES:
@@ -91,6 +101,21 @@ def effect_guess(signature: Column, book: Codebook) -> Column:
     return out.otherwise("unknown")
 
 
+def signature_heads(signature: Column) -> Column:
+    """The distinct words of a signature, as they first stand."""
+    return joint_heads(F.array(signature))
+
+
+def signature_classes(signature: Column, book: Codebook) -> Column:
+    """The distinct classes of a signature's words, as they first come up; `none` without any word."""
+    return joint_classes(F.array(signature), book)
+
+
+def effect_guess(signature: Column, book: Codebook) -> Column:
+    """One coarse label of a signature."""
+    return joint_guess(F.array(signature), book)
+
+
 def coverage(rows: DataFrame, word: str, book: Codebook, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows with a carrier, those whose word the codebook classes, and their share."""
     classed = ~F.array_contains(head_classes(F.col(word), book), "other_carrier")

@@ -3,14 +3,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from accordant import entry
 from accordant.functions import text as X
 from accordant.operators import codebook as B
 from accordant.operators import events as E
 from accordant.operators import ledgers as L
 from accordant.operators import signatures as G
-from accordant.plans import store
+from accordant.plans import lexical, store
 from accordant.sources import runs
 
+from .oracle import assert_same
+
 
 def test_registry_and_stats_dir(spark, tmp_path):
     assert runs.dataset_path({"One": "/d/one/"}, "ONE", "test") == "/d/one/test.json"
@@ -133,3 +136,12 @@ def test_last_split_wins(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "id string, v int")
     b = spark.createDataFrame([("y", 3), ("z", 4)], "id string, v int")
     assert sorted(tuple(r) for r in E.last_split_wins([a, b], "id").collect()) == [("x", 1), ("y", 3), ("z", 4)]
+
+
+def test_classes_of_rows_at_one_place(spark, sf, tmp_path):
+    """Line items of one place in the input are one observation, with the classes of all their signatures."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    twins = items.filter("l_partkey > 31 AND l_orderkey % 3 = 0").withColumns({"l_partkey": F.col("l_partkey") - 31, "l_suppkey": F.col("l_suppkey") + 1009})  # place: 1009 * 31 - 31 * 1009
+    items.unionByName(twins).coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    assert_same(lexical.classes(spark, str(tmp_path)), entry.oracle_sql()["T29_codebook_classes"], str(tmp_path))
