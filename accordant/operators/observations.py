@@ -24,7 +24,7 @@ DESCRIPTOR, DESCRIPTOR_REFERENT = "descriptor_modifier", "descriptor_referent_re
 CORE = "struct<node:int,entities:array<int>>"
 OWNER, DESCRIBED, CASE = "struct<node:int,entities:array<int>,dep:string,source:string>", "struct<node:int,entities:array<int>,dep:string>", "struct<node:int,lemma:string>"
 ARGUMENT = f"struct<slot:string,role:string,event_ref:string,core:{CORE},owners:array<{OWNER}>,descriptors:array<{DESCRIBED}>,cases:array<{CASE}>>"
-LINK = "struct<kind:string,ordinal:int,node:int,entities:array<int>,dep:string,relation:string,case:string,source:string,interpretation:string>"
+GIVEN = "struct<kind:string,ordinal:int,node:int,entities:array<int>,dep:string,source:string>"
 KEY = ["sentence_id", "event_id"]
 
 
@@ -41,7 +41,8 @@ def _ints(c: Column) -> Column:
 
 
 def _referents(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(_ints(c)))
+    distinct = F.array_distinct(_ints(c))
+    return F.when(F.size(distinct) > 1, F.array_sort(distinct)).otherwise(distinct)
 
 
 def owner_interpretation(source: Column) -> Column:
@@ -52,31 +53,40 @@ def owner_interpretation(source: Column) -> Column:
 
 
 def _links(arg: Column) -> Column:
-    """The links of an argument's mention: owners, descriptors and case markers, each with its place among its kind."""
+    """The links of an argument's mention as they are given: owners, descriptors and case markers, each with its place among its kind."""
     empty = F.lit("")
-
-    def owner(o: Column, k: Column) -> Column:
-        source, dep = F.when(_text(o["source"]) == "", UNTYPED).otherwise(o["source"]), _text(o["dep"])
-        nmod = source.startswith("nmod:")
-        relation = F.when(dep != "", dep).when(nmod, "nmod").otherwise(source)
-        values = (F.lit("owner"), k, o["node"], _ints(o["entities"]), dep, relation, F.when(nmod, F.substring_index(source, "nmod:", -1)).otherwise(empty), source, owner_interpretation(source))
-        return F.struct(*values)
-
-    def descriptor(d: Column, k: Column) -> Column:
-        dep = _text(d["dep"])
-        return F.struct(F.lit("descriptor"), k, d["node"], _ints(d["entities"]), dep, F.when(dep == "", "descriptor").otherwise(dep), empty, empty, F.lit(DESCRIPTOR))
-
-    def marker(m: Column, k: Column) -> Column:
-        return F.struct(F.lit("case_marker"), k, m["node"], F.array().cast("array<int>"), empty, F.lit("case"), _text(m["lemma"]), empty, empty)
-
-    parts = [(arg["owners"], OWNER, owner), (arg["descriptors"], DESCRIBED, descriptor), (arg["cases"], CASE, marker)]
-    return F.concat(*(F.transform(_list(c, kind), make).cast(f"array<{LINK}>") for c, kind, make in parts))
-
-
-def arguments(events: DataFrame) -> DataFrame:
+    parts = [
+        (arg["owners"], OWNER, lambda o, k: F.struct(F.lit("owner"), k, o["node"], _ints(o["entities"]), o["dep"], o["source"])),
+        (arg["descriptors"], DESCRIBED, lambda d, k: F.struct(F.lit("descriptor"), k, d["node"], _ints(d["entities"]), d["dep"], empty)),
+        (arg["cases"], CASE, lambda m, k: F.struct(F.lit("case_marker"), k, m["node"], F.array().cast("array<int>"), m["lemma"], empty)),
+    ]
+    return F.concat(*(F.transform(_list(c, kind), make).cast(f"array<{GIVEN}>") for c, kind, make in parts))
+
+
+def _described(links: DataFrame) -> DataFrame:
+    """Rows with a link (l) as it is given, with what it says in its place: read off the row, not within the array."""
+    owner, descriptor = F.col("l.kind") == "owner", F.col("l.kind") == "descriptor"
+    source, said = F.when(_text(F.col("l.source")) == "", UNTYPED).otherwise(F.col("l.source")), _text(F.col("l.dep"))
+    nmod = source.startswith("nmod:")
+    fields = {
+        "dep": F.when(owner | descriptor, said).otherwise(""),
+        "relation": F.when(owner, F.when(said != "", said).when(nmod, "nmod").otherwise(source)).when(descriptor, F.when(said == "", "descriptor").otherwise(said)).otherwise("case"),
+        "case": F.when(owner, F.when(nmod, F.substring_index(source, "nmod:", -1)).otherwise("")).when(descriptor, "").otherwise(said),
+        "source": F.when(owner, source).otherwise(""),
+        "interpretation": F.when(owner, owner_interpretation(source)).when(descriptor, DESCRIPTOR).otherwise(""),
+    }
+    return links.select(*(c for c in links.columns if c != "l"), *(F.col(f"l.{n}") for n in ("kind", "ordinal", "node", "entities")), *(c.alias(n) for n, c in fields.items()))
+
+
+def _event_id(named: bool) -> Column:
+    """A column as it is keeps what the rows are dealt by; with a default in the place of null it's another one."""
+    return (F.col("event_id") if named else _text(F.col("event_id"))).alias("event_id")
+
+
+def arguments(events: DataFrame, named: bool = False) -> DataFrame:
     """A row an argument: its id, slot, ordinals within the event and the slot, the mention that fills it or the event that it refers to, its role, and the argument (a)."""
-    rows = events.select("sentence_id", _text(F.col("event_id")).alias("event_id"), F.col("arguments").cast(f"array<{ARGUMENT}>").alias("_all")).select(*KEY, "_all", F.posexplode("_all").alias("ordinal", "a"))
-    index = F.size(F.filter(F.slice("_all", F.lit(1), F.col("ordinal")), lambda x: x["slot"] == F.col("a.slot")))
+    rows = events.select("sentence_id", _event_id(named), F.col("arguments").cast(f"array<{ARGUMENT}>").alias("_all")).select(*KEY, F.col("_all.slot").alias("_slots"), F.posexplode("_all").alias("ordinal", "a"))
+    index = F.coalesce(F.col("ordinal") - F.size(F.array_remove(F.slice("_slots", F.lit(1), F.col("ordinal")), F.col("a.slot"))), F.lit(0))
     argument = F.concat_ws(":", "event_id", "a.slot", index.cast("string"))
     is_event = _text(F.col("a.event_ref")) != ""
     return rows.select(
@@ -85,23 +95,27 @@ def arguments(events: DataFrame) -> DataFrame:
     )
 
 
-def project(events: DataFrame) -> dict[str, DataFrame]:
-    """The tables of events: events, arguments, mentions, links and bindings."""
-    args = arguments(events)
+def project(events: DataFrame, named: bool = False) -> dict[str, DataFrame]:
+    """The tables of events: events, arguments, mentions, links and bindings. named says that no event_id is null: then tables of events that are dealt by it are dealt alike."""
+    args = arguments(events, named)
     filled = args.filter("mention_id <> ''")
-    own = events.select("sentence_id", _text(F.col("event_id")).alias("event_id"), F.col("predicate").cast(CORE).alias("p"))
+    own = events.select("sentence_id", _event_id(named), F.col("predicate").cast(CORE).alias("p"))
     predicates = own.filter("p IS NOT NULL").select(*KEY, F.concat("event_id", F.lit(":predicate")).alias("mention_id"), F.lit("predicate").alias("kind"), F.lit(True).alias("headed"), F.col("p.node").alias("node"), _ints(F.col("p.entities")).alias("entities"), _referents(F.col("p.entities")).alias("referents"))
     core = F.col("a.core")
     mentions = filled.select(*KEY, "mention_id", F.lit("argument").alias("kind"), core.isNotNull().alias("headed"), core["node"].alias("node"), _ints(core["entities"]).alias("entities"), _referents(core["entities"]).alias("referents"))
-    links = filled.select(*KEY, "argument_id", "mention_id", F.explode(_links(F.col("a"))).alias("l")).select(*KEY, "argument_id", "mention_id", F.concat_ws(":", "mention_id", F.when(F.col("l.kind") == "case_marker", "case").otherwise(F.col("l.kind")), F.col("l.ordinal").cast("string")).alias("link_id"), "l.*")
-    direct = filled.select(*KEY, "argument_id", F.explode(_referents(core["entities"])).alias("referent")).select(
-        *KEY, F.concat_ws(":", "argument_id", F.lit("binding:direct"), F.col("referent").cast("string")).alias("binding_id"), "argument_id", "referent", F.lit("bind_direct_referent").alias("operation"), F.lit("direct_identity").alias("interpretation"), F.lit("").alias("link_id")
-    )
-    linked = links.filter("kind <> 'case_marker'").withColumn("referent", F.explode(_referents(F.col("entities")))).select(
-        *KEY, F.concat_ws(":", "argument_id", F.lit("binding"), "kind", F.col("ordinal").cast("string"), F.col("referent").cast("string")).alias("binding_id"), "argument_id", "referent", F.lit("bind_linked_referent").alias("operation"),
-        F.when(F.col("kind") == "owner", F.col("interpretation")).otherwise(DESCRIPTOR_REFERENT).alias("interpretation"), "link_id",
+    link_id = F.concat_ws(":", "mention_id", F.when(F.col("kind") == "case_marker", "case").otherwise(F.col("kind")), F.col("ordinal").cast("string"))
+    links = _described(filled.select(*KEY, "argument_id", "mention_id", F.explode(_links(F.col("a"))).alias("l")))
+    links = links.select(*KEY, "argument_id", "mention_id", link_id.alias("link_id"), *links.columns[4:])
+    # An argument's own entities stand beside its links, so that its events are read once for all bindings.
+    own_core = F.array(F.struct(F.lit("direct"), F.lit(0), core["node"], _ints(core["entities"]), F.lit(""), F.lit(""))).cast(f"array<{GIVEN}>")
+    given = filled.select(*KEY, "argument_id", "mention_id", F.explode(F.concat(own_core, _links(F.col("a")))).alias("l")).filter("l.kind <> 'case_marker'")
+    direct = F.col("kind") == "direct"
+    bindings = _described(given).select("*", F.explode(F.array_distinct("entities")).alias("referent")).select(
+        *KEY, F.when(direct, F.concat_ws(":", "argument_id", F.lit("binding:direct"), F.col("referent").cast("string"))).otherwise(F.concat_ws(":", "argument_id", F.lit("binding"), "kind", F.col("ordinal").cast("string"), F.col("referent").cast("string"))).alias("binding_id"),
+        "argument_id", "referent", F.when(direct, "bind_direct_referent").otherwise("bind_linked_referent").alias("operation"),
+        F.when(direct, "direct_identity").when(F.col("kind") == "owner", F.col("interpretation")).otherwise(DESCRIPTOR_REFERENT).alias("interpretation"), F.when(direct, "").otherwise(link_id).alias("link_id"),
     )
-    return {"events": own.select(*KEY), "arguments": args.drop("a"), "mentions": predicates.unionByName(mentions), "links": links, "bindings": direct.unionByName(linked)}
+    return {"events": own.select(*KEY), "arguments": args.drop("a"), "mentions": predicates.unionByName(mentions), "links": links, "bindings": bindings}
 
 
 def _of_kind(kind: str, fields: str, make) -> Column:
@@ -122,10 +136,10 @@ def dependents(links: DataFrame) -> DataFrame:
 
 def visible_entities(tables: dict[str, DataFrame]) -> DataFrame:
     """argument_id and the sorted entities that it shows: its mention's own and those of its owners and descriptors."""
-    own = tables["mentions"].filter("kind = 'argument'").select(*KEY, "mention_id", "entities")
-    linked = tables["links"].filter("kind <> 'case_marker'").select(*KEY, "mention_id", "entities")
-    shown = own.unionByName(linked).groupBy(*KEY, "mention_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"))
-    return tables["arguments"].filter("mention_id <> ''").select(*KEY, "argument_id", "mention_id").join(shown, [*KEY, "mention_id"]).drop("mention_id")
+    own = tables["mentions"].filter("kind = 'argument'").select(*KEY, "mention_id", F.col("entities").alias("_own"))
+    linked = tables["links"].filter("kind <> 'case_marker'").groupBy(*KEY, "mention_id").agg(F.flatten(F.collect_list("entities")).alias("_linked"))
+    args = tables["arguments"].filter("mention_id <> ''").select(*KEY, "mention_id", "argument_id").join(own, [*KEY, "mention_id"]).join(linked, [*KEY, "mention_id"], "left")
+    return args.select(*KEY, "argument_id", _referents(F.concat(_ints(F.col("_own")), _ints(F.col("_linked")))).alias("entities"))
 
 
 def restore(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from accordant.operators import observations as O
+from accordant.scratch import co_located
 
 EVENT = f"sentence_id string, event_id string, predicate {O.CORE}, arguments array<{O.ARGUMENT}>"
 FULL = ("a", "nmod:of", "", (3, [2, 1, 2]), [(5, [1], "nmod", "nmod:by"), (6, [], "", "compound"), (7, [9, 9], "x", "")], [(8, [4], "amod"), (9, [], "")], [(10, "Of"), (11, "")])
@@ -63,3 +64,14 @@ def test_sentence_graph(spark):
     assert tree == {0: 1, 1: -1, 2: 1, 3: 2, 4: 2, 5: -1}
     spans = spark.createDataFrame([("s", 0, 0, "pronoun", 9, 15), ("s", 0, 1, "pronoun", 90, 99)], "sentence_id string, cluster int, mention int, evidence_type string, start int, end int")
     assert {r.mention: r.node_refs for r in O.parser_clusters(nodes, spans).collect()} == {0: ["s:node:1:9-13", "s:node:2:14-16"], 1: []}
+
+
+def test_bindings_read_the_events_once(spark):
+    """One pass over the events gives direct and linked bindings, and tables of dealt events stay dealt: no shuffle."""
+    df = events(spark, ("s", "e1", (1, [3]), [FULL]), ("s", "e2", None, [])).repartition(3, "event_id")
+    tables = O.project(df, named=True)
+    with co_located(spark):
+        plans = {n: t._jdf.queryExecution().executedPlan().toString() for n, t in {"bindings": tables["bindings"], "shown": O.visible_entities(tables)}.items()}
+    assert plans["bindings"].count("Exchange hashpartitioning") == 1 and "Union" not in plans["bindings"]
+    assert plans["shown"].count("Exchange hashpartitioning") == 3  # the given dealing of each table, none for its joins
+    assert {r.argument_id: list(r.entities) for r in O.visible_entities(tables).collect()} == {"e1:a:0": [1, 2, 4, 9]}
