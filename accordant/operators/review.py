@@ -19,12 +19,13 @@ TARGET_LISTS = ("targets", "direct_targets", "propagated_targets", "protein_indi
 def sentences_to_review(sentences: DataFrame, events: DataFrame, labels: tuple[str, ...], limit: int = 500) -> DataFrame:
     """Sentences of some labels with the patterns and details of their events, sorted and joined by commas: by the labels' order, then id.
     The limit is the report's length."""
-    asked = sentences.filter(F.col("label").isin(*labels))
+    rank = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
+    asked = sentences.filter(F.col("label").isin(*labels)).withColumn("_rank", rank).orderBy("_rank", "sentence_id").limit(limit)
+    # The report's sentences are known before what their events say is gathered: of the others nothing is.
     found = events.join(asked.select("sentence_id"), "sentence_id", "left_semi").groupBy("sentence_id").agg(
         *(F.array_join(F.array_sort(F.collect_set(n)), ",").alias(f"{n}s") for n in ("pattern_key", "event_detail"))
     )
-    rank = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
-    return asked.join(found, "sentence_id", "left").withColumn("_rank", rank).orderBy("_rank", "sentence_id").limit(limit).drop("_rank")
+    return asked.join(found, "sentence_id", "left").orderBy("_rank", "sentence_id").drop("_rank")
 
 
 def extra_sentences(sentences: DataFrame, events: DataFrame, limit: int = 500) -> DataFrame:

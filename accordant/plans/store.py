@@ -82,6 +82,12 @@ def attributions(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, _ATTRIBUTIONS)
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences' ids, texts and labels, without their pairs."""
+    key = F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("sentence_id")
+    return read(spark, sf, "orders").select(key, F.concat(F.lit("text of "), F.col("o_orderkey").cast("string")).alias("text"), F.expr(_LABEL).alias("label"))
+
+
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted pairs are those of large items, released ones those of discounted items; orders in process have none released."""
     pair = F.struct((F.col("l_partkey") % 5).cast("int").alias("a"), (F.col("l_suppkey") % 4).cast("int").alias("b"))
@@ -213,11 +219,11 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extra_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return R.extra_sentences(sentences(spark, sf), events(spark, sf)).select("sentence_id", "text", "label", "pattern_keys", "event_details")
+    return R.extra_sentences(_labelled(spark, sf), events(spark, sf)).select("sentence_id", "text", "label", "pattern_keys", "event_details")
 
 
 def missing_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return R.missing_sentences(sentences(spark, sf), events(spark, sf)).select("sentence_id", "text", "label", "pattern_keys", "event_details")
+    return R.missing_sentences(_labelled(spark, sf), events(spark, sf)).select("sentence_id", "text", "label", "pattern_keys", "event_details")
 
 
 def statements(spark: SparkSession, sf: str) -> DataFrame:
