@@ -32,6 +32,8 @@ FITS, NO_PLURAL = "pronoun_number_compatible_with_antecedent_cardinality", "sing
 UNIQUE, AMBIGUOUS, CARDINALITY = "unique_prior_is_a_nominal_antecedent", "ambiguous_prior_is_a_nominal_antecedents", "reference_marker_cardinality_incompatible_with_antecedent"
 
 S = "sentence_id"
+# Characters of a stretch of text, by which spans meet the nodes within; results don't depend on it.
+STRETCH = 64
 _NONE = "array<int>"
 
 
@@ -75,13 +77,22 @@ def coordinated(nodes: DataFrame) -> DataFrame:
     return groups.filter(F.col("named") & (F.col("members") > 1) & (F.size("entities") == F.col("members"))).select(S, "head", "last", "entities")
 
 
+def _within(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """spans (start, end) with the nodes of their sentence that lie within. A span meets the nodes that begin in its stretches of the text, not all of its sentence; what of it
+    lies beyond the sentence's nodes has no stretch."""
+    ends = nodes.groupBy(S).agg(F.min("char_start").alias("_first"), F.max("char_start").alias("_last"))
+    inside = spans.join(ends, S).withColumns({"_from": F.greatest("start", "_first"), "_to": F.least("end", "_last")}).filter("_from <= _to")
+    at = lambda c: F.floor(F.col(c) / STRETCH).cast("int")
+    inside = inside.withColumn("_at", F.explode(F.sequence(at("_from"), at("_to")))).drop("_first", "_last", "_from", "_to")
+    return inside.join(nodes.withColumn("_at", at("char_start")), [S, "_at"]).filter("char_start >= start AND char_end <= end").drop("_at")
+
+
 def pronouns(nodes: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pronouns of a cluster inherit the entities of its other mentions: one by any pronoun, several by a plural one, or by `which` where they are
     an explicit coordination. Of clusters that both hold a pronoun the later one counts."""
     spans = mentions.filter("evidence_type = 'pronoun'").select(S, "cluster", "mention", "start", "end")
     slim = nodes.select(S, "i", "head_i", "pos", lemma().alias("lemma"), "char_start", "char_end", _array("entities").alias("entities"))
-    within = spans.join(slim, S).filter("char_start >= start AND char_end <= end")
-    within = dealt(within, "mentioned", S, already=True)
+    within = dealt(_within(spans, slim), "mentioned", S, already=True)
     each = within.groupBy(S, "cluster", "mention").agg(F.count(F.lit(1)).alias("n"), _merged(F.collect_list("entities")).alias("entities"), F.array_sort(F.collect_list(F.struct("i", "head_i"))).alias("at"))
     named = each.filter(F.size("entities") > 0)
     antecedents = named.groupBy(S, "cluster").agg(_merged(F.collect_list("entities")).alias("entities"), F.count(F.lit(1)).alias("spans"), F.first("at").alias("at"))

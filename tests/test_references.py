@@ -130,3 +130,15 @@ def test_blocking_ends_a_run(spark):
     steps = [("a.b@1", "s", F.col("id") > 0, odd, {"id": F.col("id")}), ("c.d@1", "s", F.lit(True), F.lit("never"), {}), ("e.f@3", "t", F.lit(True), F.lit(None).cast("string"), {})]
     got = {r.id: ([(a.rule_id, a.decision) for a in r.trace], r.blocked) for r in rules.run(spark.range(3), ["id"], steps, toggles).collect()}
     assert got == {0: ([("e.f@3", "applied")], None), 1: ([("a.b@1", "blocked")], "a.b@1"), 2: ([("a.b@1", "applied"), ("e.f@3", "applied")], None)}
+
+
+def test_spans_meet_the_nodes_of_their_stretch(spark):
+    """Spans that begin before the sentence, end far beyond it or lie outside give the nodes within; a span meets no node of another stretch."""
+    nodes = spark.createDataFrame([("s", i, i * 10, i * 10 + 9) for i in range(100)], "sentence_id string, i int, char_start int, char_end int")
+    spans = [("s", 0, -80, 9), ("s", 1, 60, 69), ("s", 2, 55, 139), ("s", 3, 980, 2**40), ("s", 4, 5000, 6000), ("s", 5, 20, 5), ("t", 6, 0, 9), ("s", 7, -500, -100)]
+    out = R._within(spark.createDataFrame(spans, "sentence_id string, mention int, start long, end long"), nodes)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.mention, []).append(r.i)
+    assert {k: sorted(v) for k, v in found.items()} == {0: [0], 1: [6], 2: list(range(6, 14)), 3: [98, 99]}
+    assert "_at" in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]  # by stretch, not by sentence alone
