@@ -21,14 +21,14 @@ NOT_SELECTED = "not_selected"
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, key: str = S) -> DataFrame:
-    """df as a table of the shared folder, dealt into buckets by key and sorted within them."""
+    """df as a table of the shared folder, dealt into buckets by key and sorted within them: a file a bucket, however many parts df has."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder(df.sparkSession)}/{table}").saveAsTable(table)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder(df.sparkSession)}/{table}").saveAsTable(table)
     return df.sparkSession.table(table)
 
 
 def _gathered(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(S).agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != S)))).alias(name))
+    return df.groupBy(S).agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != S)))).alias(name))
 
 
 def decision(proposal: Column, plans: Column, pair: Column) -> Column:

@@ -85,7 +85,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     join = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields))), ";")
     return rows.select(
         "sentence_id", "text", "label", "predicted", "gold", join(F.col("events"), "event_id", "event_type", "predicate_lemma").alias("events"),
-        join(F.array_sort("candidate_relations"), "candidate_id", "pair_a", "pair_b", "source_event_id", "decision").alias("candidate_relations"), join(F.col("projection_plans"), "id", "source_event_id", "application_status", "reason_code").alias("projection_plans"),
+        join(F.sort_array("candidate_relations"), "candidate_id", "pair_a", "pair_b", "source_event_id", "decision").alias("candidate_relations"), join(F.col("projection_plans"), "id", "source_event_id", "application_status", "reason_code").alias("projection_plans"),
     )
 
 

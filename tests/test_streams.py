@@ -90,3 +90,10 @@ def test_bucketed_tables_are_not_shuffled(spark):
         assert plan(R.build(sentences, more)).count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_have_a_file_each(spark):
+    """However many parts a table comes in, a bucket is one file."""
+    rows = spark.range(1000).selectExpr("concat('s', id) AS sentence_id", "id").repartition(7)
+    table = R.bucketed(rows, "parts", 3)
+    assert len(table.inputFiles()) == 3 and table.count() == 1000
