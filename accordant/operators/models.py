@@ -8,9 +8,12 @@ minimising half the squared weights plus C times the log loss) by Newton's steps
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,31 +251,217 @@ def vocabulary(df: DataFrame, words: str, min_documents: int = 10, most: int = 8
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "word")) - 1)  # at most `most` rows
 
 
-def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[str], c: float = 1.0, steps: int = 3000, min_documents: int = 10, most: int = 800) -> DataFrame:
-    """fold, label and p: held-out probabilities of a ridge logit over words and one-hot columns, with Spark's distributed optimiser
-    to its convergence (an error after that many steps without), so that rows never gather. Each fold's vocabulary is counted over its training folds alone; a category that
-    these lack has no weight."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
-
-    rows, parts = df, []
-    for x in columns:
-        rows = rows.withColumn(x, F.coalesce(F.col(x).cast("string"), F.lit("na")))
-        rows = StringIndexer(inputCol=x, outputCol=f"_i_{x}", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-        rows = OneHotEncoder(inputCol=f"_i_{x}", outputCol=f"_o_{x}", dropLast=False).fit(rows).transform(rows)
-        parts.append(f"_o_{x}")
-    rows = rows.select(fold, label, words, *parts).persist()  # as long as the result is read
-    out = None
-    for r in sorted(x[0] for x in rows.select(fold).distinct().collect()):  # a handful of folds
-        terms = [x["word"] for x in vocabulary(rows.filter(F.col(fold) != r), words, min_documents, most).orderBy("place").collect()]  # bounded by most
-        seen = CountVectorizerModel.from_vocabulary(terms, inputCol=words, outputCol="_words").setBinary(True).transform(rows) if terms else rows
-        seen = VectorAssembler(inputCols=["_words"] * bool(terms) + parts, outputCol="_features").transform(seen).select(fold, label, "_features")
-        train = seen.filter(F.col(fold) != r).persist()
-        n = train.count()
-        fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=steps, tol=1e-6).fit(train)
-        train.unpersist()
-        if fitted.summary.totalIterations >= steps:
-            raise RuntimeError(f"the fit of fold {r} has not converged in {steps} steps")
-        held = fitted.transform(seen.filter(F.col(fold) == r)).select(fold, label, F.element_at(vector_to_array("probability"), 2).alias("p"))
-        out = held if out is None else out.unionByName(held)
-    return out if out is not None else df.select(fold, label).withColumn("p", F.lit(None).cast("double"))
+class _Descent:
+    """Steps of L-BFGS down a convex loss from zero, its first guess at the inverse Hessian a matrix of some coordinates and a diagonal of the
+    others. The loss is asked for elsewhere: `at` is the point, `told` takes its loss and gradient there and says whether it is the minimum."""
+
+    def __init__(self, inverse: np.ndarray, dense: np.ndarray, diagonal: np.ndarray, memory: int = 30):
+        self.inverse, self.dense, self.diagonal, self.memory = inverse, dense, diagonal, memory
+        self.at, self.past = np.zeros(len(diagonal)), []  # past: pairs of moves and changes of the gradient
+        self.here = None
+
+    def _solved(self, v: np.ndarray) -> np.ndarray:
+        out = v * self.diagonal
+        out[self.dense] = (self.inverse * v[self.dense]).sum(axis=1)
+        return out
+
+    def told(self, loss: float, gradient: np.ndarray, tolerance: float) -> bool:
+        if self.here is not None:
+            x, before, g, move = self.here
+            slope = float(g @ move)
+            if loss > before + 1e-4 * self.scale * slope + 1e-12 * abs(before) and self.scale > 1e-10:
+                self.scale /= 2
+                self.at = x + self.scale * move
+                return False
+            s, y = self.at - x, gradient - g
+            if s @ y > 0:
+                self.past = [*self.past, (s, y)][-self.memory :]
+        if float(gradient @ self._solved(gradient)) <= tolerance:
+            return True
+        q, parts = gradient.copy(), []
+        for s, y in reversed(self.past):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            parts.append(a)
+        q = self._solved(q)
+        if self.past:
+            s, y = self.past[-1]
+            q *= (s @ y) / (y @ self._solved(y))
+        for (s, y), a in zip(self.past, reversed(parts)):
+            q += (a - (y @ q) / (s @ y)) * s
+        self.here, self.scale = (self.at, loss, gradient, -q), 1.0
+        self.at = self.at - q
+        return False
+
+
+#: Rows of a block, which is made a dense matrix while it is looked at.
+_BLOCK = 1024
+#: A fit ends where its steps would lower the whole loss by less than half of this.
+_TOLERANCE = 1e-10
+_BLOCKS = "fold int, n int, y binary, rows binary, places binary, categories binary"
+
+
+def _vocabularies(rows: DataFrame, folds: list[int], min_documents: int, most: int) -> dict[int, list[str]]:
+    """Of rows of fold and words: each fold's vocabulary, counted over the others in one pass for all."""
+    counts = rows.select("fold", F.explode("words").alias("word")).groupBy("word").agg(F.count("fold").alias("all"), *(F.count_if(F.col("fold") == r).alias(f"in{i}") for i, r in enumerate(folds)))
+    counts = counts.filter(F.col("all") >= min_documents).persist()
+    out = {}
+    for i, r in enumerate(folds):
+        n = F.col("all") - F.col(f"in{i}")
+        out[r] = [x["word"] for x in counts.filter(n >= min_documents).orderBy(n.desc(), "word").limit(most).collect()]  # bounded by most
+    counts.unpersist()
+    return out
+
+
+def text_models(df: DataFrame, words: str, label: str, fold: str, models: dict[str, list[str]], c: float = 1.0, steps: int = 3000, min_documents: int = 10, most: int = 800) -> DataFrame:
+    """model, fold, label and p: held-out probabilities of ridge logits over words and each model's one-hot columns, fitted to convergence (an
+    error after that many steps without). Each fold's vocabulary is counted over its training folds alone; a category that these lack has no
+    weight. Where they have one label alone it is certain; a lone fold has no p.
+
+    The fits of all models and folds take their steps together, so that a step is one pass over the rows, which stay where they are as
+    blocks of feature numbers; the driver sees losses and gradients, a row a partition. Steps are scaled by the bound of the Hessian that the words'
+    joint counts give, for which there is one pass more."""
+    spark, kind = df.sparkSession, {x: df.schema[x].dataType for x in (fold, label)}
+    columns = list(dict.fromkeys(x for xs in models.values() for x in xs))
+    rows = df.select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("int").alias("y"), F.coalesce(words, F.array()).alias("words"), *(F.coalesce(F.col(x).cast("string"), F.lit("na")).alias(f"c{i}") for i, x in enumerate(columns)))
+    rows = kept(rows.filter("fold IS NOT NULL"), "texts")
+    share = {(r[0], r[1]): r[2] for r in rows.groupBy("fold", "y").count().collect()}  # a handful of folds
+    folds = sorted({f for f, _ in share})
+    terms = _vocabularies(rows, folds, min_documents, most)
+    known = sorted({w for v in terms.values() for w in v})
+    number, n_words = {w: i for i, w in enumerate(known)}, len(known)
+    # Features: the words, the intercept, the categories of each column.
+    size, start = n_words + 1, []
+    categories = [sorted(x[0] for x in rows.select(f"c{i}").distinct().collect()) for i in range(len(columns))]
+    for values in categories:
+        start.append(size)
+        size += len(values)
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            place = pc.index_in(b.column(2).flatten(), value_set=pa.array(known, b.column(2).type.value_type))
+            length = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(b)), length)[place >= 0]
+            place = place[place >= 0]
+            own = np.zeros((len(b), len(columns)), dtype=np.int32)
+            for i, values in enumerate(categories):
+                own[:, i] = start[i] + pc.index_in(b.column(3 + i), value_set=pa.array(values, b.column(3 + i).type)).to_numpy(zero_copy_only=False)
+            of, y = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for f in np.unique(of):
+                mine = np.flatnonzero(of == f)
+                for a in range(0, len(mine), _BLOCK):
+                    some = mine[a : a + _BLOCK]
+                    new = np.full(len(b), -1, dtype=np.int32)
+                    new[some] = np.arange(len(some))
+                    at = new[row]
+                    values = [[int(f)], [len(some)], *([v.tobytes()] for v in (y[some].astype(np.int32), at[at >= 0], place[at >= 0].astype(np.int32), own[some]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["fold", "n", "y", "rows", "places", "categories"])
+
+    blocks = kept(rows.mapInArrow(packed, _BLOCKS), "blocks")
+    together = blocks.coalesce(max(1, spark.sparkContext.defaultParallelism))
+
+    def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Fold, labels, words with the intercept, and categories of each block."""
+        for b in it:
+            for r in b.to_pylist():
+                y, at, place, own = (np.frombuffer(r[k], dtype=np.int32) for k in ("y", "rows", "places", "categories"))
+                x = np.zeros((r["n"], n_words + 1))
+                x[at, place] = 1
+                x[:, n_words] = 1
+                yield r["fold"], y, x, own.reshape(r["n"], -1)
+
+    def sums(work: Callable, shape: tuple[int, ...]) -> np.ndarray:
+        """The sum of what work adds to zeros, block by block: in tasks, then over tasks."""
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for block in matrices(it):
+                work(total, *block)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        out = np.zeros(shape)
+        for r in together.mapInArrow(run, "total binary").collect():  # a row a partition
+            out += np.frombuffer(r[0]).reshape(shape)
+        return out
+
+    fits = [(m, r) for m in models for r in folds]
+    train = {r: {y: sum(n for (f, v), n in share.items() if f != r and v == y) for y in (0, 1)} for r in folds}
+    fixed = {r: (None if not sum(t.values()) else float(t[1] > 0)) for r, t in train.items() if not all(t.values())}
+
+    def pairs(total: np.ndarray, _fold: int, _y: np.ndarray, x: np.ndarray, _own: np.ndarray) -> None:
+        total += x.T @ x
+
+    def counted(total: np.ndarray, _fold: int, _y: np.ndarray, _x: np.ndarray, own: np.ndarray) -> None:
+        total += np.bincount(own.ravel(), minlength=size)
+
+    joint = sums(pairs, (n_words + 1, n_words + 1)) if folds else None
+    often = sums(counted, (size,)) if columns else np.zeros(size)
+
+    penalty, descents, used = np.ones(size), {}, {}
+    penalty[n_words] = 0.0
+    dense = {r: np.append(np.array([number[w] for w in terms[r]], dtype=np.int64), n_words) for r in folds if r not in fixed}
+
+    def inverted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in b.column(0).to_pylist():
+                own = np.linalg.inv(c * joint[np.ix_(dense[r], dense[r])] / 4 + np.diag(penalty[dense[r]]))
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["fold", "inverse"])
+
+    of_folds = spark.createDataFrame([(r,) for r in dense], "fold int").repartition(max(1, len(dense)), "fold")
+    inverses = {r: np.frombuffer(own).reshape(len(dense[r]), -1) for r, own in of_folds.mapInArrow(inverted, "fold int, inverse binary").collect()}  # a handful of folds, each bounded by most
+    for r, inverse in inverses.items():
+        for m, xs in models.items():
+            mask = np.zeros(size)
+            mask[dense[r]] = 1
+            for x in xs:
+                i = columns.index(x)
+                mask[start[i] : start[i] + len(categories[i])] = 1
+            used[m, r] = mask
+            descents[m, r] = _Descent(inverse, dense[r], mask / (1 + c * often / 4))
+
+    def logits(beta: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        z = x @ beta[: n_words + 1]
+        for i in range(len(columns)):
+            z += beta[own[:, i]]
+        return z
+
+    moving, took = list(descents), 0
+    while moving:
+        if took == steps:
+            raise RuntimeError(f"the fits of {moving} have not converged in {steps} steps")
+        beta, of = np.stack([descents[k].at for k in moving], axis=1), np.array([r for _, r in moving])
+
+        def slopes(total: np.ndarray, f: int, y: np.ndarray, x: np.ndarray, own: np.ndarray, beta: np.ndarray = beta, of: np.ndarray = of) -> None:
+            """Log loss, in the first row, and its gradient, of the fits that f is a training fold of."""
+            some = np.flatnonzero(of != f)
+            z = logits(np.ascontiguousarray(beta[:, some]), x, own)
+            total[0, some] += (np.logaddexp(0, z) - y[:, None] * z).sum(axis=0)
+            rest = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y[:, None]
+            total[1 : n_words + 2, some] += x.T @ rest
+            for i in range(len(columns)):
+                by = np.zeros((size + 1, len(some)))
+                np.add.at(by, own[:, i] + 1, rest)
+                total[:, some] += by
+
+        out, left = sums(slopes, (size + 1, len(moving))), []
+        for j, k in enumerate(moving):
+            loss = 0.5 * float(penalty @ beta[:, j] ** 2) + c * out[0, j]
+            if not descents[k].told(loss, used[k] * (penalty * beta[:, j] + c * out[1:, j]), _TOLERANCE):
+                left.append(k)
+        moving, took = left, took + 1
+
+    def held(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, y, x, own in matrices(it):
+            for m in models:
+                p = np.full(len(y), np.nan if fixed.get(f) is None else fixed[f]) if f in fixed else 1 / (1 + np.exp(-np.clip(logits(final[m, f], x, own), -700, 700)))
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(y)), pa.array(np.full(len(y), f, dtype=np.int32)), pa.array(y), pa.array(p, from_pandas=True)], names=["model", "fold", "y", "p"])
+
+    final = {k: d.at for k, d in descents.items()}
+    out = blocks.mapInArrow(held, "model string, fold int, y int, p double")
+    return out.select("model", F.col("fold").cast(kind[fold]).alias(fold), F.col("y").cast(kind[label]).alias(label), "p")
+
+
+def text_model(df: DataFrame, words: str, label: str, fold: str, columns: list[str], **named: float) -> DataFrame:
+    """fold, label and p of one of `text_models`."""
+    return text_models(df, words, label, fold, {"": columns}, **named).drop("model")

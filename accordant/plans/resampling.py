@@ -192,12 +192,9 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def text_control(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out AUC of quality from the words of a document, without and with its source."""
     rows = _texts(spark, sf).withColumn("fold", M.folds_by_hash(["doc_id"]))
-    out = None
-    for name, columns in (("words", []), ("words_source", ["source"])):
-        held = M.text_model(rows, "words", "quality", "fold", columns).withColumns({"p": F.round("p", 6), "n": F.lit(1)})
-        part = M.auc(held, ["fold"], "p", "quality", "n").withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("auc", F.round("auc", 4))
+    held = M.text_models(rows, "words", "quality", "fold", {"words": [], "words_source": ["source"]})
+    scored = held.withColumns({"p": F.round("p", 6), "n": F.lit(1)})
+    return M.auc(scored, ["fold", "model"], "p", "quality", "n").select("fold", F.round("auc", 4).alias("auc"), "model")
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
