@@ -6,7 +6,7 @@ holds whole documents, about BLOCK ids; a document of over LONG ids is cut over
 read, checked and decoded by itself. Reading back gives each document's place, length and checksum; the places need
 only one sum of ids a file, which is all that the driver gathers.
 
-Each distinct pre-token is encoded once a worker by the tokenizers library; texts with special strings or runs of white space that
+Each distinct unit is encoded once a worker by the tokenizers library, many in one call; texts with special strings or runs of white space that
 the library must see whole are encoded whole. Every document ends with the id `end`. A null or empty text is that id
 alone. Rows without an id come first; repeated rows stand side by side, in an order of their texts' hashes. An empty table gives a
 folder without blocks, and no rows. Only doc_id and text are read of the input, so other columns can't clash.
@@ -15,6 +15,7 @@ folder without blocks, and no rows. Only doc_id and text are read of the input,
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import range_coder
-from .pretokens import Units, compiled
+from .pretokens import Units
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 BLOCK = 1 << 19
 LONG = 1 << 21
-#: Most entries of the caches of pre-tokens and of units.
-CACHE, UNITS = 900_000, 300_000
+#: Most entries of the cache of units, and units that the library encodes at once.
+UNITS, JOINED = 900_000, 2000
+#: The line break as byte-level vocabularies write it.
+LINE_BREAK = "\u010a"
+_PLAIN = re.compile(r" \S+").fullmatch
 
 #: head: of a document cut over blocks, the first of them; else -1.
 BLOCKS = "part int, block long, first long, n long, head long, doc_ids array<long>, lengths array<long>, data binary"
@@ -45,7 +49,10 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block
 
 
 class Encoder:
-    """The tokenizers library behind caches of pre-tokens and of units, of up to CACHE and UNITS entries and a batch's."""
+    """The tokenizers library behind a cache of units, of up to UNITS entries and a batch's.
+
+    Units of one space and no other white space go to the library JOINED at once, a line break after each: the pattern lets no match go over it, and
+    its id, which no such unit has, tells where each ends."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,26 +60,28 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.pattern = compiled(public_tokenizers.PATTERN)
-        self.words: dict[str, bytes] = {}  # ids of pre-tokens and of units, 32-bit each
-        self.known: dict[str, bytes] = {}
+        self.mark = self.library.token_to_id(LINE_BREAK)
+        self.known: dict[str, bytes] = {}  # ids of units, 32-bit each
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the units, end to end, and how many each has."""
         if len(self.known) > UNITS:
             self.known.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known, words = self.known, self.words
+        known = self.known
         fresh = [x for x in units if x not in known]
-        found = [None if "<|" in x and any(s in x for s in self.special) else self.pattern.findall(x) for x in fresh]
-        new = list({w for ws in found if ws for w in ws if w not in words})
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            words.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        for x, ws in zip(fresh, found):
-            known[x] = array("i", self.library.encode(x, add_special_tokens=False).ids).tobytes() if ws is None else b"".join([words[w] for w in ws])
+        plain = [x for x in fresh if _PLAIN(x) and "<|" not in x]
+        for a in range(0, len(plain), JOINED):
+            part = plain[a : a + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary doesn't keep the line break apart")
+            raw, at = ids.tobytes(), 0
+            for x, e in zip(part, (4 * ends).tolist()):
+                known[x] = raw[at:e]
+                at = e + 4
+        rest = [x for x in fresh if x not in known]
+        known.update((x, array("i", e.ids).tobytes()) for x, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)))
         each = [known[x] for x in units]
         for x in fresh:
             if len(x) > 64:  # long units hardly come again

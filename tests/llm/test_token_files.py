@@ -80,3 +80,25 @@ def test_odd_rows(spark, odd, none):
     T.write_ids(none, path, PATH)
     assert T.documents_of(spark, path).count() == 0
     C.drop_stored(spark, path)
+
+
+def test_units_go_to_the_library_together():
+    """Units of one space and letters are encoded many in a call; whatever has other white space or special strings stays as it is."""
+    odd = ["", None, "a\nb  c", " x\n\ny ", "don't can't\t 's 's", "<|endoftext|> hi <|end", "a <|endoftext|>b", " x  y\x1c z \x85", "漢字 。 é\r\n", "  lead", "trail ", "\n", " ", "\n Ċ x", "x" * 300 + " " + "é" * 200]
+    texts = [*odd, *(f"word{i} other{i}, {i}." for i in range(3000))]
+
+    class Counted:
+        given = 0
+
+        def __getattr__(self, name):
+            def call(some, **named):
+                self.given += len(some)
+                return getattr(library, name)(some, **named)
+
+            return call
+
+    own = T.Encoder(PATH)
+    own.library = counted = Counted()
+    ids, n = own.texts(texts, T.END)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(x) for x in texts]
+    assert counted.given < 3100  # the first units of the texts, which have no space, and a few calls
