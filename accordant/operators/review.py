@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import stats as S
+from ..scratch import kept
 from .cells import first_of_group
 from .ledgers import first_text, pairs_of_json
 
@@ -72,6 +73,8 @@ def relational_statements(sentences: DataFrame, candidates: DataFrame, events: D
     known = known.join(sentences.select("sentence_id", F.coalesce(pairs_of(F.col("gold_pairs")), F.array().cast("array<struct<a:int,b:int>>")).alias("_gold"), F.left("text", F.lit(500)).alias("text")), "sentence_id")
     once = first_of_group(known, ["sentence_id", "_schema", "event_detail", "pair"], ["pair_a", "pair_b", "id"], 1).drop("rank").withColumn("positive", F.array_contains("_gold", F.col("pair")))
     by = ["_schema", "event_detail", "trigger"]
+    # Written once: the counts, the statuses and the examples read it, and would each join and shuffle everything anew.
+    once = kept(once.select("sentence_id", "pair_a", "pair_b", *by, "assertion_status", "positive"), "statements")
     total = once.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if("positive").alias("gold_positive")).filter(F.col("total") >= min_count)
     status = once.groupBy(*by, F.lower(first_text(F.coalesce("assertion_status", F.lit("")), F.lit("unknown"))).alias("status")).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(counts_by("status").alias("assertion_status"))
     few = first_of_group(once, by, ["sentence_id", "pair_a", "pair_b"], examples)
