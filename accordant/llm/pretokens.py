@@ -29,7 +29,7 @@ class Units:
         self.offset = np.asarray(parts.offsets).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         index = np.array(coded.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
-        both = [" " + x for x in coded.dictionary.to_pylist()]
+        both = [" " + x for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         first: dict[str, int] = {}
         heads = [x if w else (x or "").partition(" ")[0] for x, w in zip(texts, whole)]
         if len(heads):

@@ -17,9 +17,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,13 @@ from .pretokens import Units
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 LONG = 1 << 21
 #: Most entries of the cache of units, and units that the library encodes at once.
 UNITS, JOINED = 900_000, 2000
-#: The line break as byte-level vocabularies write it.
-LINE_BREAK = "\u010a"
-_PLAIN = re.compile(r" \S+").fullmatch
+#: The space as byte-level vocabularies write it.
+SPACE = "\u0120"
+_PLAIN = re.compile(r" \S+(?:\n+\S+)*").fullmatch
 
 #: head: of a document cut over blocks, the first of them; else -1.
 BLOCKS = "part int, block long, first long, n long, head long, doc_ids array<long>, lengths array<long>, data binary"
@@ -51,8 +51,8 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block
 class Encoder:
     """The tokenizers library behind a cache of units, of up to UNITS entries and a batch's.
 
-    Units of one space and no other white space go to the library JOINED at once, a line break after each: the pattern lets no match go over it, and
-    its id, which no such unit has, tells where each ends."""
+    Units of one space, at their start, that end without white space go to the library JOINED at once, one behind the other: the pattern lets no
+    match go over a space before another character, and no id but a unit's first has a space, which tells where each begins."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,46 +60,67 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.mark = self.library.token_to_id(LINE_BREAK)
-        self.known: dict[str, bytes] = {}  # ids of units, 32-bit each
-
-    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the units, end to end, and how many each has."""
+        self.leading = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(self.vocabulary)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # numbers of units
+        self.ids = np.zeros(1 << 16, dtype=np.int32)  # of the units by their numbers, end to end
+        self.ends = np.zeros(1 << 16, dtype=np.int32)  # where each ends in ids; unit 0 is empty
+        self.count = 1
+
+    def _hold(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers further units, of these ids."""
+        filled, count = int(self.ends[self.count - 1]), self.count + len(sizes)
+        if count > len(self.ends):
+            self.ends = np.append(self.ends, np.zeros(count, dtype=np.int32))
+        if filled + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(filled + len(ids), dtype=np.int32))
+        self.ids[filled : filled + len(ids)] = ids
+        self.ends[self.count : count] = filled + np.cumsum(sizes)
+        self.count = count
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The numbers of the units. Those of long ones, which hardly come again, are last and aren't known to later calls."""
         if len(self.known) > UNITS:
-            self.known.clear()
-        known = self.known
-        fresh = [x for x in units if x not in known]
-        plain = [x for x in fresh if _PLAIN(x) and "<|" not in x]
-        for a in range(0, len(plain), JOINED):
-            part = plain[a : a + JOINED]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype=np.int32)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary doesn't keep the line break apart")
-            raw, at = ids.tobytes(), 0
-            for x, e in zip(part, (4 * ends).tolist()):
-                known[x] = raw[at:e]
-                at = e + 4
-        rest = [x for x in fresh if x not in known]
-        known.update((x, array("i", e.ids).tobytes()) for x, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)))
-        each = [known[x] for x in units]
-        for x in fresh:
-            if len(x) > 64:  # long units hardly come again
-                del known[x]
-        n = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        return np.frombuffer(b"".join(each), dtype=np.int32), n
+            self.forget()
+        out = np.fromiter(map(self.known.get, units, repeat(-1)), dtype=np.int32, count=len(units))
+        fresh = np.flatnonzero(out < 0)
+        names = [units[i] for i in fresh.tolist()]
+        # 0: plain, 1: to be encoded alone, 2: long.
+        kind = np.fromiter((2 if len(x) > 64 else 0 if _PLAIN(x) and "<|" not in x else 1 for x in names), dtype=np.int8, count=len(names))
+        order = np.argsort(kind, kind="stable")
+        out[fresh[order]] = self.count + np.arange(len(order), dtype=np.int32)
+        names = [names[i] for i in order.tolist()]
+        plain, short = int((kind == 0).sum()), int((kind < 2).sum())
+        for a in range(0, plain, JOINED):
+            part = names[a : min(a + JOINED, plain)]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            begins = np.flatnonzero(self.leading.take(ids))
+            if len(begins) != len(part):
+                raise ValueError("the vocabulary doesn't keep spaces at the start of units")
+            self._hold(ids, np.diff(np.append(begins, len(ids))))
+        self.kept = self.count - plain + short
+        self.known.update(zip(names[:short], range(self.count - plain, self.kept)))
+        each = [e.ids for e in self.library.encode_batch_fast(names[plain:], add_special_tokens=False)]
+        self._hold(np.fromiter(chain.from_iterable(each), dtype=np.int32), np.fromiter(map(len, each), dtype=np.int32, count=len(each)))
+        return out
 
     def texts(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with its end, end to end, and how many each has."""
         units = Units(texts)
-        ids, n = self.units(units.distinct)
-        ids, n, starts = np.append(ids, np.int32(end)), np.append(n, 1), np.append(np.cumsum(n) - n, len(ids))
-        ends = units.offset[1:]
-        index = np.insert(units.index, ends, len(n) - 1)  # the end as a last unit of each text
-        size = n[index]
-        after = np.cumsum(size)
-        total = after[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, dtype=np.int64)
-        return ids[np.repeat(starts[index] - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)], np.diff(np.append([0], total))
+        numbers = self.numbers(units.distinct)
+        self._hold(np.array([end]), np.array([1]))  # the end as a last unit of each text
+        index = np.insert(numbers.take(units.index), units.offset[1:], self.count - 1)
+        starts = self.ends.take(index - 1)
+        after = np.cumsum(self.ends.take(index) - starts, dtype=np.int32)
+        size = np.diff(after, prepend=np.int32(0))
+        places = np.repeat(starts - (after - size), size)
+        places += np.arange(len(places), dtype=np.int32)
+        lasts = units.offset[1:] + np.arange(len(texts))
+        out = self.ids.take(places), np.diff(after.take(lasts), prepend=0)
+        self.count = self.kept
+        return out
 
 
 @lru_cache(maxsize=2)

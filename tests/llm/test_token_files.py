@@ -102,3 +102,36 @@ def test_units_go_to_the_library_together():
     ids, n = own.texts(texts, T.END)
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(x) for x in texts]
     assert counted.given < 3100  # the first units of the texts, which have no space, and a few calls
+
+
+def test_units_are_numbered_once_and_long_ones_are_not_kept(monkeypatch):
+    """Units joined without marks, across calls, with a cache that empties between them."""
+    own = T.Encoder(PATH)
+    for some in (["a b c b", " b\n\nc d", "\n b"], ["", None], ["x " + "long" * 40 + " y", "e f b d"], [" f", "b " + "long" * 40 + " z.\nQ w"]):
+        ids, n = own.texts(some, T.END)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(x) for x in some]
+        assert own.count == own.kept == len(own.known) + 1 and " " + "long" * 40 not in own.known
+        monkeypatch.setattr(T, "UNITS", 9)
+
+
+@given(st.lists(st.text(st.sampled_from(list("ab'sé. \n\t\r\x1c\x85  ​1٣漢<|")), max_size=30), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_joined_units_are_those_of_the_library(some):
+    ids, n = T.encoder(PATH).texts(some, T.END)
+    assert n.tolist() == [len(ids_of(x)) for x in some] and ids.tolist() == [i for x in some for i in ids_of(x)]
+
+
+def test_a_block_steps_in_many_lanes():
+    """A block of half a million ids takes 64 steps, each coding 8192 ids at once, and no more room than 16 bits an id that all are alike rare."""
+    ids = np.random.default_rng(1).integers(0, 50257, 1 << 19)
+    block = R.encode(ids, 50257)
+    assert R._HEAD.unpack_from(block)[2] == 1 << 13 and len(block) < 2.1 * len(ids)
+    assert (R.decode(block) == ids).all()
+
+
+@pytest.mark.parametrize("n", [1, 63, 129, 8191, (1 << 13) * 64 + 5])
+def test_carries_and_uneven_lanes(n):
+    """Ids that the model names for long stretches and then fails at drive the lanes' numbers close to their upper ends."""
+    rng = np.random.default_rng(n)
+    ids = np.where(rng.random(n) < 0.02, rng.integers(0, 50257, n), 50256)
+    assert (R.decode(R.encode(ids, 50257)) == ids).all()
