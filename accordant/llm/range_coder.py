@@ -25,7 +25,7 @@ import zlib
 
 import numpy as np
 
-LANES = 1 << 13
+LANES = 1 << 14
 LEAST_STEPS = 64
 U = np.uint64
 _HEAD = struct.Struct("<4sIIIIII")

@@ -6,7 +6,8 @@ holds whole documents, about BLOCK ids; a document of over LONG ids is cut over
 read, checked and decoded by itself. Reading back gives each document's place, length and checksum; the places need
 only one sum of ids a file, which is all that the driver gathers.
 
-Each distinct unit is encoded once a worker by the tokenizers library, many in one call; texts with special strings or runs of white space that
+A distinct unit is encoded once a worker by the tokenizers library while it is held, many in one call; one that is a held unit and a mark takes its
+ids from both. Texts with special strings or runs of white space that
 the library must see whole are encoded whole. Every document ends with the id `end`. A null or empty text is that id
 alone. Rows without an id come first; repeated rows stand side by side, in an order of their texts' hashes. An empty table gives a
 folder without blocks, and no rows. Only doc_id and text are read of the input, so other columns can't clash.
@@ -35,12 +36,13 @@ from .pretokens import Units
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 LONG = 1 << 21
 #: Most entries of the cache of units, and units that the library encodes at once.
 UNITS, JOINED = 900_000, 2000
 #: The space as byte-level vocabularies write it.
 SPACE = "\u0120"
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâãäåæçèéêëìíîïñòóôõöøùúûüÿßœÀÁÂÄÆÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜŒ")
 _PLAIN = re.compile(r" \S+(?:\n+\S+)*").fullmatch
 
 #: head: of a document cut over blocks, the first of them; else -1.
@@ -61,25 +63,57 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
         self.leading = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(self.vocabulary)])
-        self.forget()
-
-    def forget(self) -> None:
+        self.marks = {x: e.ids[0] for x in ".,;:!?" if len((e := self.library.encode(x, add_special_tokens=False)).ids) == 1}
         self.known: dict[str, int] = {}  # numbers of units
         self.ids = np.zeros(1 << 16, dtype=np.int32)  # of the units by their numbers, end to end
         self.ends = np.zeros(1 << 16, dtype=np.int32)  # where each ends in ids; unit 0 is empty
+        self.used = np.zeros(1 << 16, dtype=np.int32)  # in how many batches
+        self.count = self.kept = 1
+
+    def forget(self) -> None:
+        """Keeps those of the known units that came in most batches, half of UNITS at most."""
+        used, least = self.used[: self.kept], 2
+        while np.count_nonzero(used >= least) > UNITS // 2:
+            least += 1
+        names = [(x, i) for x, i in self.known.items() if used[i] >= least]
+        numbers = np.array([i for _, i in names], dtype=np.int32)
+        self.known = {x: k for k, (x, _) in enumerate(names, 1)}
+        ids, sizes = self._of(numbers)
+        self.used[1 : len(names) + 1], self.used[len(names) + 1 :] = used.take(numbers), 0
         self.count = 1
+        self._hold(ids, sizes)
+        self.kept = self.count
 
     def _hold(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Numbers further units, of these ids."""
         filled, count = int(self.ends[self.count - 1]), self.count + len(sizes)
         if count > len(self.ends):
-            self.ends = np.append(self.ends, np.zeros(count, dtype=np.int32))
+            self.ends, self.used = (np.append(x, np.zeros(count, dtype=np.int32)) for x in (self.ends, self.used))
         if filled + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(filled + len(ids), dtype=np.int32))
         self.ids[filled : filled + len(ids)] = ids
         self.ends[self.count : count] = filled + np.cumsum(sizes)
         self.count = count
 
+    def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered units, end to end, and how many each has."""
+        starts = self.ends.take(numbers - 1)
+        after = np.cumsum(self.ends.take(numbers) - starts, dtype=np.int32)
+        sizes = np.diff(after, prepend=np.int32(0))
+        places = np.repeat(starts - (after - sizes), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return self.ids.take(places), sizes
+
+    def _kind(self, unit: str) -> int:
+        if len(unit) > 64:
+            return 3
+        if "<|" in unit:
+            return 2
+        # A letter and a mark are never in one match, whatever stands before.
+        if unit[-1:] in self.marks and unit[-2:-1] in _LETTERS and unit[:-1] in self.known:
+            return 1
+        return 0 if _PLAIN(unit) else 2
+
     def numbers(self, units: list[str]) -> np.ndarray:
         """The numbers of the units. Those of long ones, which hardly come again, are last and aren't known to later calls."""
         if len(self.known) > UNITS:
@@ -87,12 +121,12 @@ class Encoder:
         out = np.fromiter(map(self.known.get, units, repeat(-1)), dtype=np.int32, count=len(units))
         fresh = np.flatnonzero(out < 0)
         names = [units[i] for i in fresh.tolist()]
-        # 0: plain, 1: to be encoded alone, 2: long.
-        kind = np.fromiter((2 if len(x) > 64 else 0 if _PLAIN(x) and "<|" not in x else 1 for x in names), dtype=np.int8, count=len(names))
+        # 0: plain, 1: a known unit and a mark, 2: to be encoded alone, 3: long.
+        kind = np.fromiter(map(self._kind, names), dtype=np.int8, count=len(names))
         order = np.argsort(kind, kind="stable")
         out[fresh[order]] = self.count + np.arange(len(order), dtype=np.int32)
         names = [names[i] for i in order.tolist()]
-        plain, short = int((kind == 0).sum()), int((kind < 2).sum())
+        plain, marked, short = (int((kind < k).sum()) for k in (1, 2, 3))
         for a in range(0, plain, JOINED):
             part = names[a : min(a + JOINED, plain)]
             ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
@@ -100,9 +134,11 @@ class Encoder:
             if len(begins) != len(part):
                 raise ValueError("the vocabulary doesn't keep spaces at the start of units")
             self._hold(ids, np.diff(np.append(begins, len(ids))))
-        self.kept = self.count - plain + short
-        self.known.update(zip(names[:short], range(self.count - plain, self.kept)))
-        each = [e.ids for e in self.library.encode_batch_fast(names[plain:], add_special_tokens=False)]
+        ids, sizes = self._of(np.array([self.known[x[:-1]] for x in names[plain:marked]], dtype=np.int32))
+        self._hold(np.insert(ids, np.cumsum(sizes), [self.marks[x[-1]] for x in names[plain:marked]]), sizes + 1)
+        self.kept = self.count - marked + short
+        self.known.update(zip(names[:short], range(self.count - marked, self.kept)))
+        each = [e.ids for e in self.library.encode_batch_fast(names[marked:], add_special_tokens=False)]
         self._hold(np.fromiter(chain.from_iterable(each), dtype=np.int32), np.fromiter(map(len, each), dtype=np.int32, count=len(each)))
         return out
 
@@ -110,15 +146,13 @@ class Encoder:
         """The ids of the texts, each with its end, end to end, and how many each has."""
         units = Units(texts)
         numbers = self.numbers(units.distinct)
+        self.used[numbers] += 1
         self._hold(np.array([end]), np.array([1]))  # the end as a last unit of each text
         index = np.insert(numbers.take(units.index), units.offset[1:], self.count - 1)
-        starts = self.ends.take(index - 1)
-        after = np.cumsum(self.ends.take(index) - starts, dtype=np.int32)
-        size = np.diff(after, prepend=np.int32(0))
-        places = np.repeat(starts - (after - size), size)
-        places += np.arange(len(places), dtype=np.int32)
+        ids, sizes = self._of(index)
         lasts = units.offset[1:] + np.arange(len(texts))
-        out = self.ids.take(places), np.diff(after.take(lasts), prepend=0)
+        out = ids, np.diff(np.cumsum(sizes).take(lasts), prepend=0)
+        self.used[self.kept : self.count] = 0
         self.count = self.kept
         return out
 
