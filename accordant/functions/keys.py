@@ -60,7 +60,7 @@ def either(a: Column, b: Column) -> Column:
 
 def joined_unique(values: Column) -> Column:
     """Distinct values that aren't empty, sorted, joined by `|`."""
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")))), "|")
+    return F.array_join(F.filter(F.sort_array(F.array_distinct(values)), lambda x: x.isNotNull() & (F.trim(x) != "")), "|")
 
 
 def assertion(status: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys as K
-from ..scratch import dealt
+from .traces import build_traces
 
 PAIR = "struct<a:int,b:int>"
 _TRACE = (
@@ -59,21 +59,51 @@ def _joined(name: str) -> Column:
     return F.array_join(F.array_sort(F.filter(F.collect_set(name), lambda x: x != "")), "|")
 
 
-def candidate_index(candidates: DataFrame) -> DataFrame:
-    """The proposals of each (sentence_id, pair): how many, and their patterns, triggers, channels, statuses and modes as sorted arrays."""
-    named = {
-        "pattern_key": first_text(text(candidates, "canonical_pattern_key"), _payload(candidates, "pattern_key")),
-        **{n: text(candidates, n) for n in ("predicate_lemma", "realization_channel", "assertion_status", "projection_mode")},
-    }
-    rows = candidates.select("sentence_id", K.pair(F.col("pair_a"), F.col("pair_b")).alias("pair"), *(c.alias(n) for n, c in named.items())).filter("pair IS NOT NULL")
-    # By sentence alone, so that what groups them further finds them so.
-    return rows.repartition("sentence_id").groupBy("sentence_id", "pair").agg(F.count(F.lit(1)).alias("proposal_count"), *(F.collect_set(n).alias(n) for n in named))
+_PROPOSED = ("pattern_key", "predicate_lemma", "realization_channel", "assertion_status", "projection_mode")
+
+
+def _proposed(candidates: DataFrame) -> dict[str, Column]:
+    """What a ledger says of proposals: their patterns, triggers, channels, statuses and modes."""
+    key = first_text(text(candidates, "canonical_pattern_key"), _payload(candidates, "pattern_key"))
+    return {n: key if n == "pattern_key" else text(candidates, n) for n in _PROPOSED}
+
+
+def candidate_lists(candidates: DataFrame) -> DataFrame:
+    """A row a sentence with its proposals and their pairs in one array."""
+    pair = K.pair(F.col("pair_a"), F.col("pair_b")).cast(PAIR)
+    rows = candidates.select("sentence_id", F.struct(pair.alias("pair"), *(c.alias(n) for n, c in _proposed(candidates).items())).alias("_proposed")).filter("_proposed.pair IS NOT NULL")
+    # Sorted by sentence, so that one pass groups them (`scratch.by_sentence`).
+    return rows.repartition("sentence_id").sortWithinPartitions("sentence_id").groupBy("sentence_id").agg(F.collect_list("_proposed").alias("_proposed"))
+
+
+def _rows(both: DataFrame, corpus: str) -> DataFrame:
+    """The ledger's rows of sentence_id, pair, gold_label, predicted_label, a trace t and the pair's own proposals."""
+
+    def merged(*lists: str) -> Column:
+        parts = [F.coalesce(F.col(x), F.array().cast("array<string>")) for x in lists]
+        return K.joined_unique(F.concat(*parts) if len(parts) > 1 else parts[0])
+
+    plain = lambda n: F.coalesce(F.col(f"t.{n}"), F.lit(""))
+    return both.select(
+        F.lit(corpus).alias("corpus"), "sentence_id", F.col("pair.a").alias("pair_a"), F.col("pair.b").alias("pair_b"), "gold_label", "predicted_label", *(plain(n).alias(n) for n in ("stage", "endpoint_visibility", "application_status", "reason_code")),
+        F.size("own").cast("long").alias("proposal_count"), merged("own.pattern_key").alias("pattern_keys"), merged("own.predicate_lemma").alias("trigger_lemmas"), merged("own.realization_channel").alias("realization_channels"),
+        merged("t.assertion_statuses", "own.assertion_status").alias("assertion_statuses"), merged("t.projection_modes", "own.projection_mode").alias("projection_modes"),
+        *(merged(f"t.{n}").alias(n) for n in ("proposal_refs", "event_refs", "projection_plan_refs")),
+    )
+
+
+def traced_ledger(sentences: DataFrame, events: DataFrame, candidates: DataFrame, plans: DataFrame, corpus: str) -> DataFrame:
+    """The pair ledger of sentences whose traces are made here (`traces.build_traces`): what it says of a pair's proposals comes with its trace, as one row all the way."""
+    told = candidates.select("sentence_id", "candidate_id", "pair_a", "pair_b", "source_event_id", *(c.alias(n) for n, c in _proposed(candidates).items()))
+    rows = build_traces(sentences, events, told, plans, keep=_PROPOSED)
+    names = ("stage", "endpoint_visibility", "application_status", "reason_code", "proposal_refs", "event_refs", "projection_plan_refs", "assertion_statuses", "projection_modes")
+    both = rows.select("sentence_id", F.struct("a", "b").alias("pair"), F.col("gold_status").alias("gold_label"), F.when(F.col("emitted"), "positive").otherwise("negative").alias("predicted_label"), F.struct(*names).alias("t"), "own")
+    return _rows(both, corpus)
 
 
 def pair_ledger(sentences: DataFrame, candidates: DataFrame, corpus: str) -> DataFrame:
     """A row a traced pair of each sentence; of a sentence without traces a row for every pair that is predicted, proposed or released."""
-    index = dealt(candidate_index(candidates), "proposed", "sentence_id", already=True)  # read twice
-    proposed = index.groupBy("sentence_id").agg(F.collect_list("pair").alias("_proposed"))
+    proposed = candidate_lists(candidates)
     none = F.array().cast(f"array<{PAIR}>")
     rows = sentences.select(
         "sentence_id",
@@ -81,7 +111,8 @@ def pair_ledger(sentences: DataFrame, candidates: DataFrame, corpus: str) -> Dat
         pairs(F.col("gold_pairs")).alias("_gold"),
         (F.col("traces") if "traces" in sentences.columns else F.lit(None)).cast(_TRACE).alias("_traces"),
     ).join(proposed, "sentence_id", "left")
-    universe = F.array_distinct(F.concat("_pred", F.coalesce("_gold", none), F.coalesce("_proposed", none)))
+    rows = rows.withColumn("_proposed", F.coalesce("_proposed", F.array().cast(proposed.schema["_proposed"].dataType)))
+    universe = F.array_distinct(F.concat("_pred", F.coalesce("_gold", none), F.col("_proposed.pair")))
 
     def untraced(p: Column) -> Column:
         there = F.array_contains("_pred", p)
@@ -92,20 +123,11 @@ def pair_ledger(sentences: DataFrame, candidates: DataFrame, corpus: str) -> Dat
         )
 
     traces = F.when(F.size("_traces") > 0, F.col("_traces")).otherwise(F.transform(universe, untraced).cast(_TRACE))
-    traced = rows.withColumn("t", F.explode(traces)).withColumn("pair", K.pair(F.col("t.pair.a"), F.col("t.pair.b"))).filter("pair IS NOT NULL")
-    both = traced.join(index, ["sentence_id", "pair"], "left")
-
-    def merged(*lists: str) -> Column:
-        return K.joined_unique(F.concat(*(F.coalesce(F.col(x), F.array().cast("array<string>")) for x in lists)))
-
-    plain = lambda n: F.coalesce(F.col(f"t.{n}"), F.lit(""))
-    return both.select(
-        F.lit(corpus).alias("corpus"), "sentence_id", F.col("pair.a").alias("pair_a"), F.col("pair.b").alias("pair_b"), gold_label(F.col("pair"), F.col("_gold")).alias("gold_label"),
-        F.when(F.array_contains("_pred", F.col("pair")), "positive").otherwise("negative").alias("predicted_label"), *(plain(n).alias(n) for n in ("stage", "endpoint_visibility", "application_status", "reason_code")),
-        F.coalesce("proposal_count", F.lit(0)).alias("proposal_count"), merged("pattern_key").alias("pattern_keys"), merged("predicate_lemma").alias("trigger_lemmas"), merged("realization_channel").alias("realization_channels"),
-        merged("t.assertion_statuses", "assertion_status").alias("assertion_statuses"), merged("t.projection_modes", "projection_mode").alias("projection_modes"),
-        *(merged(f"t.{n}").alias(n) for n in ("proposal_refs", "event_refs", "projection_plan_refs")),
-    )
+    # Outer, as Spark otherwise asks first whether there are any, for which it makes the array once more.
+    traced = rows.withColumn("t", F.explode_outer(traces)).withColumn("pair", K.pair(F.col("t.pair.a"), F.col("t.pair.b"))).filter("pair IS NOT NULL")
+    predicted = F.when(F.array_contains("_pred", F.col("pair")), "positive").otherwise("negative")
+    own = F.filter("_proposed", lambda q: q["pair"] == F.col("pair"))
+    return _rows(traced.select("sentence_id", "pair", "t", gold_label(F.col("pair"), F.col("_gold")).alias("gold_label"), predicted.alias("predicted_label"), own.alias("own")), corpus)
 
 
 _PLAIN = ("predicate_lemma", "case_marker", "realization_channel", "event_detail", "source_role", "target_role", "source_argument_role", "target_argument_role", "source_parser_dep", "target_parser_dep", "assertion_status", "projection_mode", "parser_source")

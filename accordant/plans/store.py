@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ledgers as L
 from ..operators import review as R
 from ..operators import traces as X
-from ..scratch import by_sentence, dealt
+from ..scratch import by_sentence
 from .fixtures import read
 
 _KEY = "concat('structural|', case l_linenumber % 3 when 0 then 'AB' when 1 then 'AA' else 'RELATIONAL' end, '|verb', cast(l_partkey % 12 as string), '|_|verbal')"
@@ -88,12 +88,13 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").select(key, F.concat(F.lit("text of "), F.col("o_orderkey").cast("string")).alias("text"), F.expr(_LABEL).alias("label"))
 
 
-def sentences(spark: SparkSession, sf: str) -> DataFrame:
+def sentences(spark: SparkSession, sf: str, in_order: bool = False) -> DataFrame:
     """Predicted pairs are those of large items, released ones those of discounted items; orders in process have none released."""
     pair = F.struct((F.col("l_partkey") % 5).cast("int").alias("a"), (F.col("l_suppkey") % 4).cast("int").alias("b"))
     key = lambda c: F.concat(F.lit("s"), F.col(c).cast("string")).alias("sentence_id")
     # By sentence from the start: what groups or joins the sentences further finds them so.
     marked = read(spark, sf, "lineitem").select(key("l_orderkey"), F.when(F.col("l_quantity") > 25, pair).alias("pred"), F.when(F.col("l_discount") > 0.05, pair).alias("gold")).repartition("sentence_id")
+    marked = marked.sortWithinPartitions("sentence_id") if in_order else marked
     given = marked.groupBy("sentence_id").agg(F.collect_set("pred").alias("pred_pairs"), F.collect_set("gold").alias("_gold"))
     empty = F.array().cast("array<struct<a:int,b:int>>")
     rows = read(spark, sf, "orders").select(key("o_orderkey"), "o_orderkey", "o_custkey", "o_orderstatus").join(given, "sentence_id", "left")
@@ -125,32 +126,29 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
 _ENTITIES = "struct<entities_a:struct<targets:array<int>,owners:array<struct<protein_indices:array<int>>>>>"
 
 
-def _parsed_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """The sentences without the traces that the store gives some; that of an order in ten had no usable parse."""
-    rows = sentences(spark, sf).drop("traces").withColumn("parser_ok", ~F.col("sentence_id").endswith("7"))
-    return dealt(rows, "sentences", "sentence_id", already=True)
+def _spread(df: DataFrame) -> DataFrame:
+    """By sentence, in as many partitions as shuffles have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sentence_id")
 
 
-def traces(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
-    """The traces of the store's pairs. What they need of each table is dealt by sentence, once, and so are their pairs; nothing else is shuffled."""
-    args = F.from_json("arguments_json", _ENTITIES)["entities_a"]
-    shown = X.visible_entities(F.lit(None).cast("array<int>"), F.array(args["targets"]), F.transform(args["owners"], lambda o: o["protein_indices"]))
-    made = events(spark, sf).select("sentence_id", "event_id", shown.alias("entities"))
-    return X.build_traces(rows, dealt(made, "events", "sentence_id"), candidates(spark, sf), dealt(plans(spark, sf), "plans", "sentence_id"))
+def _traceable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sentences without the traces that the store gives some, events, candidates and plans, each shuffled by sentence once; that of an order in ten had no usable parse."""
+    rows = sentences(spark, sf, in_order=True).drop("traces").withColumn("parser_ok", ~F.col("sentence_id").endswith("7"))
+    made = events(spark, sf).select("sentence_id", "event_id", F.from_json("arguments_json", _ENTITIES)["entities_a"].alias("args"))  # parsed once for both of its uses
+    shown = X.visible_entities(F.lit(None).cast("array<int>"), F.array("args.targets"), F.transform("args.owners", lambda o: o["protein_indices"]))
+    return rows, _spread(made.select("sentence_id", "event_id", shown.alias("entities"))), _spread(candidates(spark, sf)), _spread(plans(spark, sf))
 
 
-@by_sentence
+@by_sentence(one_pass=True)
 def trace_rows(spark: SparkSession, sf: str) -> DataFrame:
     lists = ("proposal_refs", "event_refs", "projection_plan_refs", "assertion_statuses", "projection_modes", "reasons")
-    return traces(spark, sf, _parsed_sentences(spark, sf)).withColumns({n: F.array_join(n, "|") for n in lists})
+    return X.build_traces(*_traceable(spark, sf)).withColumns({n: F.array_join(n, "|") for n in lists})
 
 
-@by_sentence
+@by_sentence(one_pass=True)
 def traced_pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The pair ledger over the traces that were made, by stage, visibility and reason."""
-    rows = _parsed_sentences(spark, sf)
-    rows = rows.join(X.gathered(traces(spark, sf, rows)), "sentence_id", "left")
-    ledger = L.pair_ledger(rows, candidates(spark, sf), "demo")
+    ledger = L.traced_ledger(*_traceable(spark, sf), "demo")
     return ledger.groupBy("stage", "endpoint_visibility", "application_status", "reason_code", "gold_label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("proposal_count").alias("proposals"), F.max("event_refs").alias("events"), F.max("projection_plan_refs").alias("plans"), F.max("trigger_lemmas").alias("lemmas")
     )
@@ -181,9 +179,9 @@ def sql_over(body: str) -> str:
     return _sql(body, _cte("plans", _PLANS))
 
 
-@by_sentence
+@by_sentence(one_pass=True)
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return L.pair_ledger(sentences(spark, sf), candidates(spark, sf), "demo")
+    return L.pair_ledger(sentences(spark, sf, in_order=True), candidates(spark, sf), "demo")
 
 
 def pattern_rows(spark: SparkSession, sf: str) -> DataFrame:

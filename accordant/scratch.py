@@ -49,14 +49,17 @@ _CO_LOCATED = {
     "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
+#: Rows that are sorted by what groups them are grouped in one pass, without partial results.
+_ONE_PASS = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
 
 
 @contextmanager
-def co_located(spark: SparkSession) -> Iterator[None]:
+def co_located(spark: SparkSession, one_pass: bool = False) -> Iterator[None]:
     """Settings for joins of tables that are dealt by one key, undone at its end. What is planned within must be computed within, so a result that leaves it is kept."""
-    before = {name: spark.conf.get(name) for name in _CO_LOCATED}
+    settings = _CO_LOCATED | (_ONE_PASS if one_pass else {})
+    before = {name: spark.conf.get(name) for name in settings}
     try:
-        for name, value in _CO_LOCATED.items():
+        for name, value in settings.items():
             spark.conf.set(name, value)
         yield
     finally:
@@ -64,12 +67,14 @@ def co_located(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def by_sentence(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over tables dealt by sentence, whose joins are co-located and whose result is kept."""
+def by_sentence(query: Callable[[SparkSession, str], DataFrame] | None = None, *, one_pass: bool = False) -> Callable:
+    """A query over tables dealt by sentence, whose joins are co-located and whose result is kept; one_pass: its sorted rows are grouped in one pass."""
+    if query is None:
+        return lambda query: by_sentence(query, one_pass=one_pass)
 
     @wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        with co_located(spark):
+        with co_located(spark, one_pass):
             return kept(query(spark, sf), "result")
 
     return run
